@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, quality, secrets, source_mix, url_filter
+from . import pii, quality, secrets, source_mix, token_records, url_filter
 from .common import LOWER, UPPER, table
 
 
@@ -39,6 +39,16 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_records.token_records(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -51,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_source_mix": op2_source_mix,
     "op5_pii": op5_pii,
+    "op7_token_records": op7_token_records,
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
 }
