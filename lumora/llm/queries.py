@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, quality, secrets, source_mix, token_records, url_filter
+from . import near_dup, pii, quality, secrets, source_mix, token_records, url_filter
 from .common import LOWER, UPPER, table
 
 
@@ -57,6 +57,10 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_source_mix": op2_source_mix,
@@ -64,5 +68,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_records": op7_token_records,
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
+    "op10_near_dup": op10_near_dup,
 }
 ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL}
