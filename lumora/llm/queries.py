@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup, pii, quality, secrets, source_mix, token_records, url_filter
+from . import lm_score, near_dup, pii, quality, secrets, source_mix, token_records, url_filter
 from .common import LOWER, UPPER, table
 
 
@@ -39,6 +39,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_source_mix": op2_source_mix,
     "op5_pii": op5_pii,
+    "op6_lm_score": op6_lm_score,
     "op7_token_records": op7_token_records,
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
