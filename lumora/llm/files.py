@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.dataset as pads
 import pyarrow.fs as pafs
 
 
@@ -9,3 +11,11 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     if uri.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
     return pafs.FileSystem.from_uri(uri)
+
+
+def read_part(folder: str, part: int, columns: list[str]) -> pa.Table | None:
+    """The rows of a table written with ``partitionBy("part")`` that belong to one part; None if there are none."""
+    fs, top = open_fs(f"{folder}/part={part}")
+    if fs.get_file_info(top).type == pafs.FileType.NotFound:
+        return None
+    return pads.dataset(top, filesystem=fs, format="parquet").to_table(columns=columns)
