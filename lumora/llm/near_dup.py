@@ -131,7 +131,7 @@ def sketch_with(idf: np.ndarray):
             offsets = np.append(0, np.cumsum(has)).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(offsets * BANDS), pa.array(mix(band).view(np.int64).ravel()))
             slots = pa.ListArray.from_arrays(pa.array(offsets * SLOTS), pa.array((s & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32).ravel()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(weight), bands, slots], ["doc_id", "tid", "weight", "bands", "slots"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(weight), bands, slots], ["doc_id", "tid", "row", "weight", "bands", "slots"])
 
     return sketch
 
@@ -181,17 +181,17 @@ def compare_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(sorted(set(out)), columns=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of the class), class_size, n_links (links of its text) for each row of ``docs(doc_id, text)``.
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, tid, row) of every row, and (tid, label, class_id, class_size, n_links, keeper) of every different text.
 
-    Null and empty texts are copies of each other; texts without words link to no other text. Repeated rows are rows of one
-    class. A class whose doc_ids are all null has a null class_id. Weighted similarity of 0.8 or more is a link.
+    ``keeper`` is the row of the class that stays where one has to: that of the smallest doc_id (nulls last).
     """
     tid = F.unhex(F.md5(text_of())).alias("tid")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tid, text_of().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tid, F.monotonically_increasing_id().alias("row"), text_of().alias("text"))
     idf = idf_table(docs)
-    sketches = stored(rows.mapInArrow(sketch_with(idf), "doc_id long, tid binary, weight double, bands array<long>, slots array<int>"), "sketches")
-    nodes = sketches.groupBy("tid").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first("bands").alias("bands"))
+    sketches = stored(rows.mapInArrow(sketch_with(idf), "doc_id long, tid binary, row long, weight double, bands array<long>, slots array<int>"), "sketches")
+    keeper = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    nodes = sketches.groupBy("tid").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), keeper.alias("keeper"), F.first("bands").alias("bands"))
     banded = stored(nodes.select("tid", F.posexplode("bands").alias("band", "key")), "bands")
     leaders = stored(banded.groupBy("band", "key").agg(F.min("tid").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"), "leaders")
     members = stored(banded.join(leaders, ["band", "key"]), "members")
@@ -219,7 +219,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = stored(links.unionByName(verify(more, texts, idf)), "links")
         labels = components(links)
     ends = links.select(F.col("a").alias("tid")).union(links.select("b")).groupBy("tid").agg(F.count("*").alias("n_links"))
-    found = nodes.select("tid", "first_id", "n").join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
-    classes = found.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size"))
-    by_text = stored(found.select("tid", "label").join(classes, "label").join(ends, "tid", "left").select("tid", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "classes")
-    return sketches.select("doc_id", "tid").join(by_text, "tid").select("doc_id", "class_id", "class_size", "n_links")
+    found = nodes.select("tid", "first_id", "n", "keeper").join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
+    whole = found.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size"), F.min("keeper").alias("keeper"))
+    by_text = found.select("tid", "label").join(whole, "label").join(ends, "tid", "left")
+    return sketches.select("doc_id", "tid", "row"), stored(by_text.select("tid", "label", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("keeper.row").alias("keeper")), "classes")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of the class), class_size, n_links (links of its text) for each row of ``docs(doc_id, text)``.
+
+    Null and empty texts are copies of each other; texts without words link to no other text. Repeated rows are rows of one
+    class. A class whose doc_ids are all null has a null class_id. Weighted similarity of 0.8 or more is a link.
+    """
+    rows, by_text = classes(docs)
+    return rows.join(by_text, "tid").select("doc_id", "class_id", "class_size", "n_links")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row, all columns, of each class of ``docs``: that of the smallest doc_id. ``docs`` must be a table scan."""
+    _, by_text = classes(docs)
+    keepers = by_text.select(F.col("keeper").alias("__row")).distinct()
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(keepers, "__row", "left_semi").drop("__row")

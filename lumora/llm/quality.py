@@ -76,16 +76,22 @@ def measures(t: Texts) -> dict[str, np.ndarray]:
     return out
 
 
+def verdicts(t: Texts) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """The measures, which texts fail the base rule, and the first rule that failed (or None)."""
+    m = measures(t)
+    failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
+    reason = np.full(t.n, None, object)
+    found = [("lines", m["dup_line_chars"] > LINE_LIMIT), ("symbols", m["n_symbols"] > SYMBOLS_PER_WORD * m["n_words"])]
+    found += [(f"grams_{n}", m[f"dup_gram_chars_{n}"] > GRAM_LIMITS[n]) for n in GRAMS]
+    for name, bad in [*found[::-1], ("base", failed)]:
+        reason[bad] = name
+    return m, failed, reason
+
+
 def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, t in chunks(batches):
-        m = measures(t)
-        failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
-        reason = np.full(t.n, None, object)
-        found = [("lines", m["dup_line_chars"] > LINE_LIMIT), ("symbols", m["n_symbols"] > SYMBOLS_PER_WORD * m["n_words"])]
-        found += [(f"grams_{n}", m[f"dup_gram_chars_{n}"] > GRAM_LIMITS[n]) for n in GRAMS]
-        for name, bad in [*found[::-1], ("base", failed)]:
-            reason[bad] = name
-        columns = {"doc_id": batch.column(0), **m, "base_failed": failed, "kept": reason == None, "reason": pa.array(reason, pa.string())}  # noqa: E711
+        m, failed, reason = verdicts(t)
+        columns = {"doc_id": batch.column(0), **m, "base_failed": failed, "kept": np.equal(reason, None).astype(bool), "reason": pa.array(reason, pa.string())}
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         yield pa.RecordBatch.from_arrays([columns[c] if isinstance(columns[c], pa.Array) else pa.array(columns[c]) for c in names], names)
 
@@ -96,3 +102,13 @@ def quality(docs: DataFrame) -> DataFrame:
     A null or empty text has no words, fails the base rule and is not kept. ``reason`` is the first rule that failed.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(judge, SCHEMA)
+
+
+def good_rows(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that the rules keep."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, t in chunks(batches):
+            yield part.filter(pa.array(np.equal(verdicts(t)[2], None).astype(bool)))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lm_score, near_dup, pii, quality, secrets, source_mix, suffix_dedup, token_records, url_filter
+from . import decontam, lm_score, near_dup, pii, quality, secrets, source_mix, suffix_dedup, token_records, url_filter
 from .common import LOWER, UPPER, table
 
 
@@ -35,6 +36,10 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_suffixes(table(spark, sf_dir, "documents"))
 
@@ -47,14 +52,8 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_scores(table(spark, sf_dir, "documents"))
 
 
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_records.token_records(table(spark, sf_dir, "documents"), tokenizer_path())
+    return token_records.token_records(table(spark, sf_dir, "documents"), token_records.default_tokenizer())
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +71,7 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_source_mix": op2_source_mix,
+    "op3_decontam": op3_decontam,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_pii": op5_pii,
     "op6_lm_score": op6_lm_score,
@@ -79,5 +79,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_near_dup": op10_near_dup,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL}

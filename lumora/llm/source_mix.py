@@ -95,12 +95,12 @@ def schedule(per: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, weights=WEIGHTS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, slots (blocks that hold words of it, repeats counted) for every row.
+    """doc_id, source, size, source_size, target, taken, slots (blocks that hold words of it, repeats counted), row for every row.
 
     Null texts have size 0 and are taken 0 times; null sources are one source, the last; repeated rows are rows of their own.
     The result depends on doc_id, source and size only, so reruns agree.
     """
-    sizes = stored(docs.select("doc_id", "source", word_count().alias("size")), "mix-sizes")
+    sizes = stored(docs.select("doc_id", "source", word_count().alias("size"), F.monotonically_increasing_id().alias("row")), "mix-sizes")
     per = stored(quotas(targets(sizes, weights), block_words), "mix-sources")
     # positions in the shuffled stream of a source, in cells of the hash
     n = per.select("source", "source_no", "source_size", "target", "docs")
@@ -110,7 +110,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, weights=WEIGHTS) -> Dat
     rows = rows.withColumn("cell", F.floor((F.col("h").cast("double") / F.lit(2.0**64) + 0.5) * cells).cast("long"))
     sums = rows.groupBy("source_no", "cell").agg(F.sum("size").alias("words"))
     sums = sums.withColumn("before", F.coalesce(F.sum("words").over(Window.partitionBy("source_no").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    order = Window.partitionBy("source_no", "cell").orderBy("h", "doc_id", "size")
+    order = Window.partitionBy("source_no", "cell").orderBy("h", "doc_id", "size", "row")
     rows = rows.withColumn("no", F.row_number().over(order)).withColumn("inside", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     rows = rows.join(sums.select("source_no", "cell", "before"), ["source_no", "cell"]).withColumn("start", F.col("inside") + F.col("before"))
     # slots of each block: full ones, and at most one that takes only the first words of its block
@@ -123,9 +123,19 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, weights=WEIGHTS) -> Dat
     joined = pieces.join(slots, ["source_no", "block"], "left")
     taken = F.coalesce("full", F.lit(0)) * (hi - lo) + F.greatest(F.lit(0), F.least(hi, F.col("block") * block_words + F.coalesce("part", F.lit(0))) - lo)
     held = F.when(F.col("size") > 0, taken).otherwise(0)
-    return joined.groupBy("source_no", "cell", "no", "doc_id", "source", "size", "source_size", "target").agg(
+    return joined.groupBy("row", "doc_id", "source", "size", "source_size", "target").agg(
         F.sum(held).cast("long").alias("taken"), F.sum(F.when(F.col("size") > 0, F.coalesce("full", F.lit(0)) + F.when(F.col("part").isNotNull(), 1).otherwise(0)).otherwise(0)).cast("long").alias("slots"),
-    ).select("doc_id", "source", "size", "source_size", "target", "taken", "slots")
+    ).select("doc_id", "source", "size", "source_size", "target", "taken", "slots", "row")
+
+
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it: its taken words over its size, rounded.
+
+    ``docs`` must be a table scan. Rows without words are not taken.
+    """
+    taken = mix(docs).where("size > 0").select(F.col("row").alias("__row"), F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int").alias("__times")).where("__times > 0")
+    rows = docs.withColumn("__row", F.monotonically_increasing_id()).join(taken, "__row")
+    return rows.withColumn("__times", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
 
 def _few(per: DataFrame, most: int = 50_000) -> bool:
