@@ -7,9 +7,10 @@
   slot with the probability of their weighted Jaccard similarity. The random draws of a shingle and slot are looked up by
   hash in a table of POOL triples (gamma, gamma, uniform).
 * BANDS bands of ROWS slots make the buckets. A pair of similarity 0.8 misses all of them with probability 2e-4.
-* Exact copies are one node from the start. In a bucket, each text is compared with the first one and with the one before
-  it, so a group of n costs 2n comparisons. Texts of one bucket that are still in different components after that are
-  compared by their samples, block by block, and those that agree in MIN_AGREE slots are verified too. No group is capped.
+* Exact copies are one node from the start. In a bucket, each text is compared with the one that shares most buckets with
+  others and with the one before it, so a group of n costs 2n comparisons. Texts of one bucket that are still in different
+  components after that are compared block by block: by their samples, and those that agree in MIN_AGREE slots by their
+  shingles. A block gives only links that join two components, so its result is no longer than its input. No group is capped.
 * Every link is verified on the whole texts. Classes are the connected components.
 """
 
@@ -142,13 +143,8 @@ def similarities(a: Texts, b: Texts, idf: np.ndarray) -> np.ndarray:
     (da, ha, wa), (db, hb, wb) = shingles(a, idf), shingles(b, idf)
     ca, cb = np.searchsorted(da, np.arange(a.n + 1)), np.searchsorted(db, np.arange(b.n + 1))
     for i in range(a.n):
-        x, y, wx, wy = ha[ca[i] : ca[i + 1]], hb[cb[i] : cb[i + 1]], wa[ca[i] : ca[i + 1]], wb[cb[i] : cb[i + 1]]
-        if not len(x) or not len(y):
-            continue
-        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-        same = y[at] == x
-        low = np.minimum(wx[same], wy[at[same]]).sum()
-        out[i] = low / (wx.sum() + wy.sum() - low)
+        p, q = slice(ca[i], ca[i + 1]), slice(cb[i], cb[i + 1])
+        out[i] = similarity(ha[p], wa[p], hb[q], wb[q])
     return out
 
 
@@ -166,23 +162,58 @@ def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     return two.mapInArrow(check, "a binary, b binary, similarity double")
 
 
+def similarity(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two sorted shingle sets."""
+    if not len(x) or not len(y):
+        return 0.0
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    same = y[at] == x
+    low = np.minimum(wx[same], wy[at[same]]).sum()
+    return float(low / (wx.sum() + wy.sum() - low))
+
+
 def compare_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block pair of a bucket that lie in different components and agree in enough slots."""
+    """Links between the components that meet in one block pair of a bucket, as few as join them."""
     i0, j0 = pdf["left"].iloc[0], pdf["right"].iloc[0]
-    x, y = pdf[pdf["block"] == i0], pdf[pdf["block"] == j0]
+    x, y = pdf[pdf["block"] == i0].reset_index(drop=True), pdf[pdf["block"] == j0].reset_index(drop=True)
     sx, sy = np.array(x["slots"].tolist()), np.array(y["slots"].tolist())
+    wy, root = y["weight"].to_numpy(), {}
+
+    def find(k: bytes) -> bytes:
+        while k in root:
+            k = root[k]
+        return k
+
     out = []
     for n in range(len(x)):
-        agree = (sy == sx[n]).sum(1) >= MIN_AGREE
-        lo, w = np.minimum(y["weight"].to_numpy(), x["weight"].iloc[n]), np.maximum(y["weight"].to_numpy(), x["weight"].iloc[n])
-        for m in np.flatnonzero(agree & (lo >= SIMILARITY * w * 0.999) & (y["label"].to_numpy() != x["label"].iloc[n])):
-            a, b = x["tid"].iloc[n], y["tid"].iloc[m]
-            out.append((min(a, b), max(a, b)))
-    return pd.DataFrame(sorted(set(out)), columns=["a", "b"])
+        agree = (sy == sx[n]).sum(1)
+        w = x["weight"].iloc[n]
+        near = np.flatnonzero((agree >= MIN_AGREE) & (np.minimum(wy, w) >= SIMILARITY * 0.999 * np.maximum(wy, w)))
+        for m in near[np.argsort(-agree[near], kind="stable")].tolist():
+            a, b = find(x["label"][n]), find(y["label"][m])
+            if a != b:
+                s = similarity(x["hashes"][n], x["weights"][n], y["hashes"][m], y["weights"][m])
+                if s >= SIMILARITY:
+                    root[a] = b
+                    out.append((x["tid"][n], y["tid"][m], s))
+    return pd.DataFrame(out, columns=["a", "b", "similarity"])
+
+
+def sets_with(idf: np.ndarray):
+    """The sorted shingles and weights of texts."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, t in chunks(batches):
+            doc, h, w = shingles(t, idf)
+            h, offsets = h.view(np.int64), np.searchsorted(doc, np.arange(t.n + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(v)) for v in (h, w)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *lists], ["tid", "hashes", "weights"])
+
+    return sets
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, tid, row) of every row, and (tid, label, class_id, class_size, n_links, keeper) of every different text.
+    """(doc_id, tid, row) of every row, and (tid, label, class_id, class_size, keeper) of every different text.
 
     ``keeper`` is the row of the class that stays where one has to: that of the smallest doc_id (nulls last).
     """
@@ -193,12 +224,15 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keeper = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
     nodes = sketches.groupBy("tid").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), keeper.alias("keeper"), F.first("bands").alias("bands"))
     banded = stored(nodes.select("tid", F.posexplode("bands").alias("band", "key")), "bands")
-    leaders = stored(banded.groupBy("band", "key").agg(F.min("tid").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"), "leaders")
-    members = stored(banded.join(leaders, ["band", "key"]), "members")
-    # with the first and with the one before; in cells of the text's hash, so that a large bucket is several windows
+    buckets = stored(banded.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    members = stored(banded.join(buckets, ["band", "key"]), "members")
+    # the leader of a bucket shares most buckets with others: of copies of one text, that text
+    shared = members.groupBy("tid").agg(F.sum("n").alias("shared"))
+    leaders = stored(members.join(shared, "tid").groupBy("band", "key").agg(F.max(F.struct("shared", "tid")).alias("top")).select("band", "key", F.col("top.tid").alias("leader")), "leaders")
+    # with the leader and with the one before; in cells of the text's hash, so that a large bucket is several windows
     cell = F.substring("tid", 1, 1)
     order = Window.partitionBy("band", "key", "cell").orderBy("tid")
-    before = members.withColumn("cell", cell).withColumn("before", F.lag("tid").over(order)).select(F.explode(F.array("leader", "before")).alias("a"), F.col("tid").alias("b"))
+    before = members.join(leaders, ["band", "key"]).withColumn("cell", cell).withColumn("before", F.lag("tid").over(order)).select(F.explode(F.array("leader", "before")).alias("a"), F.col("tid").alias("b"))
     pairs = stored(before.where("a is not null and a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     wanted = members.select("tid").distinct()
     texts = stored(rows.select("tid", "text").join(wanted, "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text")), "texts")
@@ -211,28 +245,26 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     left = open_.join(several, ["band", "key"]).withColumn("block", F.pmod(F.hash("tid"), F.ceil(F.col("n") / BLOCK)).cast("int"))
     last = F.ceil(F.col("n") / BLOCK).cast("int") - 1
     mates = F.transform(F.sequence(F.lit(0), last), lambda o: F.struct(F.least(o, "block").alias("left"), F.greatest(o, "block").alias("right")))
-    slots = sketches.select("tid", "slots", "weight").dropDuplicates(["tid"])
-    dealt = left.join(slots, "tid").withColumn("mate", F.explode(mates)).select("band", "key", "mate.left", "mate.right", "block", "tid", "label", "weight", "slots")
-    more = dealt.groupBy("band", "key", "left", "right").applyInPandas(compare_blocks, "a binary, b binary").distinct()
-    more = stored(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+    slots = sketches.select("tid", "slots", "weight").join(left.select("tid").distinct(), "tid", "left_semi").dropDuplicates(["tid"])
+    full = texts.join(left.select("tid").distinct(), "tid", "left_semi").select("tid", "text").mapInArrow(sets_with(idf), "tid binary, hashes array<long>, weights array<double>")
+    dealt = left.join(slots, "tid").join(full, "tid").withColumn("mate", F.explode(mates)).select("band", "key", "mate.left", "mate.right", "block", "tid", "label", "weight", "slots", "hashes", "weights")
+    more = stored(dealt.groupBy("band", "key", "left", "right").applyInPandas(compare_blocks, "a binary, b binary, similarity double"), "more-links")
     if not more.isEmpty():
-        links = stored(links.unionByName(verify(more, texts, idf)), "links")
-        labels = components(links)
-    ends = links.select(F.col("a").alias("tid")).union(links.select("b")).groupBy("tid").agg(F.count("*").alias("n_links"))
+        labels = components(links.unionByName(more))
     found = nodes.select("tid", "first_id", "n", "keeper").join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
     whole = found.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size"), F.min("keeper").alias("keeper"))
-    by_text = found.select("tid", "label").join(whole, "label").join(ends, "tid", "left")
-    return sketches.select("doc_id", "tid", "row"), stored(by_text.select("tid", "label", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("keeper.row").alias("keeper")), "classes")
+    by_text = found.select("tid", "label").join(whole, "label").select("tid", "label", "class_id", "class_size", F.col("keeper.row").alias("keeper"))
+    return sketches.select("doc_id", "tid", "row"), stored(by_text, "classes")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of the class), class_size, n_links (links of its text) for each row of ``docs(doc_id, text)``.
+    """doc_id, class_id (the smallest doc_id of the class), class_size for each row of ``docs(doc_id, text)``.
 
     Null and empty texts are copies of each other; texts without words link to no other text. Repeated rows are rows of one
     class. A class whose doc_ids are all null has a null class_id. Weighted similarity of 0.8 or more is a link.
     """
     rows, by_text = classes(docs)
-    return rows.join(by_text, "tid").select("doc_id", "class_id", "class_size", "n_links")
+    return rows.join(by_text, "tid").select("doc_id", "class_id", "class_size")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
