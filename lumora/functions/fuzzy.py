@@ -7,11 +7,12 @@ from difflib import SequenceMatcher, get_close_matches
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import COMMON_TERMS, tokens
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 * matches / (len a + len b); the argument order matters."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
@@ -56,7 +57,7 @@ def correct_spelling(answers: DataFrame, vocab: DataFrame, **rules) -> DataFrame
     return out.select(*answers.columns, F.coalesce(F.array_join(F.col("w.corrected"), " "), F.lit("")).alias("corrected"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def closest(words: pd.Series, dictionary: pd.Series) -> pd.Series:
     """The close match of a word in its dictionary at 0.75, else the word: the plain form for short fixed lists."""
     return pd.Series([(get_close_matches(w, list(d), n=1, cutoff=0.75) or [w])[0] for w, d in zip(words, dictionary, strict=True)])

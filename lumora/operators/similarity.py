@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumora.functions import text as tf
 
@@ -30,7 +31,7 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n).otherwise(0.0)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def lexical_encoder(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Counts of character trigrams of the lower-cased words, hashed into 256 places, to unit length."""
     for texts in batches:

@@ -345,6 +345,4 @@ QUERIES = {
     "spell_correct": _spell,
     "fuzzy_keyword_cover": _fuzzy_cover,
     "greedy_semantic": _greedy,
-    "grade_breakdown": _grade,
-    "grade_results": _grade_results,
 }
