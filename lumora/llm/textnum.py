@@ -6,6 +6,7 @@ Their constants are fixed, so all workers and reruns agree.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -34,7 +35,7 @@ def powers(base: int, n: int) -> np.ndarray:
         steps = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
         steps[0] = 1
         made = np.multiply.accumulate(steps)
-        if n > 8 * CHUNK_BYTES:  # of a very long text: not kept
+        if n > CHUNK_BYTES + 1:  # of a long text: not kept
             return made
         have = _powers[base] = made
     return have[:n]
@@ -152,8 +153,23 @@ def covered(first: np.ndarray, length: int | np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers live on between tasks and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if free is not None:
+        free(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
-    """Slices of the batches with about `most` bytes of text, or one row if that is longer."""
+    """Slices of the batches with about `most` bytes of text, or one row if that is longer. Freed memory is given back at the end."""
+    try:
+        yield from _slices(batches, text, most)
+    finally:
+        trim()
+
+
+def _slices(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[tuple[pa.RecordBatch, Texts]]:
     for batch in batches:
         if not batch.num_rows:
             continue

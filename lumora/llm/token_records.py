@@ -17,6 +17,7 @@ its pieces in order.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -83,6 +84,8 @@ class Encoder:
     PROBE = ["the", "Straße", "ÉTÉ,", "µm.", "don", "zwölf,"]
 
     def __init__(self, path: str):
+        # a task has one core; threads of the library would only add memory
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -110,8 +113,12 @@ class Encoder:
         return np.array(ids, self.type).tobytes()
 
     def _whole(self, pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
-        made = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
-        return [(p, self._ids(e.ids)) for p, e in zip(pieces, made, strict=True)]
+        out, step = [], 2000
+        for i in range(0, len(pieces), step):
+            part = pieces[i : i + step]
+            made = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in part], add_special_tokens=False)
+            out += [(p, self._ids(e.ids)) for p, e in zip(part, made, strict=True)]
+        return out
 
     def _short(self, pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
         marks = {m: self._ids(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in ",."}
