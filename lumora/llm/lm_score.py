@@ -2,14 +2,16 @@
 
 Texts have A-Z lower-cased. A byte is eight binary decisions; each decision has its own tree over the bytes before it, up to
 DEPTH = 3 of them (zeros before a text). A node holds the Krichevsky-Trofimov estimate of its decisions; context-tree
-weighting mixes, at every node, this estimate (one half) with the product of the nodes one byte deeper (one half). All pairs
-of bytes are contexts; of the three-byte contexts the LEAVES most frequent have a node of their own, and the others of one
-pair share one, so the model has a fixed largest size (84 MB) while its counts come from every training text. The code length of a
-text is the sum of -log2 of the weighted predictions; ``score`` is the log10 probability.
-
-Passes: one over the texts counts words and 4-byte runs for each input partition; a shuffle adds the counts up and sends
-each partition's words back with their totals, to a table with a folder for each partition; a second pass over the same
-partitions reads its folder and scores. Words and their counts are thus never held in one place. Words are known by a
+weighting mixes, at every node, this estimate (one half) with the product of the nodes one byte deeper (one half). Every
+context of the training texts is a node. The code length of a text is the sum of -log2 of the weighted predictions; ``score``
+is the log10 probability.
+
+The nodes above the deepest (at most 65,536 pairs of bytes, by 256 decisions) go to all executors; the deepest, whose number
+grows with the corpus, stay in Spark: each partition is sent the counts after the three-byte contexts that it holds.
+
+Passes: one over the texts counts words and 4-byte runs for each input partition; shuffles add the counts up and send
+each partition's words and contexts back with their totals, to tables with a folder for each partition; a second pass over
+the same partitions reads its folders and scores. Words and their counts are thus never held in one place. Words are known by a
 64-bit hash: of V distinct words, V / 2**64 are expected to share one.
 """
 
@@ -19,17 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset as pads
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path
-from .files import open_fs
+from .common import fresh_path, stored
+from .files import read_part
 from .textnum import Texts, chunks
 
 FOLDS, HELD_OUT = 7, 2
 DEPTH = 3
-LEAVES = 1 << 14
+WORDS, RUNS, WANTED = 0, 1, 2
 #: The key of the token that ends a text.
 END = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
@@ -73,23 +74,27 @@ class Tally:
 
 
 def count_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, part, n): words of the partition with their training counts; runs of four bytes as part -1."""
+    """(kind, key, part, n): words with their training counts; training runs of four bytes; contexts of three bytes."""
     from pyspark import TaskContext
 
-    part_no, words, runs = TaskContext.get().partitionId(), Tally(), Tally()
+    part_no, words, runs, wanted = TaskContext.get().partitionId(), Tally(), Tally(), Tally()
     for part, t in chunks(batches):
         t = lowered(t)
         train = ~part.column(1).to_numpy(zero_copy_only=False)
         keys, at = np.unique(t.word_hash, return_inverse=True)
         words.add(np.append(keys, END), np.append(np.bincount(at, weights=train[t.word_doc], minlength=len(keys)), train.sum()).astype(np.int64))
         of_train = np.repeat(train, np.diff(t.offsets))
-        grams, n = np.unique((contexts(t)[of_train] << np.uint32(8)) | t.data[of_train], return_counts=True)
+        before = contexts(t)
+        grams, n = np.unique((before[of_train] << np.uint32(8)) | t.data[of_train], return_counts=True)
         runs.add(grams.astype(np.uint64), n)
-    for tally, no in ((words, part_no), (runs, -1)):
+        own = np.append(grams >> np.uint32(8), before[~of_train])
+        own = np.unique(own).astype(np.uint64)
+        wanted.add(own, np.zeros(len(own), np.int64))
+    for kind, tally in ((WORDS, words), (RUNS, runs), (WANTED, wanted)):
         tally.fold()
         for a in range(0, len(tally.keys), 200_000):
             k = tally.keys[a : a + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.full(len(k), no, np.int32)), pa.array(tally.sums[a : a + 200_000])], ["key", "part", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k.view(np.int64)), pa.array(np.full(len(k), part_no, np.int32)), pa.array(tally.sums[a : a + 200_000])], ["kind", "key", "part", "n"])
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -111,114 +116,112 @@ def decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tree[:, 0:512:2][:, :256], tree[:, 1:512:2][:, :256]
 
 
-def estimate(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For counts by byte: ln of the KT block probability of each decision, and the KT prediction of a one."""
+def blocks(counts: np.ndarray) -> np.ndarray:
+    """For counts by byte: ln of the KT block probability of each decision."""
     zeros, ones = decisions(counts)
-    block = log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - np.log(np.pi)
-    return block, (ones + 0.5) / (zeros + ones + 1)
+    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - np.log(np.pi)
+
+
+class Runs:
+    """Counts of (context, byte), as sorted keys context * 256 + byte and running sums."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.sums = np.append(0, np.cumsum(counts[order]))
+
+    def predict(self, keys: np.ndarray) -> list[np.ndarray]:
+        """The KT prediction of each of the eight bits of the keys' bytes, after the bits before."""
+        out, above = [], None
+        for level in range(9):
+            width = np.int64(1 << (8 - level))
+            low = keys & -width
+            n = self.sums[np.searchsorted(self.keys, low + width)] - self.sums[np.searchsorted(self.keys, low)]
+            if above is not None:
+                out.append((n + 0.5) / (above + 1.0))
+            above = n
+        return out
 
 
 class Model:
-    """Predictions of a trained tree: a row of log10 probabilities of the next byte for each leaf."""
-
-    def __init__(self, pairs: np.ndarray, pair_counts: np.ndarray, triples: np.ndarray, triple_counts: np.ndarray):
-        """pairs, triples: sorted contexts (last byte lowest); counts: a row of 256 for each. Triples extend pairs."""
-        n2, n3 = len(pairs), len(triples)
-        parent3 = np.searchsorted(pairs, triples & 0xFFFF)
-        rest = pair_counts.astype(np.float64)
-        np.subtract.at(rest, parent3, triple_counts)
-        self.kept = triples
-        half = np.log(0.5)
+    """The nodes of up to two bytes: counts, and the weight of each decision's own estimate."""
 
-        def node(counts: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            block, one = estimate(counts)
-            whole = np.logaddexp(half + block, half + below)
-            return whole, np.exp(half + block - whole), one
-
-        block_rest, one_rest = estimate(rest)
-        block3, one3 = estimate(triple_counts)
-        below2 = block_rest
-        np.add.at(below2, parent3, block3)
-        whole2, w2, one2 = node(pair_counts, below2)
-        firsts, parent2 = np.unique(pairs & 0xFF, return_inverse=True)
-        counts1, below1 = np.zeros((len(firsts), 256)), np.zeros((len(firsts), 256))
-        np.add.at(counts1, parent2, pair_counts)
-        np.add.at(below1, parent2, whole2)
-        whole1, w1, one1 = node(counts1, below1)
-        _, w0, one0 = node(counts1.sum(0, keepdims=True), whole1.sum(0, keepdims=True))
-        # leaves: triples, then what is left of each pair, then unseen pairs of each seen byte, then unseen bytes
-        n1 = len(firsts)
-        self.rows = np.empty((n3 + n2 + n1 + 1, 256), np.float32)
-        symbols = np.arange(256)
-        nodes = [(256 | symbols) >> (8 - level) for level in range(8)]
-        bits = [(symbols >> (7 - level)) & 1 for level in range(8)]
-
-        def fill(at: int, p: np.ndarray) -> None:
-            total = 0
-            for node_, bit in zip(nodes, bits, strict=True):
-                q = p[:, node_]
-                total = total + np.log10(np.where(bit, q, 1 - q))
-            self.rows[at : at + len(p)] = total
-
-        top = lambda p, i1: w0 * one0 + (1 - w0) * (w1[i1] * one1[i1] + (1 - w1[i1]) * p)
-        for a in range(0, n3, 512):
-            i2 = parent3[a : a + 512]
-            fill(a, top(w2[i2] * one2[i2] + (1 - w2[i2]) * one3[a : a + 512], parent2[i2]))
-        for a in range(0, n2, 512):
-            b = slice(a, a + 512)
-            fill(n3 + a, top(w2[b] * one2[b] + (1 - w2[b]) * one_rest[b], parent2[b]))
-        if n1:
-            fill(n3 + n2, top(np.full((n1, 256), 0.5), np.arange(n1)))
-            fill(n3 + n2 + n1, w0 * one0 + (1 - w0) * 0.5)
-        else:
-            fill(0, np.full((1, 256), 0.5))
-        by_byte = np.full(256, n3 + n2 + n1, np.int32)
-        by_byte[firsts] = n3 + n2 + np.arange(n1)
-        self.by_pair = by_byte[np.arange(65_536) & 0xFF]
-        self.by_pair[pairs] = n3 + np.arange(n2)
-        self.leaf3 = None
-
-    def log10(self, context: np.ndarray, data: np.ndarray) -> np.ndarray:
-        if self.leaf3 is None:  # made on the worker
-            self.leaf3 = np.zeros(1 << 24, np.uint16)
-            self.leaf3[self.kept] = np.arange(1, len(self.kept) + 1)
-        own = self.leaf3[context]
-        leaf = np.where(own > 0, own.astype(np.int32) - 1, self.by_pair[context & 0xFFFF])
-        return self.rows[leaf, data]
-
-
-def train(counted: DataFrame, leaves: int = LEAVES) -> Model:
-    """The model of the runs of four bytes in ``counted(key, part, c, first)``; collects at most 2**24 + 256 * leaves sums."""
-    runs = counted.where("part = -1 and first").select(F.shiftrightunsigned("key", 8).alias("triple"), F.expr("key & 16777215").alias("three"), F.expr("key & 255").alias("byte"), "c")
-    threes = runs.groupBy("three").agg(F.sum("c").alias("c")).toArrow()
-    best = runs.groupBy("triple").agg(F.sum("c").alias("total")).orderBy(F.desc("total"), "triple").limit(leaves).select("triple")
-    fours = runs.join(best, "triple").select("triple", "byte", "c").toArrow()
-
-    def dense(contexts_: np.ndarray, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, at = np.unique(contexts_, return_inverse=True)
-        table = np.zeros((len(keys), 256), np.float32 if len(counts) and counts.max() < 2**24 else np.float64)
-        table[at, symbols] = counts
-        return keys, table
-
-    three, c3 = threes["three"].to_numpy(), threes["c"].to_numpy()
-    pairs = dense(three >> 8, three & 255, c3)
-    triples = dense(fours["triple"].to_numpy(), fours["byte"].to_numpy(), fours["c"].to_numpy())
-    return Model(*pairs, *triples)
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, below_pairs: np.ndarray, below: np.ndarray):
+        """keys, counts: runs of a pair and a byte (the pair's last byte lowest); below_pairs, below: sums over deeper nodes, row by row."""
+        half = np.log(0.5)
+        self.levels = [Runs(keys & 0xFF, counts), Runs(keys & 0xFFFF, counts), Runs(keys, counts)]
+        deep, self.weights = np.zeros((0, 256)), []
+        own = np.unique(keys >> 8)
+        deep = np.zeros((len(own), 256))
+        np.add.at(deep, np.searchsorted(own, below_pairs), below)
+        for level in (2, 1, 0):
+            dense = np.zeros((len(own), 256))
+            np.add.at(dense, (np.searchsorted(own, (keys >> 8) & ((1 << 8 * level) - 1)), keys & 0xFF), counts)
+            block = blocks(dense)
+            whole = np.logaddexp(half + block, half + deep)
+            # a last row for contexts that were not seen
+            self.weights.insert(0, (own, np.concatenate([np.exp(half + block - whole), np.full((1, 256), 0.5)]).astype(np.float32)))
+            if level:
+                up = own & ((1 << 8 * (level - 1)) - 1)
+                own, at = np.unique(up, return_inverse=True)
+                deep = np.zeros((len(own), 256))
+                np.add.at(deep, at, whole)
+
+    def log10(self, runs: np.ndarray, deepest: Runs) -> np.ndarray:
+        """log10 of the weighted prediction of the byte of each run (three bytes, last lowest, then the byte)."""
+        byte = runs & 0xFF
+        p = deepest.predict(runs)
+        for level in (2, 1, 0):
+            context = (runs >> 8) & ((1 << 8 * level) - 1)
+            own, weights = self.weights[level]
+            row = np.searchsorted(own, context)
+            row[own[np.minimum(row, len(own) - 1)] != context if len(own) else slice(None)] = len(own)
+            for bit, q in enumerate(self.levels[level].predict(context << 8 | byte)):
+                w = weights[row, (256 | byte) >> (8 - bit)]
+                p[bit] = w * q + (1 - w) * p[bit]
+        return np.log10(p).sum(0)
+
+
+def sums_below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pair, below): sums of the block probabilities of three-byte contexts, rows sorted by pair, some hundreds at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 512):
+            part = batch.slice(a, 512)
+            pair, after = part.column(0).to_numpy(), part.column(1)
+            sizes, flat = after.value_lengths().to_numpy(), after.flatten()
+            dense = np.zeros((len(pair), 256))
+            dense[np.repeat(np.arange(len(pair)), sizes), flat.field("byte").to_numpy()] = flat.field("c").to_numpy()
+            first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+            sums = np.add.reduceat(blocks(dense), first, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[first]), pa.array([x.tobytes() for x in sums], pa.binary())], ["pair", "below"])
+
+
+def train(runs: DataFrame, after: DataFrame) -> Model:
+    """The model of ``runs(key, c)`` and ``after(triple, pair, after)``; collects at most 2**24 sums and 100,000 rows of 2 KB."""
+    pairs = runs.groupBy(F.expr("key & 16777215").alias("key")).agg(F.sum("c").alias("c")).toArrow()
+    below = after.repartition("pair").sortWithinPartitions("pair").select("pair", "after").mapInArrow(sums_below, "pair long, below binary").toArrow()
+    rows = np.frombuffer(b"".join(below["below"].to_pylist())).reshape(-1, 256)
+    return Model(pairs["key"].to_numpy(), pairs["c"].to_numpy(), below["pair"].to_numpy(), rows)
 
 
 def score_with(folder: str, model, n_train: int, n_distinct: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        fs, top = open_fs(f"{folder}/part={TaskContext.get().partitionId()}")
+        no = TaskContext.get().partitionId()
         keys = counts = None
         for part, t in chunks(batches):
             if keys is None:
-                known = pads.dataset(top, filesystem=fs, format="parquet").to_table(columns=["key", "c"])
+                known = read_part(f"{folder}/words", no, ["key", "c"])
+                if known is None:
+                    raise RuntimeError("the input's partitions changed between the passes")
                 keys, counts = known["key"].to_numpy().view(np.uint64), known["c"].to_numpy()
                 order = np.argsort(keys)
                 keys, counts = keys[order], counts[order]
                 end = counts[np.searchsorted(keys, END)]
+                own = read_part(f"{folder}/runs", no, ["key", "c"])
+                deepest = Runs(*(own[c].to_numpy() for c in ("key", "c"))) if own else Runs(np.empty(0, np.int64), np.empty(0, np.int64))
+                seen, values = np.empty(0, np.int64), np.empty(0)
             t = lowered(t)
             at = np.minimum(np.searchsorted(keys, t.word_hash), len(keys) - 1)
             if not (keys[at] == t.word_hash).all():
@@ -227,7 +230,14 @@ def score_with(folder: str, model, n_train: int, n_distinct: int):
             over = np.log10(n_train + n_distinct + 1.0)
             by_word = np.append(0.0, np.cumsum(np.log10(c + 1.0) - over))
             base = by_word[t.word_offsets[1:]] - by_word[t.word_offsets[:-1]] + np.log10(end + 1.0) - over
-            by_byte = np.append(0.0, np.cumsum(model.value.log10(contexts(t), t.data).astype(np.float64)))
+            runs, at = np.unique((contexts(t) << np.uint32(8)) | t.data, return_inverse=True)
+            runs = runs.astype(np.int64)
+            new = np.setdiff1d(runs, seen, assume_unique=True)
+            if len(new):
+                seen, values = np.append(seen, new), np.append(values, model.value.log10(new, deepest))
+                order = np.argsort(seen)
+                seen, values = seen[order], values[order]
+            by_byte = np.append(0.0, np.cumsum(values[np.searchsorted(seen, runs)][at]))
             value = by_byte[t.offsets[1:]] - by_byte[t.offsets[:-1]]
             n_bytes = np.diff(t.offsets)
             bits = np.where(n_bytes > 0, -value / np.log10(2) / np.maximum(n_bytes, 1), np.nan)
@@ -246,14 +256,18 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) ->
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == held_out).alias("held_out"), "text")
-    counts = rows.select("doc_id", "held_out", "text").mapInArrow(count_parts, "key long, part int, n long")
-    same = Window.partitionBy(F.col("part") >= 0, "key")
-    counted = counts.withColumn("c", F.sum("n").over(same)).withColumn("first", F.row_number().over(same.orderBy("part")) == 1)
-    # a row a key for the runs; one folder a partition for the words
+    counts = stored(rows.select("doc_id", "held_out", "text").mapInArrow(count_parts, "kind byte, key long, part int, n long"), "lm-parts")
     folder = fresh_path(spark, "lm-counts")
-    dealt = counted.where("part >= 0 or first").withColumn("spread", F.when(F.col("part") < 0, F.pmod("key", F.lit(64))).otherwise(0))
-    dealt.repartition("part", "spread").drop("spread", "n").write.partitionBy("part").parquet(folder)
-    known = spark.read.schema("key long, c long, first boolean, part int").parquet(folder)
-    totals = known.where("part >= 0 and first").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    model = spark.sparkContext.broadcast(train(known))
+    same = Window.partitionBy("key")
+    words = counts.where(F.col("kind") == WORDS).select("key", "part", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("part")) == 1).alias("first"))
+    words.repartition("part").write.partitionBy("part").parquet(f"{folder}/words")
+    known = spark.read.schema("key long, c long, first boolean, part int").parquet(f"{folder}/words")
+    totals = known.where("first").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    runs = stored(counts.where(F.col("kind") == RUNS).groupBy("key").agg(F.sum("n").alias("c")), "lm-runs")
+    # at most 256 bytes follow a context
+    after = runs.groupBy(F.expr("key >> 8").alias("triple")).agg(F.collect_list(F.struct(F.expr("key & 255").alias("byte"), "c")).alias("after"))
+    after = stored(after.select("triple", F.expr("triple & 65535").alias("pair"), "after"), "lm-contexts")
+    wanted = counts.where(F.col("kind") == WANTED).select(F.col("key").alias("triple"), "part").join(after.select("triple", "after"), "triple")
+    wanted.repartition("part").select("part", "triple", F.explode("after").alias("x")).select("part", F.expr("triple << 8 | x.byte").alias("key"), "x.c").write.partitionBy("part").parquet(f"{folder}/runs")
+    model = spark.sparkContext.broadcast(train(runs, after))
     return rows.select("doc_id", "held_out", "text").mapInArrow(score_with(folder, model, int(totals.n or 0), int(totals.v or 0)), SCHEMA)

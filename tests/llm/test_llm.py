@@ -103,9 +103,12 @@ def test_secrets(spark):
 
 def test_tree_weights_sum_to_one():
     rng = np.random.default_rng(2)
-    counts = rng.integers(0, 9, (3, 256)).astype(float)
-    model = lm_score.Model(np.array([0x0101, 0x0201, 0x0302]), counts, np.array([0x050101]), counts[:1] // 2)
-    assert np.allclose((10.0 ** model.rows).sum(1), 1, atol=1e-4)
+    keys = np.array([0x0101, 0x0201, 0x0302])[:, None] * 256 + np.arange(256)
+    counts = rng.integers(0, 9, keys.shape)
+    deepest = lm_score.Runs((0x050101 << 8) + np.arange(256), counts[0])
+    model = lm_score.Model(keys.ravel(), counts.ravel(), np.array([0x0101]), lm_score.blocks(counts[:1].astype(float)))
+    for context in (0x050101, 0x060101, 0x000201, 0x777777, 0x000001):
+        assert np.isclose((10.0 ** model.log10((context << 8) + np.arange(256), deepest)).sum(), 1, atol=1e-5)
     n = np.array([0.5, 3.0, 40.0])
     assert np.allclose(lm_score.log_gamma(n), [math.lgamma(x) for x in n])
 
