@@ -2,7 +2,8 @@
 
 Suffixes are ordered by a radix sort from the most significant digit, only through the threshold; a bucket with one suffix
 is dropped after each pass, and the buckets left at the threshold's depth are exactly the repeated strings. Digits are runs
-of bytes, compared by hashes of 96 bits in all. So that not every suffix has to be dealt out:
+of bytes, compared by hashes: of 64 bits within a bucket of pass one, however large it is, and of 96 bits near the ends. So
+that not every suffix has to be dealt out:
 
 1. The first pass takes suffixes at anchors only: places whose 32 bytes have the least hash of 64 neighbouring places. Equal
    strings have equal anchors, except for those within 64 places of their ends. Pass two orders the anchors left by the rest of the 400 bytes.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, release
 from .files import read_part
-from .textnum import BYTE_VALUES_2, RunningHash, Texts, chunks, covered, mix
+from .textnum import BYTE_VALUES_2, RunningHash, Texts, chunks, covered, mix, trim
 
 LENGTH = 400
 #: Bytes of the first digit, and neighbouring places of which one is an anchor.
@@ -67,19 +68,19 @@ class Places:
         self.digit = h[self.at]
 
     def whole(self) -> np.ndarray:
-        """32 bits of the hash of the LENGTH bytes from each anchor on, never 0; 0 where the text ends before."""
-        out = np.zeros(len(self.at), np.uint32)
+        """The hash of the LENGTH bytes from each anchor on, never 0; 0 where the text ends before."""
+        out = np.zeros(len(self.at), np.uint64)
         on = self.at + LENGTH <= self.end[self.at]
-        out[on] = np.maximum((self.t.hash.of(self.at[on], self.at[on] + LENGTH) >> np.uint64(32)).astype(np.uint32), 1)
-        return out.view(np.int32)
+        out[on] = np.maximum(self.t.hash.of(self.at[on], self.at[on] + LENGTH), np.uint64(1))
+        return out.view(np.int64)
 
     def around(self, base: int, part: int) -> np.ndarray:
-        """32 bits of the hash of all strings that have the anchor as first inner one; of the place where the text is shorter."""
+        """The hash of all strings that have the anchor as first inner one; of the place where the text is shorter."""
         a, b = self.at - BEFORE, self.at + LENGTH - WINDOW + 1
         out = mix((self.at + base).astype(np.uint64) + (np.uint64(part) << np.uint64(40)))
         on = (a >= self.t.offsets[np.searchsorted(self.t.offsets, self.at, "right") - 1]) & (b <= self.end[self.at])
         out[on] = self.t.hash.of(a[on], b[on])
-        return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        return out.view(np.int64)
 
 
 def task_part() -> int:
@@ -96,6 +97,18 @@ def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Te
         base += len(t.data)
 
 
+def trimmed(step):
+    """The step, giving memory back once its last arrays are gone too: an idle worker shares the executor with the sorts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(batches)
+        finally:
+            trim()
+
+    return run
+
+
 def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     no = task_part()
     for _, t, base in walk(batches):
@@ -195,7 +208,7 @@ def repeated_suffixes(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bucket = Window.partitionBy("digit")
     spark = docs.sparkSession
-    suffixes = rows.mapInArrow(find_anchors, "digit long, whole int, around int, part int, at long")
+    suffixes = rows.mapInArrow(trimmed(find_anchors), "digit long, whole long, around long, part int, at long")
     left = suffixes.withColumn("n", F.count("*").over(bucket)).where("n > 1")
     left = left.withColumn("full", (F.col("whole") != 0) & (F.count("*").over(Window.partitionBy("digit", "whole")) > 1))
     left = left.withColumn("no", F.row_number().over(Window.partitionBy("digit", "around").orderBy("part", "at")))
@@ -206,7 +219,7 @@ def repeated_suffixes(docs: DataFrame) -> DataFrame:
     ends = known.select("part", "at", "full", "digit").withColumn("back", back).where("full = 0 or back is null").select("digit").distinct()
     helpers = by_part(known.where("first").select("part", "at", "digit").join(ends, "digit", "left_semi").select("part", "at"), "helpers")
     release(spark)
-    strings = rows.mapInArrow(find_edges(anchors, helpers), "digit long, whole int, part int, at long")
+    strings = rows.mapInArrow(trimmed(find_edges(anchors, helpers)), "digit long, whole int, part int, at long")
     edges = by_part(strings.withColumn("n", F.count("*").over(Window.partitionBy("digit", "whole"))).where("n > 1").select("part", "at"), "edges")
     release(spark)
-    return rows.mapInArrow(remove(anchors, edges), SCHEMA)
+    return rows.mapInArrow(trimmed(remove(anchors, edges)), SCHEMA)
