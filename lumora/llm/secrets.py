@@ -3,7 +3,9 @@
 A candidate is a run of key characters. Its class (hex digits; letters with digits; letters of mixed case) sets the limit.
 A window of ``WINDOW`` characters slides over it: the sum of n * log2(n) over the window's character counts changes only by
 the character that leaves and the one that enters, and entropy = log2(WINDOW) - sum / WINDOW. The highest window decides.
-An allow-list of shapes that are no secrets (UUIDs, paths, host names, plain sequences) suppresses candidates.
+Candidates of ``MIN_SHORT`` characters up to a window are judged if digits and letters alternate, by their share of the entropy
+they could have. An allow-list of shapes that are no secrets (UUIDs, numbers, paths of words) suppresses candidates, but of a path
+the longest segment is still judged by itself; plain sequences are cut out, and what lies between them is judged.
 """
 
 from __future__ import annotations
@@ -23,21 +25,24 @@ ASSIGN_HEAD = r"""^[A-Za-z_]+["']?\x20*+[:=]\x20*+["']?"""
 MIN_ASSIGNED = 8
 ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
-WINDOW = 20
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
+WINDOW, MIN_SHORT = 20, 16
 #: Lowest entropy in bits of a secret's window, by class; 20 characters can have 4.32 bits.
 LIMITS = {"hex": 3.0, "mixed": 3.7, "letters": 3.9}
 ALLOWED = [
     r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
-    r"^/?(?:[A-Za-z]+[/_-])+[A-Za-z0-9]*$",
     r"^[0-9/_=+-]+$",
-    r"(?i)abcdefghij|0123456789|1234567890",
 ]
+#: Segments of letters only; the last may end in a short number.
+PATH = r"^/?(?:[A-Za-z]++[/_-]++)++[A-Za-z]*+[0-9]{0,8}$"
+SEPARATORS = "[/_=+-]+"
+SEQUENCE = "(?i)abcdefghij" + "".join(f"(?:{c}" for c in "klmnopqrstuvwxyz") + ")?" * 16 + "|0123456789|1234567890"
 _N_LOG_N = [n * math.log2(n) if n else 0.0 for n in range(WINDOW + 2)]
 
 
 def highest_entropy(s: Column) -> Column:
-    """The highest entropy of a window of WINDOW characters; -1 if the string is shorter."""
+    """The highest entropy of a window of WINDOW characters; of a shorter string, its entropy as if it had that many."""
+    n = F.length(s).cast("double")
     f = lambda n: F.element_at(F.lit(_N_LOG_N), n + 1)
     char = lambda i: F.substring(s, i, F.lit(1))
     n_in = lambda c, w: F.length(w) - F.length(F.replace(w, c, F.lit("")))
@@ -52,21 +57,31 @@ def highest_entropy(s: Column) -> Column:
         best = F.when(i >= WINDOW, F.greatest(acc["best"], math.log2(WINDOW) - total / WINDOW)).otherwise(acc["best"])
         return F.struct(total.alias("total"), best.alias("best"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), F.struct(F.lit(0.0).alias("total"), F.lit(-1.0).alias("best")), step, lambda acc: acc["best"])
+    return F.aggregate(F.sequence(F.lit(1), F.length(s)), F.struct(F.lit(0.0).alias("total"), F.lit(-1.0).alias("best")), step, lambda acc: F.when(acc["best"] >= 0, acc["best"]).otherwise((1 - acc["total"] / (n * F.log2(n))) * math.log2(WINDOW)))
 
 
 def limit_for(s: Column) -> Column:
     has = lambda p: F.rlike(s, F.lit(p))
-    return (F.when(has("^(?:[0-9a-f]+|[0-9A-F]+)$") & has("[0-9]") & has("[a-fA-F]"), F.lit(LIMITS["hex"]))
+    return (F.when(has("^[0-9a-fA-F]+$") & has("[0-9]") & has("[a-fA-F]"), F.lit(LIMITS["hex"]))
             .when(has("[0-9]") & has("[A-Za-z]"), F.lit(LIMITS["mixed"]))
-            .when(has("(?:[A-Z].*){3}") & has("(?:[a-z].*){3}"), F.lit(LIMITS["letters"])))
+            .when((has("(?:[A-Z].*){3}") & has("(?:[a-z].*){3}")) | has("^[A-Za-z]+$"), F.lit(LIMITS["letters"])))
+
+
+def has_entropy(s: Column) -> Column:
+    short = (F.length(s) >= MIN_SHORT) & F.rlike(s, F.lit("^[A-Za-z0-9]+$")) & F.rlike(s, F.lit("[0-9][A-Za-z]+[0-9]"))
+    return F.when(((F.length(s) >= WINDOW) | short) & limit_for(s).isNotNull(), highest_entropy(s) >= limit_for(s)).otherwise(F.lit(False))
 
 
 def is_secret(s: Column) -> Column:
-    allowed = F.lit(False)
-    for p in ALLOWED:
-        allowed = allowed | F.rlike(s, F.lit(p))
-    return F.when(limit_for(s).isNull() | allowed, F.lit(False)).otherwise(highest_entropy(s) >= limit_for(s))
+    def judged(piece: Column) -> Column:
+        """What of a piece is judged: itself and its longest segment, or only that."""
+        allowed = F.lit(False)
+        for p in ALLOWED:
+            allowed = allowed | F.rlike(piece, F.lit(p))
+        longest = F.array_max(F.transform(F.split(piece, SEPARATORS), lambda x: F.struct(F.length(x).alias("n"), x.alias("value"))))["value"]
+        return F.when(allowed, F.array().cast("array<string>")).when(F.rlike(piece, F.lit(PATH)), F.array(longest)).otherwise(F.array(piece, longest))
+
+    return F.exists(F.flatten(F.transform(F.split(s, SEQUENCE), judged)), has_entropy)
 
 
 def secret_scan(docs: DataFrame) -> DataFrame:
