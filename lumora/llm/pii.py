@@ -1,7 +1,8 @@
 """Personal data: fixed patterns, and identifiers that their contexts give away. DataFrame functions only.
 
 The matches of four patterns (email, ip, card, phone) are seeds. Their left contexts, the last one and the last two words
-before them, become lexical patterns; other tokens with digits are candidates. Patterns and instances (values) form a
+before them, become lexical patterns. Candidates are other tokens with digits, grouped numbers (spaces, brackets, dashes),
+addresses with @ or [at], and names (words with inner marks, or after a colon or the like). Patterns and instances (values) form a
 graph: a pattern's score is the mean score of the values it precedes, a value's score the noisy-or of its good patterns,
 and seeds stay at 1. After a few rounds, patterns with enough seeds and a high score extract the candidates they precede,
 with the kind of their seeds.
@@ -23,6 +24,14 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: An identifier-like token: letters, digits and inner marks, with a digit.
 TOKEN = r"(?<![A-Za-z0-9._@+-])[A-Za-z._@+-]*+[0-9](?:[A-Za-z0-9._@+-]*[A-Za-z0-9])?"
 MIN_TOKEN, MIN_DIGITS = 6, 4
+_GAP = r"[\x20()./-]{1,3}"
+#: Groups of digits, each too short for a token of its own unless the first is a prefix; a long table of numbers is none.
+GROUPED = (rf"(?<![A-Za-z0-9._@+-])(?:(?:[+(]{{1,2}}+[0-9]{{1,5}}+|0[0-9]{{1,4}}+)(?:{_GAP}[0-9]{{1,12}}+){{1,8}}+|[0-9]{{1,5}}+(?:{_GAP}[0-9]{{1,5}}+){{1,8}}+)"
+           rf"(?!{_GAP}[0-9]|[A-Za-z0-9@_])")
+MIN_GROUPED, MAX_GROUPED = 7, 19
+_AT, _DOT = (rf"\x20?[\[({{](?:{x})[\])}}]\x20?" for x in ("at|AT", "dot|DOT"))
+ADDRESS = rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@|{_AT})[A-Za-z0-9-]++(?:(?:\.|{_DOT})[A-Za-z0-9-]++)*+"
+NAME = r"(?:(?<=[:=#]\x20)|(?<=[:=#]))[A-Za-z][A-Za-z0-9]+(?:[._-][A-Za-z0-9]+)*+|(?<![A-Za-z0-9._@+-])[A-Za-z][A-Za-z0-9]*+(?:[._][A-Za-z0-9]++)++"
 ROUNDS = 3
 #: Distinct seed values that a pattern needs, the score from which it extracts, and the score a value must reach.
 MIN_SEEDS, MIN_PATTERN, MIN_VALUE = 3, 0.8, 0.8
@@ -55,9 +64,9 @@ def is_phone(v: Column) -> Column:
 def base_spans(text: Column) -> dict[str, Column]:
     """Matches by kind, with their sides; those that fail their check are out."""
     return {
-        "email": F.when(F.contains(text, F.lit("@")), placed(text, EMAIL)),
-        "ip": placed(text, IP), "card": placed(text, CARD),
-        "phone": F.when(F.contains(text, F.lit("+")), placed(text, PHONE)),
+        "email": F.when(F.contains(text, F.lit("@")), placed(text, EMAIL, True)),
+        "ip": placed(text, IP, True), "card": placed(text, CARD, True),
+        "phone": F.when(F.contains(text, F.lit("+")), placed(text, PHONE, True)),
     }
 
 
@@ -70,7 +79,7 @@ def contexts(before: Column) -> Column:
 
 
 def found_in(docs: DataFrame) -> DataFrame:
-    """row, doc_id, spans (base), seeds and others (kind, start, end, value, pattern keys) for each row."""
+    """row, doc_id, spans (base), seeds and others (kind, or what kinds a candidate may be of, start, end, value, pattern keys) for each row."""
     rows = docs.select("doc_id", text_of().alias("text")).withColumn("row", F.monotonically_increasing_id())
     some = rows.withColumn("digit", F.rlike("text", F.lit("[0-9]")))
     good = {"email": None, "ip": is_ip, "card": is_card, "phone": is_phone}
@@ -85,10 +94,25 @@ def found_in(docs: DataFrame) -> DataFrame:
     def keyed(kind: str | None, c: Column) -> Column:
         return F.transform(c, lambda m: F.struct(F.lit(kind).cast("string").alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), contexts(m["before"]).alias("keys")))
 
-    tokens = F.when(F.col("digit"), placed(F.col("text"), TOKEN)).otherwise(F.array().cast(PLACED))
-    other = F.filter(tokens, lambda m: (F.length(m["value"]) >= MIN_TOKEN) & (F.length(digits(m["value"])) >= MIN_DIGITS))
-    some = some.withColumn("tokens", other)
-    return some.select("row", "doc_id", "spans", F.concat(*[keyed(k, F.col(k)) for k in KINDS]).alias("seeds"), keyed(None, apart_from(F.col("tokens"), F.col("spans"))).alias("others"))
+    def candidates(pattern: str, when: Column, good) -> Column:
+        return F.filter(F.when(when, placed(F.col("text"), pattern, True)).otherwise(F.array().cast(PLACED)), good)
+
+    some = some.withColumn("grouped", candidates(GROUPED, F.col("digit"), lambda m: F.length(digits(m["value"])).between(MIN_GROUPED, MAX_GROUPED)))
+    some = some.withColumn("address", candidates(ADDRESS, F.rlike("text", F.lit(r"@|[\[({](?:at|AT)[\])}]")), lambda m: F.length(m["value"]) >= MIN_TOKEN))
+    some = some.withColumn("tokens", candidates(TOKEN, F.col("digit"), lambda m: (F.length(m["value"]) >= MIN_TOKEN) & (F.length(digits(m["value"])) >= MIN_DIGITS)))
+    some = some.withColumn("names", candidates(NAME, F.lit(True), lambda m: F.length(m["value"]) >= 3))
+    # none overlaps a base span, or a candidate of a list before its own
+    others, taken = [], F.col("spans")
+    for c, like in (("grouped", "number"), ("address", None), ("tokens", None), ("names", "email")):
+        some = some.withColumn(c, apart_from(F.col(c), taken))
+        others.append(keyed(like, F.col(c)))
+        taken = F.concat(taken, as_kind(F.col(c), c, len(KINDS)).cast(SPAN))
+    return some.select("row", "doc_id", "spans", F.concat(*[keyed(k, F.col(k)) for k in KINDS]).alias("seeds"), F.concat(*others).alias("others"))
+
+
+def may_be() -> Column:
+    """Whether a candidate (like) can be of a kind."""
+    return F.col("like").isNull() | (F.col("like") == F.col("kind")) | ((F.col("like") == "number") & (F.col("kind") != "email"))
 
 
 def learn_patterns(found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -101,7 +125,7 @@ def learn_patterns(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     seeds = edges_of("seeds", True)
     kept = seeds.groupBy("key", "kind").agg(F.count("*").alias("n_seeds")).where(F.col("n_seeds") >= MIN_SEEDS)
     # a candidate takes part for each kind that its context has seeds of
-    others = edges_of("others", False).drop("kind").join(kept.select("key", "kind"), "key")
+    others = edges_of("others", False).withColumnRenamed("kind", "like").join(kept.select("key", "kind"), "key").where(may_be()).drop("like").distinct()
     edges = stored(seeds.join(kept.select("key", "kind"), ["key", "kind"]).select("key", "kind", "value_id", "seed").unionByName(others.select("key", "kind", "value_id", "seed")), "pii-edges")
     values = edges.groupBy("value_id", "kind").agg(F.max(F.col("seed").cast("double")).alias("score"))
     for _ in range(ROUNDS):
@@ -121,8 +145,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     found = stored(found_in(docs), "pii-found")
     patterns, values = learn_patterns(found)
     strong = patterns.where(F.col("score") >= MIN_PATTERN).select("key", "kind")
-    others = found.select("row", F.explode("others").alias("x")).select("row", "x.start", "x.end", "x.value", F.explode("x.keys").alias("key"))
-    hits = others.join(strong, "key").withColumn("value_id", F.xxhash64("value")).join(values.where(F.col("score") >= MIN_VALUE).select("value_id", "kind"), ["value_id", "kind"])
+    others = found.select("row", F.explode("others").alias("x")).select("row", F.col("x.kind").alias("like"), "x.start", "x.end", "x.value", F.explode("x.keys").alias("key"))
+    hits = others.join(strong, "key").where(may_be()).withColumn("value_id", F.xxhash64("value")).join(values.where(F.col("score") >= MIN_VALUE).select("value_id", "kind"), ["value_id", "kind"])
     number = F.array_position(F.lit(list(KINDS)), F.col("kind")).cast("int") - 1
     one = hits.groupBy("row", "start", "end").agg(F.min(F.struct(number.alias("kind_no"), "kind", "value")).alias("k"))
     more = one.groupBy("row").agg(F.collect_list(F.struct("start", "k.kind_no", "k.kind", "end", "k.value")).cast(SPAN).alias("more"))

@@ -18,19 +18,21 @@ PLACED = "array<struct<start:int,end:int,value:string,before:string,after:string
 SIDE = 64
 
 
-def placed(text: Column, pattern: str) -> Column:
-    """All leftmost non-overlapping matches: array of (start, end, value, before, after)."""
+def placed(text: Column, pattern: str, whole: bool = False) -> Column:
+    """All leftmost non-overlapping matches: array of (start, end, value, before, after); with ``whole``, before reaches over earlier matches."""
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
     pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), F.zip_with(found, F.slice(pieces, 2, F.size(found)), lambda m, p: F.struct(m.alias("m"), p.alias("p"))), lambda b, x: F.struct(b.alias("b"), x["m"].alias("m"), x["p"].alias("p")))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["b"])
         end = start + F.length(x["m"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value"), F.right(x["b"], F.lit(SIDE)).alias("before"), F.left(x["p"], F.lit(SIDE)).alias("after"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        before = F.right(F.concat(acc["tail"], x["b"]) if whole else x["b"], F.lit(SIDE))
+        one = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value"), before.alias("before"), F.left(x["p"], F.lit(SIDE)).alias("after"))
+        tail = [F.right(F.concat(before, x["m"]), F.lit(SIDE)).alias("tail")] if whole else []
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"), *tail)
 
     empty = F.from_json(F.lit("[]"), PLACED)
-    folded = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    folded = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out"), *([F.lit("").alias("tail")] if whole else [])), step, lambda acc: acc["out"])
     return F.when(F.rlike(text, F.lit(pattern)), folded).otherwise(empty)
 
 

@@ -1,6 +1,6 @@
 """Cases in which operators once did less than the whole job."""
 
-from lumora.llm import secrets, suffix_dedup
+from lumora.llm import pii, secrets, suffix_dedup
 
 
 def test_hot_line_does_not_join_other_texts(spark, tmp_path):
@@ -20,3 +20,14 @@ def test_prefixed_keys_are_secrets(spark):
     rows = list(enumerate(f"x {k} y" for k in keys + plain))
     got = {r.doc_id: r.spans for r in secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: f"entropy:2:{2 + len(k)}" if k in keys else "" for i, k in enumerate(keys + plain)}
+
+
+def test_contexts_find_grouped_numbers_and_names(spark):
+    """Identifiers in the seeds' own shapes are candidates, whole, with the words before them as context."""
+    cards = ["4111111111111111", "4012888888881881", "5500005555555559", "4000056655665556"]
+    seeds = [f"my card {c} ok" for c in cards] + [f"my phone +4930123456{i} ok" for i in range(9)] + [f"mail me at: user{i}@example.org ok" for i in range(9)]
+    new = [("my phone ", "017 555 7713", "phone"), ("my phone ", "(017) 555-7713", "phone"), ("my card ", "4111 1111 1111 1112", "card"), ("mail me at: ", "jane [at] example [dot] org", "email"),
+           ("mail me at: ", "jane.doe", "email"), ("mail me at: ", "janedoe", "email"), ("in 12345678 my phone ", "0175557714", "phone"), ("my shoes ", "017 555 7713", None)]
+    texts = seeds + [f"{a}{b} ok" for a, b, _ in new]
+    got = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[len(seeds) + i] for i in range(len(new))] == [f"{k}:{len(a)}:{len(a) + len(b)}" if k else "" for a, b, k in new]
