@@ -6,8 +6,9 @@ overlapping; a text into windows of three BLOCK-word blocks, one block apart, so
 * Terms are the items' words; their document frequencies are counted over all texts.
 * A randomised SVD of the TF-IDF matrix of the passages (random test matrix, power rounds, partial products summed by Spark)
   gives the latent space. A window is a candidate for a passage if its latent vector holds HELD of the passage's (dot product
-  against the passage's square) at a cosine of COSINE or more. Windows without LEAST of the inverse-frequency mass of the
-  passage's rarer terms are not projected; they could not pass the checks below.
+  against the passage's square) at a cosine of COSINE or more; or if so many of the passage's words are in order there as one
+  of an item's passages has at least where PARAPHRASE of the item is. Windows are looked at that have LEAST of the
+  inverse-frequency mass of the passage's rarer terms, or so many of its words that this number can be reached.
 * Around a candidate the longest common subsequence with the whole item is taken (bit-parallel), in stretches of one and a
   half item lengths; and the item's answer, its last quarter, is looked up. An item leaks if SURE of its words are in order
   there, or PARAPHRASE of them and ANSWER of the answer's words.
@@ -175,14 +176,21 @@ class Searcher:
         self.basis = randomised_svd(rows, len(items.terms), rank) * self.idf[:, None]
         self.query = np.array([(self.basis[t] * c[:, None]).sum(0) for t, c in tf])
         self.square = np.maximum((self.query**2).sum(1), 1e-12)
-        # postings of the rarer terms: passages and their mass
-        pairs = [(t[self.rare[t]], i) for i, (t, _) in enumerate(tf)]
+        # ceil(n / PASSAGE) passages cover an item, so one of them has its share of the words that PARAPHRASE needs
+        size = np.array([len(items.words[i]) for i in items.passage_item])
+        self.least = np.ceil(PARAPHRASE * size / -(-size // PASSAGE) - 1e-9).astype(np.int64)
+        common = np.array([c[~self.rare[t]].sum() for t, c in tf], np.int64)
+        every = common >= self.least
+        self.count = np.where(every, self.least, self.least - common)
+        # postings: passages of the rarer terms; and of all terms, where common ones alone could be enough
+        pairs = [(t if every[i] else t[self.rare[t]], i) for i, (t, _) in enumerate(tf)]
         term = np.concatenate([t for t, _ in pairs])
         passage = np.repeat(np.arange(len(pairs)), [len(t) for t, _ in pairs])
         order = np.argsort(term, kind="stable")
         self.posting = passage[order]
         self.first = np.searchsorted(term[order], np.arange(len(items.terms) + 1))
-        self.need = LEAST * np.bincount(passage, weights=self.idf[term] ** 2, minlength=len(pairs))
+        self.mass = np.where(self.rare, self.idf**2, 0.0)
+        self.need = LEAST * np.bincount(passage, weights=self.mass[term], minlength=len(pairs))
         # a passage of common terms only is compared with every window that has half its terms
         self.need[self.need == 0] = np.inf
         self.plain = [i for i in range(len(pairs)) if not np.isfinite(self.need[i])]
@@ -196,18 +204,18 @@ class Searcher:
         blocks = -(-np.diff(cuts) // BLOCK) + WINDOW_BLOCKS
         start = np.append(0, np.cumsum(blocks))
         block = start[doc] + (at - cuts[doc]) // BLOCK + WINDOW_BLOCKS - 1
-        some = np.flatnonzero(self.rare[term])
+        some = np.arange(len(term))
         n_post = self.first[term[some] + 1] - self.first[term[some]]
         which = np.repeat(some, n_post)
         inner = np.arange(len(which)) - np.repeat(np.cumsum(n_post) - n_post, n_post)
         passage = self.posting[self.first[term[which]] + inner]
-        mass = self.idf[term[which]] ** 2
+        mass = self.mass[term[which]]
         n = len(self.item)
         # a word lies in the windows that begin at its block and at the two before
         key = np.concatenate([(block[which] - j) * n + passage for j in range(WINDOW_BLOCKS)])
         keys, inverse = np.unique(key, return_inverse=True)
         total = np.bincount(inverse, weights=np.tile(mass, WINDOW_BLOCKS), minlength=len(keys))
-        keys = keys[total >= self.need[keys % n]]
+        keys = keys[(total >= self.need[keys % n]) | (np.bincount(inverse, minlength=len(keys)) >= self.count[keys % n])]
         if self.plain:
             seen = np.unique(np.concatenate([block - j for j in range(WINDOW_BLOCKS)]))
             keys = np.unique(np.append(keys, (seen[:, None] * n + np.array(self.plain)).ravel()))
@@ -222,12 +230,16 @@ class Searcher:
         of = np.searchsorted(windows, window)
         dot = (x[of] * self.query[passage]).sum(1)
         cosine = dot / np.sqrt(self.square[passage] * np.maximum((x**2).sum(1)[of], 1e-12))
-        good = np.flatnonzero((dot >= HELD * self.square[passage]) & (cosine >= COSINE))
+        latent = (dot >= HELD * self.square[passage]) & (cosine >= COSINE)
         best: dict[tuple[int, int], tuple[float, float, float, int]] = {}
-        for g in good.tolist():
+        for g in range(len(keys)):
             d = int(np.searchsorted(start, window[g], "right") - 1)
             i = int(self.item[passage[g]])
             place = int(cuts[d] + (window[g] - start[d] - WINDOW_BLOCKS + 1) * BLOCK)
+            if not latent[g]:
+                near = words[max(place, int(cuts[d])) : min(place + WINDOW_BLOCKS * BLOCK, int(cuts[d + 1]))]
+                if lcs(self.items.terms[self.items.passages[passage[g]]], near) < self.least[passage[g]]:
+                    continue
             share, answer, first = self.check(words[cuts[d] : cuts[d + 1]], place - int(cuts[d]), i)
             if share >= SURE or (share >= PARAPHRASE and answer >= ANSWER):
                 now = (share, float(cosine[g]), answer, first)

@@ -1,6 +1,9 @@
 """Cases in which operators once did less than the whole job."""
 
-from lumora.llm import pii, secrets, suffix_dedup
+import numpy as np
+import pyarrow as pa
+
+from lumora.llm import decontam, pii, secrets, suffix_dedup
 
 
 def test_hot_line_does_not_join_other_texts(spark, tmp_path):
@@ -31,3 +34,21 @@ def test_contexts_find_grouped_numbers_and_names(spark):
     texts = seeds + [f"{a}{b} ok" for a, b, _ in new]
     got = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[len(seeds) + i] for i in range(len(new))] == [f"{k}:{len(a)}:{len(a) + len(b)}" if k else "" for a, b, k in new]
+
+
+def test_paraphrases_without_their_rare_words(spark):
+    """Items whose rarer words but the last are replaced (11 of 32) pass the checks, and are found."""
+    rng = np.random.default_rng(4)
+    usual, rare = [f"usual{i}" for i in range(40)], [f"rare{i}" for i in range(400)]
+    items = [[str(rng.choice(usual)) if j % 8 < 5 else rare[(i * 12 + j) % 400] for j in range(32)] for i in range(30)]
+    texts = [[w if j >= 31 or w in usual else f"other{i}x{j}" for j, w in enumerate(x)] for i, x in enumerate(items)]
+    held = decontam.Items(list(range(30)), [" ".join(x) for x in items])
+    df = np.array([200 if h in set(decontam.normalised(decontam.Texts(pa.array([" ".join(usual)]))).word_hash.tolist()) else 2 for h in held.terms.tolist()])
+    s = decontam.Searcher(spark, held, df, 2000)
+    t = decontam.normalised(decontam.Texts(pa.array([" ".join(x) for x in texts], pa.string())))
+    want = set()
+    for i in range(30):
+        share, answer, _ = s.check(t.word_hash[t.word_offsets[i] : t.word_offsets[i + 1]], 0, i)
+        if share >= decontam.SURE or (share >= decontam.PARAPHRASE and answer >= decontam.ANSWER):
+            want.add((i, i))
+    assert len(want) > 20 and want <= {(h[0], h[1]) for h in s.search(t)}
