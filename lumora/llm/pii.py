@@ -17,8 +17,9 @@ from .common import ascii_lower, stored, text_of
 from .spans import PLACED, SPAN, apart_from, as_kind, n_of, passing, placed, written
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-IP = r"[0-9]++(?:\.[0-9]++){3}"
+#: A run of local-part characters or of digits is tried from its start only, or from the end of the match before (\\G).
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: An identifier-like token: letters, digits and inner marks, with a digit.

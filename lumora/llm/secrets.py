@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .spans import PLACED, SPAN, apart_from, as_kind, n_of, placed, written
+from .spans import PLACED, SPAN, apart_from, as_kind, let, n_of, placed, written
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9+/_.=-]++"""
@@ -37,34 +37,54 @@ ALLOWED = [
 PATH = r"^/?(?:[A-Za-z]++[/_-]++)++[A-Za-z]*+[0-9]{0,8}$"
 SEPARATORS = "[/_=+-]+"
 SEQUENCE = "(?i)abcdefghij" + "".join(f"(?:{c}" for c in "klmnopqrstuvwxyz") + ")?" * 16 + "|0123456789|1234567890"
+#: The characters of a candidate; counts of _PER_LONG of them share a long.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+_PER_LONG = 12
+_LONGS = -(-len(ALPHABET) // _PER_LONG)
 _N_LOG_N = [n * math.log2(n) if n else 0.0 for n in range(WINDOW + 2)]
 
 
 def highest_entropy(s: Column) -> Column:
-    """The highest entropy of a window of WINDOW characters; of a shorter string, its entropy as if it had that many."""
-    n = F.length(s).cast("double")
-    f = lambda n: F.element_at(F.lit(_N_LOG_N), n + 1)
-    char = lambda i: F.substring(s, i, F.lit(1))
-    n_in = lambda c, w: F.length(w) - F.length(F.replace(w, c, F.lit("")))
+    """The highest entropy of a window of WINDOW characters; of a shorter string, its entropy as if it had that many.
 
-    def step(acc: Column, i: Column) -> Column:
-        old = F.substring(s, i - WINDOW, F.lit(WINDOW))
-        n_out = n_in(char(i - WINDOW), old)
-        left = F.when(i > WINDOW, f(n_out - 1) - f(n_out)).otherwise(0.0)
-        inner = F.when(i > WINDOW, F.substring(s, i - WINDOW + 1, F.lit(WINDOW - 1))).otherwise(F.substring(s, F.lit(1), i - 1))
-        n_new = n_in(char(i), inner)
-        total = acc["total"] + left + f(n_new + 1) - f(n_new)
-        best = F.when(i >= WINDOW, F.greatest(acc["best"], math.log2(WINDOW) - total / WINDOW)).otherwise(acc["best"])
-        return F.struct(total.alias("total"), best.alias("best"))
+    The counts of all characters of the alphabet are packed into longs, five bits each. A step adds one at the character that
+    enters and takes one off at the character that leaves, so the time is linear in the string.
+    """
+    n_log_n = lambda n: F.element_at(F.lit(_N_LOG_N), n.cast("int") + 1)
+    place = lambda c: F.call_function("instr", F.lit(ALPHABET), c) - 1
+    bits = lambda code: F.pmod(code, F.lit(_PER_LONG)) * 5
+    one = lambda code: F.call_function("shiftleft", F.lit(1).cast("long"), bits(code))
+    held = lambda counts, code: F.call_function("shiftright", F.element_at(counts, F.floor(code / _PER_LONG).cast("int") + 1), bits(code)).bitwiseAND(F.lit(31))
+
+    def changed(counts: Column, code: Column, sign: int) -> Column:
+        at = F.floor(code / _PER_LONG)
+        return F.transform(counts, lambda c, k: F.when(k == at, c + sign * one(code)).otherwise(c))
+
+    def step(acc: Column, x: Column) -> Column:
+        out, into = x["out"], x["into"]
+        left = F.when(out >= 0, let(held(acc["counts"], out), lambda n: n_log_n(n - 1) - n_log_n(n))).otherwise(0.0)
+        after = F.when(out >= 0, changed(acc["counts"], out, -1)).otherwise(acc["counts"])
+        return let(F.struct(after.alias("counts"), (acc["total"] + left).alias("total")), lambda m: let(held(m["counts"], into), lambda n: entered(acc, m, into, n)))
+
+    def entered(acc: Column, m: Column, into: Column, n: Column) -> Column:
+        return let(m["total"] + n_log_n(n + 1) - n_log_n(n), lambda total: F.struct(
+            changed(m["counts"], into, 1).alias("counts"), total.alias("total"), (acc["n"] + 1).alias("n"),
+            F.when(acc["n"] >= WINDOW - 1, F.greatest(acc["best"], math.log2(WINDOW) - total / WINDOW)).otherwise(acc["best"]).alias("best")))
+
+    def whole(codes: Column) -> Column:
+        pairs = F.transform(codes, lambda c, i: F.struct(c.alias("into"), F.when(i >= WINDOW, F.element_at(codes, F.greatest(i - WINDOW + 1, F.lit(1)))).otherwise(-1).alias("out")))
+        zero = F.struct(F.array_repeat(F.lit(0).cast("long"), _LONGS).alias("counts"), F.lit(0.0).alias("total"), F.lit(0).alias("n"), F.lit(-1.0).alias("best"))
+        short = lambda acc: (1 - acc["total"] / (acc["n"] * F.log2(acc["n"].cast("double")))) * math.log2(WINDOW)
+        return F.aggregate(pairs, zero, step, lambda acc: F.when(acc["best"] >= 0, acc["best"]).otherwise(short(acc)))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), F.struct(F.lit(0.0).alias("total"), F.lit(-1.0).alias("best")), step, lambda acc: F.when(acc["best"] >= 0, acc["best"]).otherwise((1 - acc["total"] / (n * F.log2(n))) * math.log2(WINDOW)))
+    return let(F.transform(F.split(s, ""), place), whole)
 
 
 def limit_for(s: Column) -> Column:
     has = lambda p: F.rlike(s, F.lit(p))
     return (F.when(has("^[0-9a-fA-F]+$") & has("[0-9]") & has("[a-fA-F]"), F.lit(LIMITS["hex"]))
             .when(has("[0-9]") & has("[A-Za-z]"), F.lit(LIMITS["mixed"]))
-            .when((has("(?:[A-Z].*){3}") & has("(?:[a-z].*){3}")) | has("^[A-Za-z]+$"), F.lit(LIMITS["letters"])))
+            .when((has("(?:[A-Z][^A-Z]*+){3}") & has("(?:[a-z][^a-z]*+){3}")) | has("^[A-Za-z]+$"), F.lit(LIMITS["letters"])))
 
 
 def has_entropy(s: Column) -> Column:
