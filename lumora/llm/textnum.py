@@ -52,13 +52,13 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class RunningHash:
-    """Hashes of slices of a byte array."""
+    """Hashes of slices of an array of bytes, or (without values for them) of 64-bit hashes."""
 
-    def __init__(self, data: np.ndarray, values: np.ndarray = BYTE_VALUES, base: int = BASE):
+    def __init__(self, data: np.ndarray, values: np.ndarray | None = BYTE_VALUES, base: int = BASE):
         self.inverse = pow(base, -1, 2**64)
         self.sums = np.empty(len(data) + 1, np.uint64)
         self.sums[0] = 0
-        np.cumsum(values[data] * powers(base, len(data)), out=self.sums[1:])
+        np.cumsum((data if values is None else values[data]) * powers(base, len(data)), out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * powers(self.inverse, len(self.sums))[start] + (end - start).astype(np.uint64))
