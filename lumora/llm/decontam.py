@@ -1,20 +1,24 @@
 """Benchmark decontamination: latent semantic retrieval, then longest common subsequences and answer checks.
 
-Words are runs of letters and digits, lower-cased (ASCII and Latin-1). An item is cut into passages of PASSAGE words, half
-overlapping; a text into windows of three BLOCK-word blocks, one block apart, so every passage-long run lies in a window.
-
-* Terms are the items' words; their document frequencies are counted over all texts.
-* A randomised SVD of the TF-IDF matrix of the passages (random test matrix, power rounds, partial products summed by Spark)
-  gives the latent space. A window is a candidate for a passage if its latent vector holds HELD of the passage's (dot product
-  against the passage's square) at a cosine of COSINE or more; or if so many of the passage's words are in order there as one
-  of an item's passages has at least where PARAPHRASE of the item is. Windows are looked at that have LEAST of the
-  inverse-frequency mass of the passage's rarer terms, or so many of its words that this number can be reached.
-* Around a candidate the longest common subsequence with the whole item is taken (bit-parallel), in stretches of one and a
-  half item lengths; and the item's answer, its last quarter, is looked up. An item leaks if SURE of its words are in order
-  there, or PARAPHRASE of them and ANSWER of the answer's words.
-
-Items are dealt with in blocks of at most BLOCK_ITEMS and BLOCK_WORDS (queries against all rows, in blocks), so what goes to the
-executors is bounded.
+Words are runs of letters and digits, lower-cased (ASCII and Latin-1). A text is laid out in blocks of BLOCK words; the window
+of an item of n words at a block is the run of blocks from there that covers any stretch of STRETCH * n words begun in the
+block. An item leaks into a text if, in one of its windows, SURE of its words are in order (longest common subsequence), or
+PARAPHRASE of them and ANSWER of the words of its answer, its last quarter, are there. Every window of every text is looked at:
+
+1. Terms are the items' words; their document frequencies are counted over all texts.
+2. A randomised SVD of the TF-IDF matrix of the items' passages of PASSAGE words (random test matrix, power rounds, partial
+   products summed by Spark) gives the latent space of items and windows.
+3. A window and an item are looked up only where the window can hold PARAPHRASE of the item's words at all. This drops no
+   leak: a common subsequence is no longer than the words both hold, counted for rarer terms as they stand in the window
+   (sums over blocks, as differences of running sums) and for common terms as often as they are in both.
+4. Of these, a candidate has a cosine of COSINE or more in the latent space; or it holds SURE of the item's words, whose
+   rarest ones may be those that are missing.
+5. Subsequences (bit-parallel) and answers of the candidates are checked on the whole window.
+
+The latent space is that of the items' own passages: texts that share no word with an item can't pass the checks, so words of
+the texts alone would not bring up more. Items are dealt with in blocks of at most BLOCK_ITEMS and BLOCK_WORDS (queries
+against all rows, in blocks), so what goes to the executors is bounded: one byte for each item and term (BLOCK_ITEMS *
+BLOCK_WORDS = 30 MB at most) and RANK numbers for each term (20 MB).
 """
 
 from __future__ import annotations
@@ -30,14 +34,18 @@ from pyspark.sql import functions as F
 
 from .textnum import Texts, chunks
 
-PASSAGE, BLOCK, WINDOW_BLOCKS = 32, 16, 3
+PASSAGE, BLOCK, STRETCH = 32, 16, 1.5
 RANK, OVERSAMPLE, POWER_ROUNDS = 128, 32, 2
-HELD, COSINE, LEAST = 0.5, 0.25, 0.4
-#: Terms in more than this share of the texts don't bring a window up.
+COSINE = 0.15
+#: Terms in more than this share of the texts are counted as common ones.
 COMMON = 0.2
 SURE, PARAPHRASE, ANSWER = 0.8, 0.6, 0.6
 MIN_WORDS = 5
-BLOCK_ITEMS, BLOCK_WORDS = 5_000, 500_000
+BLOCK_ITEMS, BLOCK_WORDS = 750, 40_000
+#: Cells of (word, item) or (window, item) that are held at once.
+CELLS = 4 << 20
+#: Blocks whose windows are looked up at once.
+SLICE = 32_768
 SCHEMA = "doc_id long, item_id long, cosine double, lcs double, answer double, first_word long"
 
 _NORMAL = np.arange(256, dtype=np.uint8)
@@ -163,99 +171,119 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
 
 
 class Searcher:
+    """What a block of items is looked up with. ``least``: words of an item that a leak holds; ``blocks``: of its windows."""
+
     def __init__(self, spark: SparkSession, items: Items, df: np.ndarray, n: int, rank: int = RANK):
         self.items = items
-        self.idf = np.log((n + 1) / (df + 1)) + 0.1
-        self.rare = df <= COMMON * n
+        idf = np.log((n + 1) / (df + 1)) + 0.1
         tf = [np.unique(p, return_counts=True) for p in items.passages]
-        weights = [c * self.idf[t] for t, c in tf]
-        self.item = np.array(items.passage_item, np.int64)
+        weights = [c * idf[t] for t, c in tf]
         matrix = pa.table({"terms": pa.array([t.astype(np.int32) for t, _ in tf], pa.list_(pa.int32())), "weights": pa.array([w / np.sqrt((w**2).sum()) for w in weights], pa.list_(pa.float64()))})
         rows = spark.createDataFrame(matrix).repartition(max(1, min(64, len(tf) // 64)))
         rank = min(rank, len(items.terms), len(tf))
-        self.basis = randomised_svd(rows, len(items.terms), rank) * self.idf[:, None]
-        self.query = np.array([(self.basis[t] * c[:, None]).sum(0) for t, c in tf])
-        self.square = np.maximum((self.query**2).sum(1), 1e-12)
-        # ceil(n / PASSAGE) passages cover an item, so one of them has its share of the words that PARAPHRASE needs
-        size = np.array([len(items.words[i]) for i in items.passage_item])
-        self.least = np.ceil(PARAPHRASE * size / -(-size // PASSAGE) - 1e-9).astype(np.int64)
-        common = np.array([c[~self.rare[t]].sum() for t, c in tf], np.int64)
-        every = common >= self.least
-        self.count = np.where(every, self.least, self.least - common)
-        # postings: passages of the rarer terms; and of all terms, where common ones alone could be enough
-        pairs = [(t if every[i] else t[self.rare[t]], i) for i, (t, _) in enumerate(tf)]
-        term = np.concatenate([t for t, _ in pairs])
-        passage = np.repeat(np.arange(len(pairs)), [len(t) for t, _ in pairs])
-        order = np.argsort(term, kind="stable")
-        self.posting = passage[order]
-        self.first = np.searchsorted(term[order], np.arange(len(items.terms) + 1))
-        self.mass = np.where(self.rare, self.idf**2, 0.0)
-        self.need = LEAST * np.bincount(passage, weights=self.mass[term], minlength=len(pairs))
-        # a passage of common terms only is compared with every window that has half its terms
-        self.need[self.need == 0] = np.inf
-        self.plain = [i for i in range(len(pairs)) if not np.isfinite(self.need[i])]
+        self.basis = (randomised_svd(rows, len(items.terms), rank) * idf[:, None]).astype(np.float32)
+        # by length, so that the items with windows of one size are neighbours
+        self.known = sorted((i for i, w in enumerate(items.words) if len(w) >= MIN_WORDS), key=lambda i: len(items.words[i]))
+        own = [np.searchsorted(items.terms, items.words[i]) for i in self.known]
+        self.query = np.array([self.basis[t].sum(0) for t in own])
+        size = np.array([len(t) for t in own])
+        self.least, self.sure = (np.ceil(x * size - 1e-9).astype(np.int64) for x in (PARAPHRASE, SURE))
+        self.blocks = np.ceil(STRETCH * size / BLOCK).astype(np.int64) + 1
+        # common terms have columns of their own, by number; rarer ones a row of flags by item
+        common = df > COMMON * n
+        self.column = np.where(common, np.cumsum(common) - 1, -1)
+        self.counts = np.zeros((len(own), max(1, int(common.sum()))), np.int32)
+        self.holds = np.zeros((len(items.terms), len(own)), np.uint8)
+        for i, t in enumerate(own):
+            self.holds[t, i] = 1
+            np.add.at(self.counts[i], self.column[t[common[t]]], 1)
+        self.holds[common] = 0
+        self.rare_needed = np.maximum(self.least - self.counts.sum(1), 0).astype(np.uint16)
+        self.words = [dict(zip(*(x.tolist() for x in np.unique(t, return_counts=True)), strict=True)) for t in own]
+
+    def block_sums(self, block: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
+        """Words of each item in the blocks before each of 0..n, modulo 2**16 (differences of it are far below that)."""
+        out = np.zeros((n + 1, self.holds.shape[1]), np.uint16)
+        first = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.empty(0, np.int64)
+        size = np.diff(np.append(first, len(block)))
+        # the first words of all blocks at once, then the second ones of those that have any, ...
+        first = first[np.argsort(-size, kind="stable")]
+        held = np.zeros((len(first), out.shape[1]), np.uint8)
+        for j in range(int(size.max(initial=0))):
+            m = int((size > j).sum())
+            held[:m] += self.holds.take(term[first[:m] + j], axis=0)
+        out[block[first] + 1] = held
+        return np.cumsum(out, axis=0, dtype=np.uint16)
 
     def search(self, t: Texts) -> list[tuple[int, int, float, float, float, int]]:
         """text, item, cosine, lcs, answer share, first word of the leaks in some texts."""
         words, cuts = t.word_hash, t.word_offsets
         at, term = self.items.term_of(words)
-        doc = t.word_doc[at]
-        # blocks are numbered through the texts, with spare numbers between texts
-        blocks = -(-np.diff(cuts) // BLOCK) + WINDOW_BLOCKS
-        start = np.append(0, np.cumsum(blocks))
-        block = start[doc] + (at - cuts[doc]) // BLOCK + WINDOW_BLOCKS - 1
-        some = np.arange(len(term))
-        n_post = self.first[term[some] + 1] - self.first[term[some]]
-        which = np.repeat(some, n_post)
-        inner = np.arange(len(which)) - np.repeat(np.cumsum(n_post) - n_post, n_post)
-        passage = self.posting[self.first[term[which]] + inner]
-        mass = self.mass[term[which]]
-        n = len(self.item)
-        # a word lies in the windows that begin at its block and at the two before
-        key = np.concatenate([(block[which] - j) * n + passage for j in range(WINDOW_BLOCKS)])
-        keys, inverse = np.unique(key, return_inverse=True)
-        total = np.bincount(inverse, weights=np.tile(mass, WINDOW_BLOCKS), minlength=len(keys))
-        keys = keys[(total >= self.need[keys % n]) | (np.bincount(inverse, minlength=len(keys)) >= self.count[keys % n])]
-        if self.plain:
-            seen = np.unique(np.concatenate([block - j for j in range(WINDOW_BLOCKS)]))
-            keys = np.unique(np.append(keys, (seen[:, None] * n + np.array(self.plain)).ravel()))
-        if not len(keys):
+        if not len(at):
             return []
-        window, passage = keys // n, keys % n
-        x = np.zeros((len(windows := np.unique(window)), self.basis.shape[1]))
-        for j in range(WINDOW_BLOCKS):
-            of = np.searchsorted(windows, block - j)
-            hit = np.flatnonzero((of < len(windows)) & (windows[np.minimum(of, len(windows) - 1)] == block - j))
-            np.add.at(x, of[hit], self.basis[term[hit]])
-        of = np.searchsorted(windows, window)
-        dot = (x[of] * self.query[passage]).sum(1)
-        cosine = dot / np.sqrt(self.square[passage] * np.maximum((x**2).sum(1)[of], 1e-12))
-        latent = (dot >= HELD * self.square[passage]) & (cosine >= COSINE)
+        n_blocks = -(-np.diff(cuts) // BLOCK)
+        start = np.append(0, np.cumsum(n_blocks))
+        n, doc = int(start[-1]), t.word_doc[at]
+        block = start[doc] + (at - cuts[doc]) // BLOCK
+        last = np.repeat(start[1:], n_blocks)
         best: dict[tuple[int, int], tuple[float, float, float, int]] = {}
-        for g in range(len(keys)):
-            d = int(np.searchsorted(start, window[g], "right") - 1)
-            i = int(self.item[passage[g]])
-            place = int(cuts[d] + (window[g] - start[d] - WINDOW_BLOCKS + 1) * BLOCK)
-            if not latent[g]:
-                near = words[max(place, int(cuts[d])) : min(place + WINDOW_BLOCKS * BLOCK, int(cuts[d + 1]))]
-                if lcs(self.items.terms[self.items.passages[passage[g]]], near) < self.least[passage[g]]:
-                    continue
-            share, answer, first = self.check(words[cuts[d] : cuts[d + 1]], place - int(cuts[d]), i)
-            if share >= SURE or (share >= PARAPHRASE and answer >= ANSWER):
-                now = (share, float(cosine[g]), answer, first)
-                if now > best.get((d, i), (-1.0, 0.0, 0.0, 0)):
-                    best[d, i] = now
+        for a in range(0, n, SLICE):
+            self.search_slice(t, at, term, start, block, last, a, min(n, a + SLICE), best)
         return [(d, i, c, share, answer, first) for (d, i), (share, c, answer, first) in sorted(best.items())]
 
-    def check(self, text: np.ndarray, place: int, item: int) -> tuple[float, float, int]:
-        own = self.items.words[item]
-        n = len(own)
-        lo, hi = max(0, place - n), min(len(text), place + WINDOW_BLOCKS * BLOCK + n)
-        length, step = n + n // 2, max(1, n // 8)
-        share, first = max((lcs(own, text[a : a + length]) / n, -a) for a in {*range(lo, max(hi - length, lo), step), max(hi - length, lo)})
-        region = text[-first : -first + length]
-        answer = own[-max(3, n // 4) :]
-        return share, float(np.isin(answer, region).mean()), -first
+    def search_slice(self, t: Texts, at: np.ndarray, term: np.ndarray, start: np.ndarray, block: np.ndarray, last: np.ndarray, a: int, b: int, best: dict) -> None:
+        """The windows that begin in the blocks from a up to b."""
+        top = min(len(last), b + int(self.blocks.max()))
+        i, j = np.searchsorted(block, [a, top])
+        block, own_term = block[i:j] - a, term[i:j]
+        rare, n, width = self.column[own_term] < 0, top - a, self.counts.shape[1]
+        sums = self.block_sums(block[rare], own_term[rare], n)
+        usual = np.zeros((n + 1, width), np.int32)
+        usual[1:] = np.bincount(block[~rare] * width + self.column[own_term[~rare]], minlength=n * width).reshape(n, width)
+        np.cumsum(usual, axis=0, out=usual)
+        for k in np.unique(self.blocks):
+            lo, hi = np.searchsorted(self.blocks, [k, k + 1])
+            step = max(64, CELLS // (hi - lo))
+            for s in range(0, b - a, step):
+                e = min(s + step, b - a)
+                at1 = np.minimum(np.arange(s, e) + k, last[a + s : a + e] - a)
+                held = sums[at1, lo:hi] - sums[s:e, lo:hi]
+                w, c = np.nonzero(held >= self.rare_needed[lo:hi])
+                pairs = max(1, CELLS // width)
+                for p in range(0, len(w), pairs):
+                    x, y = w[p : p + pairs], c[p : p + pairs]
+                    bound = held[x, y] + np.minimum(usual[at1[x]] - usual[s + x], self.counts[lo + y]).sum(1)
+                    good = np.flatnonzero(bound >= self.least[lo + y])
+                    for g0, g1, item in zip((a + s + x[good]).tolist(), (a + at1[x[good]]).tolist(), (lo + y[good]).tolist(), strict=True):
+                        self.check(t, at, term, start, g0, g1, item, best)
+
+    def check(self, t: Texts, at: np.ndarray, term: np.ndarray, start: np.ndarray, b0: int, b1: int, k: int, best: dict) -> None:
+        """The cosine, and for candidates the checks, of item ``k`` and the window of the blocks from b0 up to b1."""
+        cuts, i = t.word_offsets, self.known[k]
+        d = int(np.searchsorted(start, b0, "right") - 1)
+        w0 = int(cuts[d] + (b0 - start[d]) * BLOCK)
+        w1 = int(min(cuts[d] + (b1 - start[d]) * BLOCK, cuts[d + 1]))
+        lo, hi = np.searchsorted(at, [w0, w1])
+        left, held = dict(self.words[k]), 0
+        for x in term[lo:hi].tolist():
+            if left.get(x):
+                left[x] -= 1
+                held += 1
+        if held < self.least[k]:
+            return
+        x, q = self.basis[term[lo:hi]].sum(0), self.query[k]
+        cosine = float(x @ q / np.sqrt(max(float((x @ x) * (q @ q)), 1e-12)))
+        if cosine < COSINE and held < self.sure[k]:
+            return
+        item, near = self.items.words[i], t.word_hash[w0:w1]
+        common = lcs(item, near)
+        if common < self.least[k]:
+            return
+        answer = float(np.isin(item[-max(3, len(item) // 4) :], near).mean())
+        if common >= self.sure[k] or answer >= ANSWER:
+            now = (common / len(item), cosine, answer, w0 - int(cuts[d]))
+            if now > best.get((d, i), (-1.0, 0.0, 0.0, 0)):
+                best[d, i] = now
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
@@ -281,8 +309,10 @@ def searchers(docs: DataFrame, benchmark: DataFrame) -> Iterator[Searcher]:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, lcs, answer, first_word for each pair of a row of ``docs(doc_id, text)`` and an item that leaks into it.
 
-    Texts without leaks have no rows; null and empty texts have none; a repeated row has rows of its own. Items below
-    MIN_WORDS words are not looked for. Null doc_ids stay null.
+    Texts without leaks have no rows; null and empty texts have none; a repeated row has rows of its own, and so has each of
+    several items with the same text. Of the windows of a pair the one with the longest common subsequence counts, then the
+    highest cosine, answer and place. Items below MIN_WORDS words, and null ones, are not looked for. Null doc_ids stay null.
+    A very long text is one row of numpy arrays, looked through in slices.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = [rows.mapInArrow(_find(docs.sparkSession.sparkContext.broadcast(s)), SCHEMA) for s in searchers(docs, benchmark)]
