@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, stored
 from .files import read_part
-from .textnum import Texts, chunks
+from .textnum import Tally, Texts, chunks
 
 FOLDS, HELD_OUT = 7, 2
 DEPTH = 3
@@ -53,26 +53,6 @@ def contexts(t: Texts) -> np.ndarray:
     return out
 
 
-class Tally:
-    """Sums of counts by 64-bit key, in bounded memory for a bounded number of keys."""
-
-    def __init__(self):
-        self.keys, self.sums, self.parts, self.waiting = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
-
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.parts.append((keys, counts))
-        self.waiting += len(keys)
-        if self.waiting > 1_000_000:
-            self.fold()
-
-    def fold(self) -> None:
-        keys = np.concatenate([self.keys, *(k for k, _ in self.parts)])
-        sums = np.concatenate([self.sums, *(c for _, c in self.parts)])
-        self.keys, at = np.unique(keys, return_inverse=True)
-        self.sums = np.bincount(at, weights=sums, minlength=len(self.keys)).astype(np.int64)
-        self.parts, self.waiting = [], 0
-
-
 def count_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(kind, key, part, n): words with their training counts; training runs of four bytes; contexts of three bytes."""
     from pyspark import TaskContext

@@ -13,9 +13,10 @@ that not every suffix has to be dealt out:
    a longer repeat; so where one text has an end, two of the texts that agree around that anchor deal out their inner
    places too (all strings that have the anchor as their first inner one lie in the surroundings that agree).
 
-Passages are found in the same way with words for digits, so that other white space between them does not matter: runs of
-PASSAGE words that another text holds as well. An anchor is a run of GRAM_WORDS words of least hash in a passage; if its
-surroundings, which hold all passages around it, are in another text too, that settles them, else the passages are compared.
+Passages are found with words for digits, so that other white space between them does not matter. Of a run of PASSAGE words
+its GRAM_WORDS words of least hash are the anchor; where another text has the anchor too, runs are compared whole, of
+NEIGHBOURS in succession the one of least hash. So each run of PASSAGE + NEIGHBOURS - 1 = 50 words or more that two texts
+share is found, and nothing below PASSAGE words.
 
 The texts are never shuffled. Places are (input partition, byte or word); results go back to a table by partition, and three
 passes over the same partitions read it. Each pass compares a checksum of the texts it sees with that of the first, and the
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import delete, hold_splits, release, stored
 from .files import by_part, read_part
-from .textnum import BYTE_VALUES_2, RunningHash, Texts, chunks, covered, mix, trim
+from .textnum import BYTE_VALUES_2, RunningHash, Texts, chunks, covered, mix, rows_of, task_part, trim
 
 LENGTH = 400
 #: Bytes of the first digit, and neighbouring places of which one is an anchor.
@@ -43,15 +44,15 @@ DIGIT, WINDOW = 32, 64
 #: The first inner anchor of a string is no more than this behind its start.
 BEFORE = 2 * WINDOW - 2
 CHUNK = 1 << 20
-#: Words of a passage, and of the run in it that is its anchor.
-PASSAGE, GRAM_WORDS = 50, 8
-#: Places of the anchor in a passage.
+#: Words that are compared, words of their anchor, and neighbouring runs of which one is compared.
+PASSAGE, GRAM_WORDS, NEIGHBOURS = 44, 8, 7
 GRAM_PLACES = PASSAGE - GRAM_WORDS + 1
-BYTES, WORDS, CHECKSUM = 0, 1, 2
+#: Rows of words have this added to their partition, rows of checksums have the place -1.
+WORDS = 1 << 30
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long, span_starts array<long>, span_ends array<long>"
-ANCHORS = "kind byte, digit long, whole long, around long, part int, at long"
-KNOWN = "kind byte, digit long, whole long, full boolean, first boolean, open boolean, part int, at long"
-EDGES = "kind byte, digit long, whole int, doc long, part int, at long"
+ANCHORS = "digit long, whole long, around long, part int, at long"
+KNOWN = "digit long, whole long, full boolean, first boolean, of_words boolean, part int, at long"
+EDGES = "digit long, whole int, part int, at long"
 _NONE = np.uint64(2**64 - 1)
 PASSAGE_BASE = int(np.random.default_rng(50).integers(0, 2**63, dtype=np.uint64)) | 1
 
@@ -77,9 +78,7 @@ class Places:
         some = np.flatnonzero(long & (self.place + DIGIT <= self.end))
         h = np.full(n, _NONE, np.uint64)
         h[some] = np.minimum(t.hash.of(some, some + DIGIT), _NONE - np.uint64(1))
-        lowest = sliding(h, WINDOW, True)
-        chosen = sliding(np.append(np.zeros(WINDOW - 1, np.uint64), lowest), WINDOW, False)[:n] == h
-        self.at = np.flatnonzero(chosen & (h != _NONE))
+        self.at = np.flatnonzero(chosen(h, WINDOW) & (h != _NONE))
         self.digit = h[self.at]
 
     def whole(self) -> np.ndarray:
@@ -98,51 +97,57 @@ class Places:
         return out.view(np.int64)
 
 
+def chosen(h: np.ndarray, w: int) -> np.ndarray:
+    """Which places have the least value of w neighbouring ones."""
+    return sliding(np.append(np.zeros(w - 1, np.uint64), sliding(h, w, True)), w, False)[: len(h)] == h
+
+
 class Passages:
-    """Anchors of the passages of some texts: ``at`` (words), ``gram``; ``lowest``: the least gram of the passage at each word."""
+    """Runs of words in some texts: ``lowest``, the least gram of the run at each word; ``valid`` where the text holds it whole."""
 
     def __init__(self, t: Texts):
         self.t, words = t, t.word_hash
-        n = len(words)
         self.hash = RunningHash(words, None, PASSAGE_BASE)
-        self.begin = t.word_offsets[:-1][t.word_doc]
-        self.end = t.word_offsets[1:][t.word_doc]
-        self.place = np.arange(n)
-        some = np.flatnonzero((self.end - self.begin >= PASSAGE) & (self.place + GRAM_WORDS <= self.end))
-        h = np.full(n, _NONE, np.uint64)
+        begin, end = (x[t.word_doc] for x in (t.word_offsets[:-1], t.word_offsets[1:]))
+        place = np.arange(len(words))
+        some = np.flatnonzero((end - begin >= PASSAGE) & (place + GRAM_WORDS <= end))
+        h = np.full(len(words), _NONE, np.uint64)
         h[some] = np.minimum(self.hash.of(some, some + GRAM_WORDS), _NONE - np.uint64(1))
         self.lowest = sliding(h, GRAM_PLACES, True)
-        chosen = sliding(np.append(np.zeros(GRAM_PLACES - 1, np.uint64), self.lowest), GRAM_PLACES, False)[:n] == h
-        self.at = np.flatnonzero(chosen & (h != _NONE))
-        self.gram = h[self.at]
-
-    def around(self, base: int, part: int) -> np.ndarray:
-        """The hash of all passages that hold the anchor; of the place where the text is shorter."""
-        a, b = self.at - GRAM_PLACES + 1, self.at + PASSAGE
-        out = mix((self.at + base).astype(np.uint64) + (np.uint64(part) << np.uint64(40)) + np.uint64(1 << 63))
-        on = (a >= self.begin[self.at]) & (b <= self.end[self.at])
-        out[on] = self.hash.of(a[on], b[on])
-        return out.view(np.int64)
-
-
-def task_part() -> int:
-    from pyspark import TaskContext
-
-    return TaskContext.get().partitionId()
+        self.valid = place + PASSAGE <= end
+
+    def grams(self) -> np.ndarray:
+        """The anchors, each once for a text; so those that occur twice are in two texts."""
+        doc, gram = self.t.word_doc[self.valid], self.lowest[self.valid]
+        new = np.append(True, (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])) if len(gram) else np.empty(0, bool)
+        return np.unique(np.stack([doc[new].astype(np.uint64), gram[new]]), axis=1)[1] if new.any() else np.empty(0, np.uint64)
+
+    def compared(self, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and hash of the runs that are compared, each once for a text, given the anchors (sorted) that two texts have."""
+        if not len(self.lowest):
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        at = np.minimum(np.searchsorted(alive, self.lowest), len(alive) - 1)
+        h, runs = np.full(len(self.lowest), _NONE, np.uint64), np.flatnonzero(self.valid)
+        h[runs] = np.minimum(self.hash.of(runs, runs + PASSAGE), _NONE - np.uint64(1))
+        some = np.flatnonzero(chosen(h, NEIGHBOURS) & self.valid & (alive[at] == self.lowest))
+        order = some[np.lexsort((some, h[some], self.t.word_doc[some]))]
+        doc, own = self.t.word_doc[order], h[order]
+        new = np.append(True, (own[1:] != own[:-1]) | (doc[1:] != doc[:-1]))[: len(order)]
+        return order[new], own[new]
 
 
 class Walk:
-    """Chunks of a partition with the byte, word and row at which each begins; ``checksum`` of what has been seen."""
+    """Chunks of a partition with the byte and word at which each begins; ``checksum`` of what has been seen."""
 
     def __init__(self, batches: Iterator[pa.RecordBatch]):
         self.batches, self.checksum, self.rows = batches, 0, 0
 
-    def __iter__(self) -> Iterator[tuple[pa.RecordBatch, Texts, int, int, int]]:
+    def __iter__(self) -> Iterator[tuple[pa.RecordBatch, Texts, int, int]]:
         byte = word = 0
         for part, t in chunks(self.batches, "text", CHUNK):
-            yield part, t, byte, word, self.rows
+            yield part, t, byte, word
             byte += len(t.data)
-            word += int(t.word_offsets[-1]) if t.n else 0
+            word += int(t.word_offsets[-1])
             self.rows += t.n
             self.checksum = zlib.crc32(t.data, zlib.crc32(t.offsets.tobytes(), self.checksum))
 
@@ -163,47 +168,29 @@ def trimmed(step):
     return run
 
 
-def rows_of(schema: str, *columns) -> pa.RecordBatch:
-    """A batch of a schema of integers; a single number stands for a column of it."""
-    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
-    n = next(len(c) for c in columns if isinstance(c, np.ndarray))
-    wide = {"byte": np.int8, "int": np.int32, "long": np.int64}
-    arrays = [c.view(np.int64) if isinstance(c, np.ndarray) and c.dtype == np.uint64 else c if isinstance(c, np.ndarray) else np.full(n, c) for c in columns]
-    return pa.RecordBatch.from_arrays([pa.array(c.astype(wide[k], copy=False)) for c, k in zip(arrays, kinds, strict=True)], list(names))
-
-
 def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     no, walk = task_part(), Walk(batches)
-    for _, t, byte, word, row in walk:
+    for _, t, byte, _ in walk:
         p = Places(t)
-        yield rows_of(ANCHORS, BYTES, p.digit, p.whole(), p.around(byte, no), no, p.at + byte)
+        yield rows_of(ANCHORS, p.digit, p.whole(), p.around(byte, no), no, p.at + byte)
         del p
-        q = Passages(t)
-        yield rows_of(ANCHORS, WORDS, q.gram, doc_key(no, row + t.word_doc[q.at]), q.around(word, no), no, q.at + word)
+        yield rows_of(ANCHORS, Passages(t).grams(), 0, 0, no + WORDS, 0)
     if walk.rows:
-        yield rows_of(ANCHORS, CHECKSUM, np.array([no]), np.array([walk.checksum]), 0, no, 0)
-
-
-def doc_key(part: int, row: np.ndarray) -> np.ndarray:
-    return (np.int64(part) << np.int64(36)) + row.astype(np.int64)
+        yield rows_of(ANCHORS, np.array([no]), walk.checksum, 0, no, -1)
 
 
 class Known:
-    """What a stored table has for this partition, by kind and in order of the places."""
+    """What a stored table has for this partition: of bytes, of words (in order of the places), and its checksum."""
 
     def __init__(self, folder: str, columns: list[str]):
-        found = read_part(folder, task_part(), ["kind", "at", *columns])
-        self.columns = {c: found[c].to_numpy() if found is not None else np.empty(0, np.int64) for c in ["kind", "at", *columns]}
-        order = np.argsort(self.columns["at"], kind="stable")
-        self.columns = {c: v[order] for c, v in self.columns.items()}
-
-    def of(self, kind: int) -> dict[str, np.ndarray]:
-        own = self.columns["kind"] == kind
-        return {c: v[own] for c, v in self.columns.items()}
-
-    def checksum(self) -> int | None:
-        own = self.of(CHECKSUM)["whole"]
-        return int(own[0]) if len(own) else None
+        found = read_part(folder, task_part(), ["of_words", "at", *columns])
+        table = {c: found[c].to_numpy() if found is not None else np.empty(0, np.int64) for c in ["of_words", "at", *columns]}
+        order = np.argsort(table["at"], kind="stable")
+        table = {c: v[order] for c, v in table.items()}
+        of = lambda own: {c: v[own] for c, v in table.items()}
+        words = table.pop("of_words").astype(bool)
+        self.bytes, self.words = of(~words & (table["at"] >= 0)), of(words)
+        self.checksum = int(table["whole"][table["at"] < 0][0]) if "whole" in table and (table["at"] < 0).any() else None
 
 
 def between(x: dict[str, np.ndarray], a: int, b: int) -> dict[str, np.ndarray]:
@@ -222,16 +209,16 @@ def running(flags: np.ndarray, n: int) -> np.ndarray:
 def find_edges(anchors: str, helpers: str):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         no, walk = task_part(), Walk(batches)
-        known = Known(anchors, ["full", "digit", "whole", "open"])
-        alive, helping, grams = known.of(BYTES), Known(helpers, []).of(BYTES), known.of(WORDS)
-        # passages whose anchor is open are compared, wherever they are
-        open_grams = np.unique(grams["digit"][grams["open"].astype(bool)].astype(np.int64).view(np.uint64))
-        for _, t, byte, word, row in walk:
+        known, helping = Known(anchors, ["full", "digit", "whole"]), Known(helpers, []).bytes
+        grams = np.unique(known.words["digit"].astype(np.int64).view(np.uint64))
+        for _, t, byte, word in walk:
             n = len(t.data)
-            own = between(alive, byte, byte + n)
+            own = between(known.bytes, byte, byte + n)
             if len(own["at"]):
                 p = Places(t)
                 lives = np.isin(p.at, own["at"], assume_unique=True)
+                if lives.sum() != len(own["at"]):
+                    raise RuntimeError("the input's partitions changed between the passes")
                 dead, live = running(p.at[~lives], n), running(own["at"], n)
                 done = np.append(0, np.cumsum(covered(own["at"][own["full"].astype(bool)], LENGTH, n), dtype=np.int32))
                 starts = p.place[p.place + LENGTH <= p.end]
@@ -243,27 +230,22 @@ def find_edges(anchors: str, helpers: str):
                 del p, dead, live, done, inner, some, helps, open_
                 if len(starts):
                     second = (RunningHash(t.data, BYTE_VALUES_2).of(starts, starts + LENGTH) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                    yield rows_of(EDGES, BYTES, t.hash.of(starts, starts + LENGTH), second, 0, no, starts + byte)
-            if len(open_grams):
-                q = Passages(t)
-                at = np.minimum(np.searchsorted(open_grams, q.lowest), len(open_grams) - 1)
-                starts = np.flatnonzero((open_grams[at] == q.lowest) & (q.place + PASSAGE <= q.end))
-                if len(starts):
-                    yield rows_of(EDGES, WORDS, q.hash.of(starts, starts + PASSAGE), 0, doc_key(no, row + t.word_doc[starts]), no, starts + word)
-        walk.must_be(known.checksum())
+                    yield rows_of(EDGES, t.hash.of(starts, starts + LENGTH), second, no, starts + byte)
+            if len(grams):
+                at, h = Passages(t).compared(grams)
+                yield rows_of(EDGES, h, 0, no + WORDS, at + word)
+        walk.must_be(known.checksum)
 
     return find
 
 
 def remove(anchors: str, edges: str):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walk, known, found = Walk(batches), Known(anchors, ["full", "whole"]), Known(edges, [])
-        full = {k: {"at": v["at"][v["full"].astype(bool)]} for k, v in ((k, known.of(k)) for k in (BYTES, WORDS))}
-        more = {k: found.of(k) for k in (BYTES, WORDS)}
-        for part, t, byte, word, _ in walk:
+        walk, known, more = Walk(batches), Known(anchors, ["full", "whole"]), Known(edges, [])
+        full = {"at": known.bytes["at"][known.bytes["full"].astype(bool)]}
+        for part, t, byte, word in walk:
             n = len(t.data)
-            own = lambda x, base, n: between(x, base, base + n)["at"]
-            starts = np.union1d(own(full[BYTES], byte, n), own(more[BYTES], byte, n)).astype(np.int64)
+            starts = np.union1d(between(full, byte, byte + n)["at"], between(more.bytes, byte, byte + n)["at"]).astype(np.int64)
             gone = covered(starts, LENGTH, n)
             first, last = gone.copy(), gone.copy()
             inner = t.offsets[(t.offsets > 0) & (t.offsets < n)]
@@ -276,18 +258,16 @@ def remove(anchors: str, edges: str):
             removed = t.per_doc(gone, t.offsets)
             digests, raw = [], t.data
             for i in range(t.n):
-                own_bytes = raw[t.offsets[i] : t.offsets[i + 1]]
-                digests.append(hashlib.sha256(own_bytes[~gone[t.offsets[i] : t.offsets[i + 1]]] if removed[i] else own_bytes).hexdigest())
+                own = raw[t.offsets[i] : t.offsets[i + 1]]
+                digests.append(hashlib.sha256(own[~gone[t.offsets[i] : t.offsets[i + 1]]] if removed[i] else own).hexdigest())
             begin = np.repeat(t.offsets[:-1], np.diff(cuts))
-            words = int(t.word_offsets[-1]) if t.n else 0
-            settled, compared = own(full[WORDS], word, words), own(more[WORDS], word, words)
-            runs = np.concatenate([settled - GRAM_PLACES + 1, compared]).astype(np.int64)
-            sizes = np.repeat([PASSAGE + GRAM_PLACES - 1, PASSAGE], [len(settled), len(compared)])
-            shared = t.per_doc(covered(runs, sizes, words), t.word_offsets) if len(runs) else np.zeros(t.n, np.int64)
+            words = int(t.word_offsets[-1])
+            runs = between(more.words, word, word + words)["at"].astype(np.int64)
+            shared = t.per_doc(covered(runs, PASSAGE, words), t.word_offsets) if len(runs) else np.zeros(t.n, np.int64)
             lists = [pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(x - begin)) for x in (run0, run1)]
             arrays = [part.column(0), pa.array(np.diff(t.offsets)), pa.array(removed), pa.array(np.diff(cuts)), pa.array(digests, pa.string()), pa.array(shared), *lists]
             yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in SCHEMA.split(", ")])
-        walk.must_be(known.checksum())
+        walk.must_be(known.checksum)
 
     return cut
 
@@ -296,34 +276,27 @@ def repeated_suffixes(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words, span_starts, span_ends (bytes of the text) for each row of ``docs(doc_id, text)``.
 
     A null or empty text has no bytes. A text below 400 bytes keeps all. Repeated rows lose all their bytes from 400 on, as
-    every copy is judged on the input. n_passage_words counts the words in runs of 50 words that another row holds as well;
-    repeats within a row do not count there. The result is a stored table.
+    every copy is judged on the input. n_passage_words counts the words in runs of 44 words or more that another row holds as
+    well (all runs of 50 are found; a run that a row holds twice counts once). The result is a stored table.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
     hold_splits(spark)
-    # all windows share one exchange on (kind, digit)
-    digit, whole, around = (Window.partitionBy("kind", "digit", *x) for x in ((), ("whole",), ("around",)))
+    bucket = Window.partitionBy("digit")
     suffixes = rows.mapInArrow(trimmed(find_anchors), ANCHORS)
-    is_bytes, is_words = F.col("kind") == BYTES, F.col("kind") == WORDS
-    several = F.min("whole").over(digit) != F.max("whole").over(digit)
-    left = suffixes.withColumn("n", F.count("*").over(digit)).withColumn("several", several).where((is_bytes & (F.col("n") > 1)) | (is_words & F.col("several")) | (F.col("kind") == CHECKSUM))
-    left = left.withColumn("same", F.count("*").over(whole))
-    left = left.withColumn("no", F.row_number().over(around.orderBy("part", "at")))
-    left = left.withColumn("settled", F.min("whole").over(around) != F.max("whole").over(around))
-    left = left.withColumn("full", F.when(is_bytes, (F.col("whole") != 0) & (F.col("same") > 1)).otherwise(is_words & F.col("settled")))
-    left = left.withColumn("open", F.bool_or(is_words & ~F.col("full")).over(digit))
-    anchors = by_part(left.select("kind", "digit", "whole", "full", (is_bytes & (F.col("no") <= 2)).alias("first"), "open", "part", "at"), "anchors")
-    known = spark.read.schema(KNOWN).parquet(anchors).where(is_bytes)
+    left = suffixes.withColumn("n", F.count("*").over(bucket)).where("n > 1 or at < 0")
+    left = left.withColumn("full", (F.col("whole") != 0) & (F.count("*").over(Window.partitionBy("digit", "whole")) > 1))
+    left = left.withColumn("no", F.row_number().over(Window.partitionBy("digit", "around").orderBy("part", "at")))
+    real = lambda: [(F.col("part") >= WORDS).alias("of_words"), (F.col("part") % WORDS).alias("part"), "at"]
+    anchors = by_part(left.select("digit", "whole", "full", (F.col("no") <= 2).alias("first"), *real()), "anchors")
+    known = spark.read.schema(KNOWN).parquet(anchors).where("not of_words and at >= 0")
     # anchors whose strings may not all lie in repeats: not repeated themselves, or no repeated one shortly before
     back = F.max(F.when(F.col("full"), F.col("at"))).over(Window.partitionBy("part").orderBy("at").rangeBetween(-LENGTH, -BEFORE))
     ends = known.select("part", "at", "full", "digit").withColumn("back", back).where("not full or back is null").select("digit").distinct()
-    helpers = by_part(known.where("first").select("kind", "part", "at", "digit").join(ends, "digit", "left_semi").select("kind", "part", "at"), "helpers")
+    helpers = by_part(known.where("first").select("of_words", "part", "at", "digit").join(ends, "digit", "left_semi").select("of_words", "part", "at"), "helpers")
     release(spark)
     strings = rows.mapInArrow(trimmed(find_edges(anchors, helpers)), EDGES)
-    same = Window.partitionBy("kind", "digit", "whole")
-    strings = strings.withColumn("n", F.count("*").over(same)).withColumn("several", F.min("doc").over(same) != F.max("doc").over(same))
-    edges = by_part(strings.where((is_bytes & (F.col("n") > 1)) | (is_words & F.col("several"))).select("kind", "part", "at"), "edges")
+    edges = by_part(strings.withColumn("n", F.count("*").over(Window.partitionBy("digit", "whole"))).where("n > 1").select(*real()), "edges")
     release(spark)
     out = stored(rows.mapInArrow(trimmed(remove(anchors, edges)), SCHEMA), "suffixes")
     for folder in (anchors, helpers, edges):

@@ -153,6 +153,46 @@ def covered(first: np.ndarray, length: int | np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
+class Tally:
+    """Sums of counts by 64-bit key, in bounded memory for a bounded number of keys."""
+
+    def __init__(self):
+        self.keys, self.sums, self.parts, self.waiting = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((keys, counts))
+        self.waiting += len(keys)
+        if self.waiting > 1_000_000:
+            self.fold()
+
+    def fold(self) -> None:
+        keys = np.concatenate([self.keys, *(k for k, _ in self.parts)])
+        sums = np.concatenate([self.sums, *(c for _, c in self.parts)])
+        self.keys, at = np.unique(keys, return_inverse=True)
+        self.sums = np.bincount(at, weights=sums, minlength=len(self.keys)).astype(np.int64)
+        self.parts, self.waiting = [], 0
+
+    def in_slices(self, most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        self.fold()
+        for a in range(0, len(self.keys), most):
+            yield self.keys[a : a + most], self.sums[a : a + most]
+
+
+def task_part() -> int:
+    from pyspark import TaskContext
+
+    return TaskContext.get().partitionId()
+
+
+def rows_of(schema: str, *columns) -> pa.RecordBatch:
+    """A batch of a schema of integers; a single number stands for a column of it."""
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    n = next(len(c) for c in columns if isinstance(c, np.ndarray))
+    wide = {"byte": np.int8, "int": np.int32, "long": np.int64}
+    arrays = [c.view(np.int64) if isinstance(c, np.ndarray) and c.dtype == np.uint64 else c if isinstance(c, np.ndarray) else np.full(n, c) for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(wide[k], copy=False)) for c, k in zip(arrays, kinds, strict=True)], list(names))
+
+
 def trim() -> None:
     """Give freed memory back to the system: workers live on between tasks and share an executor's memory."""
     pa.default_memory_pool().release_unused()
