@@ -11,13 +11,14 @@ The index is a Parquet table: shard, path, row, doc_id, offset, length, n_tokens
 
 Writing: rows are range-partitioned by doc_id; each task encodes its rows and writes one file under a name of its own, so a
 repeated attempt can't touch the file of another, and only files that the index names count. Encoding runs through a cache
-of white-space separated pieces: the vocabulary's rules never join text across white space, so a text's ids are those of
-its pieces in order.
+of white-space separated pieces where the vocabulary's rules don't join text across white space (see ``Encoder``).
 """
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -26,12 +27,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, stored
 from .files import open_fs
 from .textnum import chunks
+from .word_bpe import WordBpe
 
 END_ID = 2
 #: Text that goes into one shard, about.
@@ -75,13 +78,18 @@ def parse(record: bytes) -> tuple[int | None, np.ndarray]:
 class Encoder:
     """Ids of texts by a tokenizer file, through a cache of pieces. One for each worker and file.
 
-    New pieces that are a word of Latin-1 letters, with or without one closing mark, go to the vocabulary's model without
-    the general splitting rules (a run of letters is one unit of them, and so is a mark after it); other pieces go through
-    the whole tokenizer. The short way is taken only where a check on the first use finds it to agree.
+    A piece is what stands between white space. New pieces of ASCII and Latin-1 letters, digits and marks are cut into units
+    as the general rules do (a run of letters, a digit, a run of marks), and the units are merged in numpy, many at once; all
+    other pieces go through the library. Both are checked against the library when an encoder is made, and pieces against
+    whole texts on the first texts it gets: where they differ, the library encodes the pieces, or the texts, itself.
     """
 
     _made: dict[str, Encoder] = {}
-    PROBE = ["the", "Straße", "ÉTÉ,", "µm.", "don", "zwölf,"]
+    PROBE = ["the", "Straße", "ÉTÉ,", "don", "zwölf,", "a1b22", "word.%%%", "x=[1,2]", "#!?", "A", "9", "it,s", "<a|b>", "ÿÿÿ***ÿ", "internationalization", "q" * 40]
+    SIMPLE = re.compile("[!-&(-~ß-öø-ÿ]+")
+    UNIT = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+    #: Texts of the first chunk that are encoded whole, too.
+    WHOLE = 32
 
     def __init__(self, path: str):
         # a task has one core; threads of the library would only add memory
@@ -91,17 +99,13 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.type = "<u2" if self.tokenizer.get_vocab_size() <= 0x10000 else "<u4"
         self.cache: dict[bytes, bytes] = {}
-        vocab = self.tokenizer.get_vocab()
-        self.is_end = np.zeros(max(vocab.values(), default=0) + 1, bool)
-        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
-        self.bare = None
-        if suffix:
-            self.is_end[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-            self.bare = Tokenizer(self.tokenizer.model)
-            self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.units: dict[str, bytes] = {}
+        self.by_piece: bool | None = None
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bpe = WordBpe(path, self._alphabet(level))
+        if self.bpe.usable:
             probe = [p.encode() for p in self.PROBE]
-            if [v for _, v in self._short(probe)] != [v for _, v in self._whole(probe)]:
-                self.bare = None
+            self.bpe.usable = self.type == "<u2" and self._pieces(probe) == self._whole(probe)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -109,58 +113,83 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    @staticmethod
+    def _alphabet(level) -> dict[int, str]:
+        """The character that stands for each byte, as far as characters of two bytes and ASCII show it."""
+        out = {}
+        for c in map(chr, [*range(0x80), *range(0x80, 0x800)]):
+            raw, shown = c.encode(), level.pre_tokenize_str(c)[0][0]
+            if len(raw) == len(shown):
+                out.update(zip(raw, shown, strict=True))
+        known = set(out.values())
+        # bytes that are in no such character, in the order of the rest of the alphabet
+        rest = sorted(set(level.alphabet()) - known)
+        out.update(zip((b for b in range(256) if b not in out), rest, strict=False))
+        return out
+
     def _ids(self, ids) -> bytes:
         return np.array(ids, self.type).tobytes()
 
-    def _whole(self, pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
+    def _whole(self, pieces: list[bytes]) -> list[bytes]:
         out, step = [], 2000
         for i in range(0, len(pieces), step):
-            part = pieces[i : i + step]
-            made = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in part], add_special_tokens=False)
-            out += [(p, self._ids(e.ids)) for p, e in zip(part, made, strict=True)]
+            out += [self._ids(e.ids) for e in self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces[i : i + step]], add_special_tokens=False)]
         return out
 
-    def _short(self, pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
-        marks = {m: self._ids(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in ",."}
-        out, rest, todo = [], [], {}
-        for p in pieces:
-            s = p.decode("utf-8", "replace")
-            mark = s[-1:] if s[-1:] in marks and len(s) > 1 else ""
-            core = s[:-1] if mark else s
-            if core.isalpha() and max(core) <= "\u00ff":
-                todo.setdefault(core.lower(), []).append((p, mark))
-            else:
-                rest.append(p)
-        cores, step = list(todo), 2000
-        for i in range(0, len(cores), step):
-            part = cores[i : i + step]
-            ids = np.array(self.bare.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)[0].ids, self.type)
-            ends = np.flatnonzero(self.is_end[ids]) + 1
-            if len(ends) != len(part):
-                rest += [p for c in part for p, _ in todo[c]]
-                continue
-            raw, width, start = ids.tobytes(), ids.itemsize, 0
-            for core, end in zip(part, (ends * width).tolist(), strict=True):
-                own = raw[start:end]
-                start = end
-                for p, mark in todo[core]:
-                    out.append((p, own + marks[mark] if mark else own))
-        return out + (self._whole(rest) if rest else [])
+    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
+        if not self.bpe.usable:
+            return self._whole(pieces)
+        # no piece holds a line end
+        low = b"\n".join(pieces).decode("utf-8", "replace").lower().split("\n") if pieces else []
+        match, findall = self.SIMPLE.fullmatch, self.UNIT.findall
+        cut = [[] if not s else None if not match(s) or "<|" in s or len(s) > CACHE_BYTES else s if s.isalpha() else findall(s) for s in low]
+        wanted = {u for u in cut if type(u) is str}
+        wanted.update(*[u for u in cut if type(u) is list])
+        new = list(wanted - self.units.keys())
+        if len(self.units) + len(new) > CACHE_PIECES // 2:
+            self.units, new = {}, list(wanted)
+        known = self.units
+        known.update(zip(new, self.bpe.encode([u.encode() for u in new]), strict=True))
+        out = [None if u is None else known[u] if type(u) is str else b"".join([known[x] for x in u]) for u in cut]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(rest, self._whole([pieces[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as little-endian integers of ``self.type``."""
-        split = [t.split() for t in texts]
-        wanted = set().union(*split)
-        new = list(wanted - self.cache.keys())
-        if len(self.cache) + len(new) > CACHE_PIECES:
-            self.cache, new = {}, list(wanted)
+        # millions of small lists and bytes without cycles: the collector would walk through them again and again
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            if self.by_piece is None:
+                some = [t[:20_000].decode("utf-8", "ignore").encode() for t in texts[: self.WHOLE]]
+                self.by_piece = self._by_piece(some) == self._whole(some)
+            return self._by_piece(texts) if self.by_piece else self._whole(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _by_piece(self, texts: list[bytes]) -> list[bytes]:
+        column = pa.array(texts, pa.large_binary())
+        # the same bytes as strings, whether or not they are valid UTF-8
+        column = pa.Array.from_buffers(pa.large_utf8(), len(column), column.buffers())
+        split = pc.ascii_split_whitespace(column)
+        pieces = split.values.dictionary_encode()
+        distinct = pa.Array.from_buffers(pa.large_binary(), len(pieces.dictionary), pieces.dictionary.buffers()).to_pylist()
         known = self.cache
-        known.update((self._short if self.bare else self._whole)(new))
-        out = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+        new = [p for p in distinct if p not in known]
+        if len(known) + len(new) > CACHE_PIECES:
+            self.cache, new = {}, distinct
+            known = self.cache
+        known.update(zip(new, self._pieces(new), strict=True))
+        ids = pa.array([known[p] for p in distinct], pa.large_binary()).take(pieces.indices)
         for p in new:
             if len(p) > CACHE_BYTES:
                 del known[p]
-        return out
+        at = np.frombuffer(ids.buffers()[1], np.int64)[split.offsets.to_numpy()] if len(ids) else np.zeros(len(texts) + 1, np.int64)
+        raw = memoryview(ids.buffers()[2] or b"")
+        return [bytes(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, shards: int | None = None) -> DataFrame:
