@@ -337,7 +337,8 @@ def links_in_open(members: DataFrame, labels: DataFrame, sketches: DataFrame, te
         folder = by_part(large.select("group", "tid", "label").join(number, "group").withColumn("part", block).join(full, "tid").select("part", "tid", "label", "weight", "slots", "hashes", "weights"), "open-texts")
         have = spark.read.parquet(folder).select("part").distinct()
         i = number.select("first", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"))
-        ij = i.select((F.col("first") + F.col("i")).cast("int").alias("i"), F.explode(F.sequence(F.col("first") + F.col("i"), F.col("first") + F.col("blocks") - 1)).cast("int").alias("j"))
+        ij = i.select((F.col("first") + F.col("i")).alias("i"), F.explode(F.sequence(F.col("first") + F.col("i"), F.col("first") + F.col("blocks") - 1)).alias("j"))
+        ij = ij.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"))
         ij = ij.join(have.withColumnRenamed("part", "i"), "i", "left_semi").join(have.withColumnRenamed("part", "j"), "j", "left_semi").select("i", "j")
         tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         more = more.unionByName(stored(ij.repartition(tasks, "i").sortWithinPartitions("i").mapInArrow(compare_stored(folder), LINKS), "more-links"))
