@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher, get_close_matches
+from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -57,7 +57,12 @@ def correct_spelling(answers: DataFrame, vocab: DataFrame, **rules) -> DataFrame
     return out.select(*answers.columns, F.coalesce(F.array_join(F.col("w.corrected"), " "), F.lit("")).alias("corrected"))
 
 
-@F.pandas_udf(T.StringType())
-def closest(words: pd.Series, dictionary: pd.Series) -> pd.Series:
-    """The close match of a word in its dictionary at 0.75, else the word: the plain form for short fixed lists."""
-    return pd.Series([(get_close_matches(w, list(d), n=1, cutoff=0.75) or [w])[0] for w, d in zip(words, dictionary, strict=True)])
+def correct_by_list(texts: DataFrame, dictionary: list[str], cutoff: float = 0.75) -> DataFrame:
+    """``texts(text_id, text)`` with ``corrected``: each token replaced by its close match in a short list, whatever its length."""
+    answers = texts.select(F.lit(0).alias("exam_id"), F.col("text_id").alias("answer_id"), "text")
+    spread = answers.select("exam_id", "answer_id", F.posexplode(tokens(F.col("text"))).alias("pos", "word"))
+    vocab = texts.sparkSession.createDataFrame([(0, w) for w in dictionary], "exam_id int, term string")
+    fixed = corrections(spread, vocab, cutoff, most_change=None, shortest=1)
+    joined = spread.join(fixed, ["exam_id", "word"]).groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("pos", "corrected"))).alias("w"))
+    out = answers.join(joined, "answer_id", "left")
+    return out.select(F.col("answer_id").alias("text_id"), "text", F.coalesce(F.array_join(F.col("w.corrected"), " "), F.lit("")).alias("corrected"))

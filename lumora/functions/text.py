@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,11 @@ COMMON_TERMS = [
 ]
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once; inside a lambda Spark would evaluate an outer expression for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
@@ -61,13 +68,12 @@ def keywords(c: Column, stop: list[str] | None = None) -> Column:
 
 def noise_ratio(c: Column) -> Column:
     """Share of tokens without letters (two characters or more), or with as many digits as letters and both; 0.0 if none."""
-    words = tokens(c)
 
     def noisy(w: Column) -> Column:
         letters, numbers = F.regexp_count(w, F.lit(r"\p{L}")), F.regexp_count(w, F.lit(r"\p{Nd}"))
         return ((F.length(w) >= 2) & (letters == 0)) | ((numbers > 0) & (letters > 0) & (numbers >= letters))
 
-    return F.when(F.size(words) == 0, F.lit(0.0)).otherwise(F.size(F.filter(words, noisy)) / F.size(words))
+    return let(tokens(c), lambda words: F.when(F.size(words) == 0, F.lit(0.0)).otherwise(F.size(F.filter(words, noisy)) / F.size(words)))
 
 
 def readable_words(c: Column) -> Column:
@@ -83,12 +89,16 @@ def choose_engine(a: Column, b: Column) -> Column:
 
 def word_windows(c: Column, size: int = 6, step: int = 3, whole_up_to: int = 30) -> Column:
     """Runs of six words, three apart, and the last six if the count is no multiple of three; short texts stay whole."""
-    w = tokens(c)
-    n = F.size(w)
-    at = F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1)), F.lit(step))
-    runs = F.transform(at, lambda i: F.array_join(F.slice(w, i, size), " "))
-    tail = F.when(n % step != 0, F.array(F.array_join(F.slice(w, F.greatest(n - size + 1, F.lit(1)), size), " "))).otherwise(F.array().cast("array<string>"))
-    return F.when(n <= max(size, whole_up_to), F.array(F.coalesce(c, F.lit("")))).otherwise(F.concat(runs, tail))
+    run = lambda w, i: F.array_join(F.slice(w, i, size), " ")
+
+    def cut(w: Column) -> Column:
+        n = F.size(w)
+        last = F.greatest(n - size + 1, F.lit(1))
+        runs = F.transform(F.sequence(F.lit(1), last, F.lit(step)), lambda i: run(w, i))
+        tail = F.when(n % step != 0, F.array(run(w, last))).otherwise(F.array().cast("array<string>"))
+        return F.when(n <= max(size, whole_up_to), F.array(F.coalesce(c, F.lit("")))).otherwise(F.concat(runs, tail))
+
+    return let(tokens(c), cut)
 
 
 def mismatches(a: Column, b: Column) -> Column:
@@ -107,16 +117,15 @@ def fuzzy_equal(target: Column, word: Column) -> Column:
 
 def fuzzy_overlap(targets: Column, text: Column) -> Column:
     """Whether any target has a fuzzy match among the text's keywords."""
-    found = keywords(text)
-    return F.exists(targets, lambda t: F.exists(found, lambda w: fuzzy_equal(t, w)))
+    return let(keywords(text), lambda found: F.exists(targets, lambda t: F.exists(found, lambda w: fuzzy_equal(t, w))))
 
 
 def rescue_hits(model_words: Column, text: Column, distinct: bool = False) -> Column:
     """How many model keywords of over five characters the text holds, as substring or fuzzily; duplicates count."""
     meaty = F.filter(model_words, lambda k: (F.length(k) > 5) & ~k.isin(STOP_WORDS))
-    low, found = F.lower(text), keywords(text)
     meaty = F.array_distinct(meaty) if distinct else meaty
-    return F.size(F.filter(meaty, lambda k: F.contains(low, k) | F.exists(found, lambda w: fuzzy_equal(k, w))))
+    hit = lambda low, found: lambda k: F.contains(low, k) | F.exists(found, lambda w: fuzzy_equal(k, w))
+    return let(F.lower(text), lambda low: let(keywords(text), lambda found: F.size(F.filter(meaty, hit(low, found)))))
 
 
 def base_number(key: Column) -> Column:
@@ -144,6 +153,7 @@ def final_score(sim: Column, noisy: Column, coverage: Column, hits: Column, n_wo
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.greatest(blend, floor, other)))
 
 
+# The sentences of the four tiers and of the missing concepts.
 def feedback(score: Column, missing: Column) -> Column:
     """The sentence of the score's tier, and the first two missing concepts below 0.85."""
     tier = (F.when(score >= 0.85, "Excellent understanding of the concept.")

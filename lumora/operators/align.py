@@ -75,6 +75,34 @@ def align_parts(models: DataFrame, students: DataFrame, taken: DataFrame) -> Dat
     return g.select("exam_id", "student_id", "m_key", F.col("x.s_key").alias("s_keys"), F.array_join(F.col("x.text"), " ").alias("text"))
 
 
+def align_keys(models: DataFrame, students: DataFrame) -> DataFrame:
+    """exam_id, student_id, m_key, s_key, how (exact, base, part): the rules of align_exact, align_base and align_parts in one join.
+
+    All three only match keys of one number, so both sides meet on exam and number, and windows over the same partitions
+    find out which keys are taken. A part match is a row for each part.
+    """
+    s = students.select("exam_id", "student_id", F.col("q_key").alias("s_key"), base_number(F.col("q_key")).alias("num")).distinct()
+    m = models.select("exam_id", F.col("q_key").alias("m_key"), base_number(F.col("q_key")).alias("num")).distinct()
+    p = s.join(m, ["exam_id", "num"]).withColumn("exact", F.col("m_key") == F.col("s_key"))
+    of = lambda *keys: Window.partitionBy("exam_id", "num", "student_id", *keys)
+    p = p.withColumn("s_exact", F.max("exact").over(of("s_key"))).withColumn("m_exact", F.max("exact").over(of("m_key")))
+    asks = (F.col("s_key") == F.col("num")) & ~F.col("s_exact") & ~F.col("m_exact")
+    p = p.withColumn("base", asks & (F.col("m_key") == F.min(F.when(asks, F.col("m_key"))).over(of("s_key"))))
+    taken = F.col("exact") | F.col("base")
+    p = p.withColumn("s_taken", F.max(taken).over(of("s_key"))).withColumn("m_taken", F.max(taken).over(of("m_key")))
+    plain = F.rlike("m_key", F.lit(r"^\d+$")) & (F.col("s_key") != F.col("num")) & F.startswith("s_key", F.col("m_key"))
+    how = F.when(F.col("exact"), "exact").when(F.col("base"), "base").when(plain & ~F.col("s_taken") & ~F.col("m_taken"), "part")
+    return p.select("exam_id", "student_id", "m_key", "s_key", how.alias("how")).where("how is not null")
+
+
+def joined_parts(aligned: DataFrame, students: DataFrame) -> DataFrame:
+    """exam_id, student_id, m_key, s_keys, text: the parts of a plain number, sorted and joined."""
+    texts = students.select("exam_id", "student_id", F.col("q_key").alias("s_key"), "text")
+    p = aligned.where("how = 'part'").join(texts, ["exam_id", "student_id", "s_key"])
+    g = p.groupBy("exam_id", "student_id", "m_key").agg(F.array_sort(F.collect_list(F.struct("s_key", "text"))).alias("x"))
+    return g.select("exam_id", "student_id", "m_key", F.col("x.s_key").alias("s_keys"), F.array_join(F.col("x.text"), " ").alias("text"))
+
+
 def align_greedy(similar: DataFrame, least: float = 0.2) -> DataFrame:
     """exam_id, student_id, m_key, s_key: model keys in string order take the most similar free student row above ``least``.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumora.functions.fuzzy import ratio_may_reach, sequence_ratio
-from lumora.functions.text import clean_strict, tokens
+from lumora.functions.text import clean_strict, let, tokens
 
 #: This engine's own list for the library's English stop words; short function words only.
 ENGLISH_STOP = "a an and are as at be but by for from has have he her his i in is it its no not of on or she so that the their them they this to was we were which who will with you".split()
@@ -80,7 +80,7 @@ def hybrid_score(pairs: DataFrame) -> DataFrame:
     k = pairs.join(keyword_lists(pairs), "pair_id", "left")
     # keyword pairs fall apart into words here
     words = F.split(F.array_join("keywords", " "), " ")
-    hit = F.size(F.filter(words, lambda w: F.array_contains(tokens(F.col("student")), w)))
+    hit = let(tokens(F.col("student")), lambda own: F.size(F.filter(words, lambda w: F.array_contains(own, w))))
     share = F.when(F.col("keywords").isNull(), 0.0).otherwise(hit / F.size(words))
     both = k.select("pair_id", share.alias("keyword")).join(tfidf_cosine(pairs, ENGLISH_STOP), "pair_id")
     final = F.least(F.lit(1.0), 0.6 * F.col("tfidf") + 0.4 * F.col("keyword"))

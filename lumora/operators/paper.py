@@ -116,3 +116,22 @@ def rubric(papers: DataFrame, bare_parts: bool = False, line_before: bool = Fals
     alone = F.count("*").over(Window.partitionBy("exam_id", "group_id")) == 1
     kind = F.when(F.col("challenge"), "challenge").when(alone, "mandatory").otherwise("optional")
     return g.select("exam_id", "q_key", F.col("marks").alias("max_marks"), kind.alias("q_type"), "group_id")
+
+
+def usable_rows(rows: DataFrame, most: int = 20) -> DataFrame:
+    """The rows of papers whose numbers are all up to ``most``; a paper with a higher one is garbage as a whole."""
+    bad = rows.where(base_number(F.col("q_key")).try_cast("int") > most).select("exam_id").distinct()
+    return rows.join(bad, "exam_id", "left_anti")
+
+
+#: Keys whose presence shows that a paper has questions in two parts.
+PART_KEYS = ["7a", "7b", "8a", "8b", "9a", "9b"]
+
+
+def schema_state(papers: DataFrame) -> DataFrame:
+    """exam_id, n_keys, total_marks, kind (rubric, total, none), has_parts: what a paper says about its marks."""
+    rows = usable_rows(question_rows(papers))
+    per = rows.groupBy("exam_id").agg(F.count("*").alias("n_keys"), F.bool_or(F.col("q_key").isin(PART_KEYS)).alias("has_parts"))
+    out = total_marks(papers).join(per, "exam_id", "left")
+    kind = F.when(F.col("n_keys") > 0, "rubric").when(F.col("total_marks").isNotNull(), "total").otherwise("none")
+    return out.select("exam_id", F.coalesce("n_keys", F.lit(0)).alias("n_keys"), "total_marks", kind.alias("kind"), F.coalesce("has_parts", F.lit(False)).alias("has_parts"))

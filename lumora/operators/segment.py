@@ -10,16 +10,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumora.functions.text import base_number, natural_key, strip
+from lumora.functions.text import base_number, let, natural_key, strip
 
 PAGE_BREAK = "---PAGE_BREAK---"
 # The patterns of question markers, part markers, page headers and noise lines.
 QUESTION = r"(?i)(?:^|\n)\s*(?:Q(?:uestion|\.)?\s*|Ans(?:wer)?\s*\.?\s*)?[\(\[]?0?(\d{1,2}[a-z]?)[\)\]\.\/\:\-\_\ \\]"
 PART = r"(?i)(?:^|\n)\s*([a-h]|[ivx]+)\s*[\)\.\-]\s*"
-PAGE_HEADER = (
-    r"(?i)[Mm]uthoo?t\s+[Ii]n?s[it]i?t?u?t?e?\b|\b(?:Main|Additional)\s+(?:Sh[ea][ea]t|Answer)|\bAddit[io][ao]n[ae]l\s+Sh[ea][ea]t|Space\s+for\s+Writing"
-    r"|MARKS\s+T[oO]\s+BE\s+FILLED|(?:Main|Additional)\s*Sh[a-z]*t\b|[Ii](?:nst|ule)\s+\d+\s+(?:of\s+)?Technology\s*\&?\s*(?:Main|Additional)"
-)
+PAGE_HEADERS = [
+    r"[Mm]uthoo?t\s+[Ii]n?s[it]i?t?u?t?e?\b",
+    r"\b(?:Main|Additional)\s+(?:Sh[ea][ea]t|Answer)",
+    r"\bAddit[io][ao]n[ae]l\s+Sh[ea][ea]t",
+    r"Space\s+for\s+Writing",
+    r"MARKS\s+T[oO]\s+BE\s+FILLED",
+    r"(?:Main|Additional)\s*Sh[a-z]*t\b",
+    r"[Ii](?:nst|ule)\s+\d+\s+(?:of\s+)?Technology\s*\&?\s*(?:Main|Additional)",
+]
+PAGE_HEADER = "(?i)" + "|".join(PAGE_HEADERS)
 NOISE_LINE = r"(?i)^\s*(Sub\s+Total|Maximum\s+Marks|Marks\s+Secured|CO\s*\d|Onos|Q\.?No\.?|\d+)\s*$"
 HIGHEST = 50
 _OPEN, _CLOSE = "\u0001", "\u0002"
@@ -175,27 +181,54 @@ def _long(parts: Column, least: int) -> Column:
 
 def pages(text: Column) -> Column:
     """Pages by the sentinel (over 20 characters, more than one), else at header lines over 100 characters apart, else the whole."""
-    by_mark = _long(F.split(text, PAGE_BREAK, -1), 20)
-    # header lines: places of line starts that hold a header
-    lines = F.split(text, "\n", -1)
-    places = F.aggregate(lines, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), lambda acc, line: F.struct((acc["at"] + F.length(line) + 1).alias("at"), F.when(F.rlike(line, F.lit(PAGE_HEADER)), F.concat(acc["starts"], F.array(acc["at"]))).otherwise(acc["starts"]).alias("starts")), lambda acc: acc["starts"])
-    kept = F.aggregate(places, F.array().cast("array<int>"), lambda acc, p: F.when((F.size(acc) == 0) | (p - F.try_element_at(acc, F.lit(-1)) > 100), F.concat(acc, F.array(p))).otherwise(acc))
-    ends = F.concat(F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0))), F.array(F.length(text)))
-    by_header = _long(F.zip_with(kept, ends, lambda a, b: F.substring(text, a + 1, b - a)), 20)
-    return F.when(F.contains(text, F.lit(PAGE_BREAK)) & (F.size(by_mark) > 1), by_mark).when((F.size(kept) > 1) & (F.size(by_header) > 1), by_header).otherwise(F.array(text))
 
+    def starts(t: Column) -> Column:
+        """Places of the lines with a header, those within 100 characters of the last kept one left out."""
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("kept"))
 
-def chunks(text: Column, n: Column) -> Column:
-    """About n pieces: pages (two more at most), else paragraphs at three or more, then two newlines, else the whole."""
+        def step(acc: Column, line: Column) -> Column:
+            far = (F.size(acc["kept"]) == 0) | (acc["at"] - F.try_element_at(acc["kept"], F.lit(-1)) > 100)
+            kept = F.when(F.rlike(line, F.lit(PAGE_HEADER)) & far, F.concat(acc["kept"], F.array(acc["at"]))).otherwise(acc["kept"])
+            return F.struct((acc["at"] + F.length(line) + 1).alias("at"), kept.alias("kept"))
+
+        return F.aggregate(F.split(t, "\n", -1), zero, step, lambda acc: acc["kept"])
+
+    def by_header(t: Column, kept: Column) -> Column:
+        ends = F.concat(F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0))), F.array(F.length(t)))
+        found = _long(F.zip_with(kept, ends, lambda a, b: F.substring(t, a + 1, b - a)), 20)
+        return let(found, lambda p: F.when((F.size(kept) > 1) & (F.size(p) > 1), p).otherwise(F.array(t)))
+
+    def cut(t: Column) -> Column:
+        marked = F.when(F.contains(t, F.lit(PAGE_BREAK)), _long(F.split(t, PAGE_BREAK, -1), 20)).otherwise(F.array().cast("array<string>"))
+        return let(marked, lambda p: F.when(F.size(p) > 1, p).otherwise(let(starts(t), lambda kept: by_header(t, kept))))
+
+    return let(text, cut)
+
+
+def chunks(text: Column, n: Column, keep_rest: bool = True) -> Column:
+    """About n pieces: pages (two more at most), else paragraphs at three or more, then two newlines, else the whole.
+
+    Pages beyond n + 2 join the last piece; without ``keep_rest`` they are left out.
+    """
+
+    def few(p: Column) -> Column:
+        if not keep_rest:
+            return F.slice(p, F.lit(1), n + 2)
+        rest = F.array(F.array_join(F.slice(p, n + 2, F.greatest(F.size(p) - n - 1, F.lit(0))), "\n\n"))
+        return F.when(F.size(p) <= n + 2, p).otherwise(F.concat(F.slice(p, F.lit(1), n + 1), rest))
 
     def grouped(parts: Column) -> Column:
         per = F.greatest(F.lit(1), F.floor(F.size(parts) / n).cast("int"))
-        return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(parts) - 1) / per).cast("int"), F.lit(0))), lambda i: F.array_join(F.slice(parts, i * per + 1, per), "\n\n"))
+        return let(per, lambda k: F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(parts) - 1) / k).cast("int"), F.lit(0))), lambda i: F.array_join(F.slice(parts, i * k + 1, k), "\n\n")))
+
+    def whole(t: Column) -> Column:
+        return F.when(strip(t) != "", F.array(strip(t))).otherwise(F.array().cast("array<string>"))
+
+    def paragraphs(t: Column, pattern: str, other) -> Column:
+        return let(_long(F.split(t, pattern, -1), 15), lambda parts: F.when(F.size(parts) >= n, grouped(parts)).otherwise(other(t)))
 
-    p = pages(text)
-    wide, near = _long(F.split(text, r"\n\s*\n\s*\n", -1), 15), _long(F.split(text, r"\n\s*\n", -1), 15)
-    rest = F.when(strip(text) != "", F.array(strip(text))).otherwise(F.array().cast("array<string>"))
-    return F.when(F.size(p) >= n, F.slice(p, F.lit(1), n + 2)).when(F.size(wide) >= n, grouped(wide)).when(F.size(near) >= n, grouped(near)).otherwise(rest)
+    wide = lambda t: paragraphs(t, r"\n\s*\n\s*\n", lambda u: paragraphs(u, r"\n\s*\n", whole))
+    return let(text, lambda t: let(pages(t), lambda p: F.when(F.size(p) >= n, few(p)).otherwise(wide(t))))
 
 
 def segment_with_fallback(texts: DataFrame, expected: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 from lumora.functions import text as tf
 
 DIMENSIONS = 256
+#: Words whose trigrams a task remembers.
+WORDS_HELD = 200_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -34,17 +36,19 @@ def cosine(a: Column, b: Column) -> Column:
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def lexical_encoder(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Counts of character trigrams of the lower-cased words, hashed into 256 places, to unit length."""
+    places: dict[str, np.ndarray] = {}  # of the words of this task
     for texts in batches:
-        out = []
-        for t in texts:
-            v = np.zeros(DIMENSIONS, np.float32)
-            for w in (t or "").lower().split():
-                w = f"^{w}$"
-                for i in range(len(w) - 2):
-                    v[zlib.crc32(w[i : i + 3].encode()) % DIMENSIONS] += 1
-            n = float(np.sqrt((v * v).sum()))
-            out.append((v / n if n else v).tolist())
-        yield pd.Series(out)
+        rows = [(t or "").lower().split() for t in texts]
+        for w in set().union(*rows) - places.keys():
+            marked = f"^{w}$"
+            places[w] = np.array([zlib.crc32(marked[i : i + 3].encode()) % DIMENSIONS for i in range(len(marked) - 2)], np.int64)
+        at = [np.concatenate([places[w] for w in r]) if r else np.empty(0, np.int64) for r in rows]
+        row = np.repeat(np.arange(len(rows)), [len(a) for a in at])
+        counts = np.bincount(row * DIMENSIONS + np.concatenate(at), minlength=len(rows) * DIMENSIONS).reshape(len(rows), -1) if rows else np.zeros((0, DIMENSIONS))
+        norms = np.sqrt((counts.astype(np.float32) ** 2).sum(1, keepdims=True))
+        yield pd.Series(list((counts / np.where(norms > 0, norms, 1)).astype(np.float32)))
+        if len(places) > WORDS_HELD:
+            places.clear()
 
 
 def encoded(texts: DataFrame, column: str, encoder: Callable[[Column], Column] = lexical_encoder) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,17 +11,29 @@ from lumora.functions.text import natural_key
 from lumora.operators import align, similarity
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The rows as a written table, so that what follows is planned and run from there; in spark.checkpoint.dir, which all share."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="lumora-"))
+    return df.checkpoint()
+
+
 def grade(models: DataFrame, students: DataFrame, rubric: DataFrame, exams: DataFrame, encoder=similarity.lexical_encoder) -> tuple[DataFrame, DataFrame]:
     """(breakdown, results) for models(exam_id, q_key, text), students(exam_id, student_id, q_key, ord, text),
     rubric(exam_id, q_key, max_marks, q_type, group_id) and exams(exam_id, total_marks)."""
-    rubric = align.usable_rubric(rubric, exams)
+    models, students, exams = cut(models), cut(students), cut(exams)
+    rubric = cut(align.usable_rubric(rubric, exams))
     info = align.resolved(models, rubric, align.default_marks(models, rubric, exams))
     one = ["exam_id", "student_id"]
-    exact = align.align_exact(models, students).withColumn("note", F.lit(""))
-    base = align.align_base(models, students).withColumn("note", F.lit(""))
-    taken = exact.union(base)
-    parts = align.align_parts(models, students, taken)
-    used = taken.select(*one, "m_key", "s_key").union(parts.select(*one, "m_key", F.explode("s_keys")))
+    aligned = cut(align.align_keys(models, students))
+    taken = aligned.where("how != 'part'").select(*one, "m_key", "s_key", F.lit("").alias("note"))
+    parts = align.joined_parts(aligned, students)
+    used = aligned.select(*one, "m_key", "s_key")
     # what is left on both sides, by similarity of the first 500 characters
     people = students.select(*one).distinct()
     open_m = align.not_attempted(models, people, used).join(models.select("exam_id", F.col("q_key").alias("m_key"), F.substring("text", 1, 500).alias("m_text")), ["exam_id", "m_key"])
@@ -31,12 +45,12 @@ def grade(models: DataFrame, students: DataFrame, rubric: DataFrame, exams: Data
     answers = direct.join(students.select(*one, F.col("q_key").alias("s_key"), "text"), [*one, "s_key"]).select(*one, "m_key", "text", "note")
     joined = parts.select(*one, "m_key", "text", F.concat(F.lit(" (aggregated from student Q"), F.array_join("s_keys", ", Q"), F.lit(")")).alias("note"))
     answers = answers.union(joined).join(models.select("exam_id", F.col("q_key").alias("m_key"), F.col("text").alias("model")), ["exam_id", "m_key"])
-    answers = answers.withColumn("answer_id", F.concat_ws("\u0001", F.col("exam_id").cast("string"), F.col("student_id").cast("string"), "m_key"))
+    answers = cut(answers).withColumn("answer_id", F.concat_ws("\u0001", F.col("exam_id").cast("string"), F.col("student_id").cast("string"), "m_key"))
     scored = similarity.score_answers(answers.select("answer_id", F.col("text").alias("student"), "model"), encoder)
     got = answers.select(*one, "m_key", "note", "answer_id").join(scored, "answer_id").drop("answer_id")
     rows = info.drop("text").withColumnRenamed("q_key", "m_key").join(people, "exam_id").join(got, [*one, "m_key"], "left")
     rows = rows.select(*one, F.col("m_key").alias("q_key"), "base_key", "group_id", "q_type", "max_marks", F.coalesce(align.to_marks(F.col("score"), F.col("max_marks")), F.lit(0.0)).alias("score"), F.when(F.col("feedback").isNull(), "Not Attempted").otherwise(F.concat("feedback", "note")).alias("feedback"), "details")
-    rows = align.with_winners(rows)
+    rows = align.with_winners(cut(rows))
     rows = rows.withColumn("feedback", F.when(F.col("selected"), F.col("feedback")).otherwise(F.concat("feedback", F.lit(" (OR alternative -- not counted)"))))
     return align.rescaled_rows(rows, exams), align.exam_totals(rows, exams)
 

@@ -1,10 +1,14 @@
-"""DuckDB twins of the queries, written apart from them, on the same tables."""
+"""DuckDB twins of the queries, written apart from them, on the same tables.
+
+Fixed values (stop words, patterns of questions and paper rows) are the engine's own lists; tests hold some of them as literals.
+"""
 
 from __future__ import annotations
 
 from lumora.functions.text import STOP_WORDS
 from lumora.operators.lexical import ENGLISH_STOP
-from lumora.plans.queries import PAPER_LINES
+from lumora.operators.paper import CHALLENGE, CLASSIC, OR_LINE, ROW, TOTALS
+from lumora.operators.segment import QUESTION
 
 
 def _list(words: list[str]) -> str:
@@ -117,7 +121,34 @@ firsts AS (SELECT h.doc_id, '1' AS q_key, CASE WHEN length(head) > 10 AND o.text
 wholes AS (SELECT c.doc_id, '1' AS q_key, regexp_replace(ps[1], '^\\s+|\\s+$', '', 'g') AS text FROM cut c WHERE len(ps) = 1),
 segments AS (SELECT doc_id, q_key, text FROM merged WHERE q_key <> '1' UNION ALL SELECT * FROM firsts WHERE text IS NOT NULL UNION ALL SELECT * FROM wholes WHERE text <> '')"""
 
-_PAPER = "VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(PAPER_LINES))
+_STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+
+PAPERS = """li AS (SELECT l_orderkey AS exam_id, (l_linenumber * 2 + l_partkey % 2)::VARCHAR AS num, (1 + l_suppkey % 22)::VARCHAR AS marks, l_partkey::VARCHAR AS topic, * FROM lineitem),
+bodies AS (SELECT exam_id, string_agg(
+    CASE WHEN exam_id % 4 = 0 THEN 'Q' || num || '. Describe topic ' || topic || CASE l_partkey % 4 WHEN 0 THEN ' in short [' || marks || ' marks]' WHEN 1 THEN ' in short (' || marks || ' Marks)' WHEN 2 THEN ' in short, Marks: ' || marks ELSE ' in short ' || marks || ' marks' END
+    ELSE num || CASE l_returnflag WHEN 'A' THEN '.a) |' WHEN 'R' THEN ') b) ' ELSE '. |' END || 'Explain topic ' || topic || ' of the unit  ' || marks || ' |CO' || (l_suppkey % 5 + 1) END
+    || CASE WHEN l_linestatus = 'O' AND l_quantity > 25 THEN chr(10) || 'OR' ELSE '' END || CASE WHEN l_quantity > 48 THEN chr(10) || 'Bonus questions' ELSE '' END, chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS body FROM li GROUP BY exam_id),
+papers AS (SELECT exam_id, CASE exam_id % 3 WHEN 0 THEN 'Max. Marks: ' || (15 + exam_id % 100) || chr(10) WHEN 1 THEN 'Total marks = ' || (15 + exam_id % 100) || chr(10) ELSE '' END || body AS text FROM bodies),
+lines AS (SELECT exam_id, (generate_subscripts(ls, 1) - 1)::INT AS line_no, unnest(ls) AS line FROM (SELECT exam_id, string_split(text, chr(10)) AS ls FROM papers)),
+""" + f"""hits AS (SELECT exam_id, line_no, regexp_extract(s, '{ROW}', 1)::INT AS num, regexp_extract(s, '{ROW}', 2) AS m2, regexp_extract(s, '{ROW}', 3) AS m3, regexp_extract(s, '{ROW}', 4)::INT AS marks
+  FROM (SELECT *, {_STRIP.format('line')} AS s FROM lines) WHERE regexp_matches(s, '{ROW}')),
+parted AS (SELECT *, CASE WHEN regexp_matches(m2, '[)}}\\]]') THEN regexp_replace(lower(m2), '[^a-z]', '', 'g') ELSE '' END AS part, regexp_replace(lower(m2), '[^a-z]', '', 'g') AS letter FROM hits WHERE num BETWEEN 1 AND 15 AND marks BETWEEN 1 AND 20),
+table_rows AS (SELECT exam_id, num || part AS q_key, line_no, marks, {_STRIP.format("CASE WHEN part = '' AND letter <> '' THEN " + _STRIP.format('m2') + " || m3 ELSE m3 END")} AS q_text FROM parted QUALIFY row_number() OVER (PARTITION BY exam_id, num || part ORDER BY line_no) = 1),
+running AS (SELECT exam_id, line_no, lower(regexp_extract(line, '{CLASSIC}', 1)) AS q_key,
+  coalesce(try_cast(nullif(regexp_extract(line, '{CLASSIC}', 3), '') AS INT), try_cast(nullif(regexp_extract(line, '{CLASSIC}', 4), '') AS INT), try_cast(nullif(regexp_extract(line, '{CLASSIC}', 5), '') AS INT), try_cast(nullif(regexp_extract(line, '{CLASSIC}', 6), '') AS INT)) AS marks
+  FROM lines WHERE regexp_matches(line, '{CLASSIC}') AND exam_id NOT IN (SELECT exam_id FROM table_rows)),
+running_rows AS (SELECT exam_id, q_key, line_no, marks, '' AS q_text FROM running WHERE marks BETWEEN 1 AND 20 AND regexp_replace(q_key, '[a-z]', '', 'g')::INT BETWEEN 1 AND 20 QUALIFY row_number() OVER (PARTITION BY exam_id, q_key ORDER BY line_no) = 1),
+qrows AS (SELECT *, regexp_replace(q_key, '[a-z]', '', 'g')::INT AS base FROM (FROM table_rows UNION ALL FROM running_rows)),
+ors AS (SELECT exam_id, line_no AS o FROM lines WHERE regexp_matches(line, '{OR_LINE}')),
+sides AS (SELECT exam_id, o, (SELECT arg_max(q.base, (q.line_no, q.base)) FROM qrows q WHERE q.exam_id = ors.exam_id AND q.line_no < o) AS a, (SELECT arg_min(q.base, (q.line_no, q.base)) FROM qrows q WHERE q.exam_id = ors.exam_id AND q.line_no > o) AS b FROM ors),
+shared AS (SELECT exam_id, base, arg_max(g, (o, g)) AS g FROM (SELECT exam_id, o, least(a, b) AS g, unnest([a, b]) AS base FROM sides WHERE a <> b) GROUP BY ALL),
+groups AS (SELECT q.exam_id, q_key, base, marks, coalesce(g::VARCHAR, q_key) AS group_id FROM qrows q LEFT JOIN shared USING (exam_id, base)),
+heads AS (SELECT exam_id, min(line_no) AS head FROM lines WHERE regexp_matches(line, '{CHALLENGE}') GROUP BY 1),
+hard AS (SELECT exam_id, coalesce(max(base) FILTER (line_no > head), max(base))::VARCHAR AS base FROM heads JOIN qrows USING (exam_id) GROUP BY 1),
+totals AS (SELECT exam_id, coalesce({", ".join(f"list_filter(list_transform(regexp_extract_all(text, '{p}', 1), lambda v: try_cast(v AS INT)), lambda v: v BETWEEN 20 AND 100)[1]" for p in TOTALS)}) AS total_marks FROM papers)"""
+
+FILES = r"""files AS (SELECT conv_id AS doc_id, count(*) AS n_pages, CASE WHEN bool_or(text IS NULL) THEN '' ELSE string_agg(text || chr(10) || '---PAGE_BREAK---' || chr(10), '' ORDER BY turn, role, text) END AS text FROM conversations GROUP BY 1)"""
+
 _MISMATCH = "list_sum(list_transform(range(1, greatest(length(a.w), length(b.w)) + 1), lambda i: (a.w[i] <> b.w[i])::INT))"
 
 ORACLES = {
@@ -190,11 +221,32 @@ SELECT exam_id, count(*) FILTER (m IS NOT NULL AND s IS NOT NULL) AS n_common, c
     "merge_keys": f"WITH {NUMBERED} SELECT doc_id, q_key, text FROM merged",
     "segment_questions": f"WITH {NUMBERED} SELECT doc_id, q_key, regexp_extract(q_key, '^\\d+')::INT AS num, regexp_replace(q_key, '^\\d+', '') AS part, text FROM segments",
     "segment_profile": f"WITH {NUMBERED} SELECT doc_id, q_key, length(text)::INT AS n_chars, replace(text[1:60], chr(10), ' ') AS preview FROM segments",
-    "total_marks": "SELECT * FROM (VALUES (1, 50), (2, 30), (3, NULL), (4, NULL)) t(exam_id, total_marks)",
-    "line_grep": f"SELECT 1 AS exam_id, line_no, line FROM ({_PAPER}) t(line_no, line) WHERE regexp_matches(line, '(?i)(CO\\s*\\d|PART\\s*[AB])')",
+    "paper_rows": f"WITH {PAPERS} SELECT exam_id, q_key, line_no, marks, q_text FROM qrows",
+    "total_marks": f"WITH {PAPERS} SELECT exam_id, total_marks FROM totals",
+    "or_groups": f"WITH {PAPERS} SELECT exam_id, q_key, group_id FROM groups",
+    "challenge_type": f"WITH {PAPERS} SELECT exam_id, base FROM hard",
+    "paper_rubric": f"""WITH {PAPERS} SELECT g.exam_id, q_key, marks AS max_marks, CASE WHEN h.base IS NOT NULL THEN 'challenge' WHEN count(*) OVER (PARTITION BY g.exam_id, group_id) = 1 THEN 'mandatory' ELSE 'optional' END AS q_type, group_id
+FROM groups g LEFT JOIN hard h ON h.exam_id = g.exam_id AND h.base = g.base::VARCHAR""",
+    "paper_schema": f"""WITH {PAPERS}, ok AS (SELECT exam_id, count(*) AS n, bool_or(q_key IN ('7a', '7b', '8a', '8b', '9a', '9b')) AS p FROM qrows GROUP BY 1 HAVING max(base) <= 20)
+SELECT exam_id, coalesce(n, 0) AS n_keys, total_marks, CASE WHEN n > 0 THEN 'rubric' WHEN total_marks IS NOT NULL THEN 'total' ELSE 'none' END AS kind, coalesce(p, false) AS has_parts FROM totals LEFT JOIN ok USING (exam_id)""",
+    "line_grep": f"WITH {PAPERS} SELECT exam_id, line_no, line FROM lines WHERE regexp_matches(line, '(?i)(CO\\s*4|PART\\s*[AB]|max)')",
+    "page_concat": f"WITH {FILES} SELECT doc_id, n_pages, length(text)::INT AS n_chars, md5(text) AS digest FROM files",
+    "page_split": f"""WITH {FILES}, cut AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, '---PAGE_BREAK---'), lambda p: {_STRIP.format('p')}), lambda p: length(p) > 20) AS ps FROM files),
+p AS (SELECT doc_id, CASE WHEN len(ps) > 1 THEN ps ELSE [text] END AS ps FROM cut)
+SELECT doc_id, (generate_subscripts(ps, 1) - 1)::INT AS page_no, md5(unnest(ps)) AS digest FROM p""",
+    "preamble_rescue": f"WITH {NUMBERED} SELECT doc_id, text FROM segments WHERE q_key = '1'",
+    "chunk_paragraphs": f"""WITH x AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+y AS (SELECT doc_id, t, list_filter(list_transform(string_split_regex(t, '\\n\\s*\\n\\s*\\n'), lambda p: {_STRIP.format('p')}), lambda p: length(p) > 15) AS wide, list_filter(list_transform(string_split_regex(t, '\\n\\s*\\n'), lambda p: {_STRIP.format('p')}), lambda p: length(p) > 15) AS near FROM x),
+z AS (SELECT doc_id, t, CASE WHEN len(wide) >= 3 THEN wide WHEN len(near) >= 3 THEN near END AS ps FROM y),
+g AS (SELECT *, greatest(1, len(ps) // 3) AS per FROM z),
+c AS (SELECT doc_id, CASE WHEN ps IS NOT NULL THEN list_transform(range(0, (len(ps) - 1) // per + 1), lambda i: array_to_string(ps[i * per + 1:(i + 1) * per], chr(10) || chr(10))) WHEN {_STRIP.format('t')} <> '' THEN [{_STRIP.format('t')}] ELSE [] END AS cs FROM g)
+SELECT doc_id, (generate_subscripts(cs, 1) - 1)::INT AS no, length(unnest(cs))::INT AS n_chars, md5(unnest(cs)) AS digest FROM c""",
+    "marker_kwic": f"""WITH {NUMBERED}, k AS (SELECT doc_id, text, string_split(regexp_replace(text, '({QUESTION})', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS ps FROM sheets),
+m AS (SELECT doc_id, text, generate_subscripts(ps, 1) AS i, unnest(ps) AS p FROM k),
+n AS (SELECT doc_id, text, i, split_part(p, chr(2), 1) AS found, sum(length(replace(p, chr(2), ''))) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS start FROM m)
+SELECT doc_id, (i - 2)::INT AS no, lower(regexp_extract(found, '{QUESTION}', 1)) AS marker, translate(substr(text, greatest(start - 10, 0)::INT + 1, (start + length(found) + 30 - greatest(start - 10, 0))::INT), chr(10), ' ') AS context FROM n WHERE i > 1""",
     "latest_per_status": "SELECT user_id, event_id, event_type AS status, value, n_events FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n_events FROM events) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "page_count": "SELECT conv_id AS doc_id, count(*) AS n_pages FROM conversations GROUP BY 1",
-    "chunk_paragraphs": None,
     "term_recovery": None,
 }
 ORACLES["label_agreement"] = f"WITH n AS ({ORACLES['noise_ratio']}) SELECT quality, noise > 0.30 AS noisy, count(*) AS n FROM n JOIN labels USING (doc_id) GROUP BY ALL"

@@ -7,18 +7,10 @@ from pyspark.sql import functions as F
 
 from lumora.functions import fuzzy
 from lumora.functions import text as tf
-from lumora.operators import align, lexical, paper, segment, similarity
+from lumora.operators import align, lexical, paper, scan, segment, similarity
 from lumora.plans import grade
 from lumora.sources import tables as t
 
-# A question paper for the paper operators, one line a row.
-PAPER_LINES = [
-    "Internal Test  Max. Marks: 50", "10784 | Some header text 50 |CO1", "PART A", "1. |Define a graph  3 |CO1", "2. |Match the following  3 |cO1", "PART B",
-    "7.a) | 1. Prove that trees have leaves 8 |cO1", "7. b) |State the theorem 6 |CO2", "OR", "8. |Explain flows 14 |CO2",
-    "9. a) |A city has implemented roads 8 /|CO3", "", "OR", "10. |Describe colouring 8 |CO3", "Challenging Questions", "11. |Let G be a directed graph... 5 |CO3", "2. |Match the following  4 |cO1",
-]
-
-
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     return t.read(spark, d, "documents")
 
@@ -115,19 +107,16 @@ def _resolved(spark, d):
     return align.resolved(t.exam_models(spark, d), _usable(spark, d), _default_marks(spark, d))
 
 
-def _taken(spark, d):
-    m, s = t.exam_models(spark, d), t.exam_students(spark, d)
-    return align.align_exact(m, s).union(align.align_base(m, s))
+def _aligned(spark, d):
+    return align.align_keys(t.exam_models(spark, d), t.exam_students(spark, d))
 
 
 def _parts(spark, d):
-    p = align.align_parts(t.exam_models(spark, d), t.exam_students(spark, d), _taken(spark, d))
-    return p.select("exam_id", "student_id", "m_key", F.array_join("s_keys", ",").alias("s_keys"), "text")
+    return align.joined_parts(_aligned(spark, d), t.exam_students(spark, d)).select("exam_id", "student_id", "m_key", F.array_join("s_keys", ",").alias("s_keys"), "text")
 
 
 def _missed(spark, d):
-    p = align.align_parts(t.exam_models(spark, d), t.exam_students(spark, d), _taken(spark, d)).select("exam_id", "student_id", "m_key", F.explode("s_keys"))
-    return align.not_attempted(t.exam_models(spark, d), t.exam_students(spark, d), _taken(spark, d).union(p))
+    return align.not_attempted(t.exam_models(spark, d), t.exam_students(spark, d), _aligned(spark, d))
 
 
 def _winners(spark, d):
@@ -191,19 +180,49 @@ def _chunks(spark, d):
 
 
 def _pages(spark, d):
-    """Documents of one source and language as pages, joined with the page mark and split again."""
-    g = _docs(spark, d).groupBy("source", "lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.substring_index("text", "\n", 1).alias("line")))).alias("x"))
-    whole = g.select("source", "lang", F.array_join(F.transform("x", lambda r: F.concat(r["line"], F.lit("\n" + segment.PAGE_BREAK + "\n"))), "").alias("text"))
-    return whole.select("source", "lang", F.posexplode(segment.pages(F.col("text"))).alias("page_no", "page")).select("source", "lang", "page_no", F.md5("page").alias("digest"))
+    """Scanned files, joined with the page mark and split again."""
+    whole = scan.page_concat(t.scanned_pages(spark, d))
+    return whole.select("doc_id", F.posexplode(segment.pages(F.col("text"))).alias("page_no", "page")).select("doc_id", "page_no", F.md5("page").alias("digest"))
+
+
+def _page_concat(spark, d):
+    return scan.page_concat(t.scanned_pages(spark, d)).select("doc_id", "n_pages", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+def _preamble(spark, d):
+    """Question 1 of each sheet after what stands before the first marker has been added."""
+    return segment.segment(t.numbered_texts(spark, d)).where("q_key = '1'").select("doc_id", "text")
+
 
+def _paper_rows(spark, d):
+    return paper.question_rows(t.papers(spark, d))
 
-def _papers(spark):
-    return spark.createDataFrame([(1, "\n".join(PAPER_LINES)), (2, "Total marks: 30\nQ1. Explain sorting [5 marks]\nQ2. Explain heaps (10 marks)\nBonus\nQ3. Trees marks: 5"), (3, "nothing here"), (4, None)], "exam_id int, text string")
+
+def _or_groups(spark, d):
+    p = t.papers(spark, d)
+    return paper.or_groups(paper.question_rows(p), p)
+
+
+def _challenge(spark, d):
+    p = t.papers(spark, d)
+    return paper.challenge_numbers(paper.question_rows(p), p)
+
+
+def _paper_schema(spark, d):
+    """Which papers give a rubric, only a total, or nothing; and whether it has two-part questions 7 to 9."""
+    return paper.schema_state(t.papers(spark, d))
 
 
 def _line_grep(spark, d):
-    lines = paper.paper_lines(_papers(spark))
-    return lines.where(F.rlike("line", F.lit(r"(?i)(CO\s*\d|PART\s*[AB])"))).select("exam_id", "line_no", "line")
+    lines = paper.paper_lines(t.papers(spark, d))
+    return lines.where(F.rlike("line", F.lit(r"(?i)(CO\s*4|PART\s*[AB]|max)"))).select("exam_id", "line_no", "line")
+
+
+def _answer_scores(spark, d):
+    """Scored answers of the dialogue pairs, by the lexical encoder."""
+    pairs = t.dialogue_pairs(spark, d).withColumnRenamed("pair_id", "answer_id")
+    s = similarity.score_answers(pairs)
+    return s.select("answer_id", "score", "feedback", F.col("details.similarity").alias("similarity"), F.col("details.concept_coverage").alias("coverage"))
 
 
 def _latest(spark, d):
@@ -269,6 +288,7 @@ def _greedy(spark, d):
 
 
 def _grade_tables(spark, d):
+    """Sheets of numbered texts as students of an exam, whose model answers are a conversation's replies."""
     texts = segment.segment(t.numbered_texts(spark, d))
     c = t.read(spark, d, "conversations").where("role = 'assistant'")
     models = c.groupBy(F.col("conv_id").alias("exam_id"), ((F.col("turn") * 5) % 9 + 1).cast("string").alias("q_key")).agg(F.max("text").alias("text"))
@@ -313,8 +333,8 @@ QUERIES = {
     "garbage_schema": _usable,
     "default_marks": _default_marks,
     "rubric_resolve": _resolved,
-    "align_exact": lambda spark, d: align.align_exact(t.exam_models(spark, d), t.exam_students(spark, d)),
-    "align_base": lambda spark, d: align.align_base(t.exam_models(spark, d), t.exam_students(spark, d)),
+    "align_exact": lambda spark, d: _aligned(spark, d).where("how = 'exact'").drop("how"),
+    "align_base": lambda spark, d: _aligned(spark, d).where("how = 'base'").drop("how"),
     "align_subparts": _parts,
     "not_attempted": _missed,
     "or_winner": _winners,
@@ -331,10 +351,15 @@ QUERIES = {
     "merge_keys": _merged,
     "segment_expected": _expected,
     "chunk_paragraphs": _chunks,
+    "page_concat": _page_concat,
     "page_split": _pages,
-    "paper_rows": lambda spark, d: paper.question_rows(_papers(spark)),
-    "total_marks": lambda spark, d: paper.total_marks(_papers(spark)),
-    "paper_rubric": lambda spark, d: paper.rubric(_papers(spark)),
+    "preamble_rescue": _preamble,
+    "paper_rows": _paper_rows,
+    "total_marks": lambda spark, d: paper.total_marks(t.papers(spark, d)),
+    "or_groups": _or_groups,
+    "challenge_type": _challenge,
+    "paper_rubric": lambda spark, d: paper.rubric(t.papers(spark, d)),
+    "paper_schema": _paper_schema,
     "line_grep": _line_grep,
     "latest_per_status": _latest,
     "marker_kwic": lambda spark, d: segment.marker_context(t.numbered_texts(spark, d)),
@@ -345,4 +370,7 @@ QUERIES = {
     "spell_correct": _spell,
     "fuzzy_keyword_cover": _fuzzy_cover,
     "greedy_semantic": _greedy,
+    "answer_scores": _answer_scores,
+    "grade_rows": _grade,
+    "grade_totals": _grade_results,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -73,3 +73,31 @@ def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = e.where("vec_id % 2 = 0").select("pair_id", F.col("embedding").alias("a"))
     m = e.where("vec_id % 2 = 1").select("pair_id", F.col("embedding").alias("b"))
     return s.join(m, "pair_id").select("pair_id", F.round(cosine(F.col("a"), F.col("b")), 6).alias("similarity"))
+
+
+def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """exam_id, text: the line items of an order as a question paper, a line each, with OR lines and bonus headings between.
+
+    Three of four papers have marks at the ends of rows; the fourth has them in running text. Two of three name a total.
+    """
+    num, marks = F.col("l_linenumber") * 2 + F.col("l_partkey") % 2, (1 + F.col("l_suppkey") % 22).cast("string")
+    num, topic = num.cast("string"), F.col("l_partkey").cast("string")
+    opening = F.when(F.col("l_returnflag") == "A", ".a) |").when(F.col("l_returnflag") == "R", ") b) ").otherwise(". |")
+    row = F.concat(num, opening, F.lit("Explain topic "), topic, F.lit(" of the unit  "), marks, F.lit(" |CO"), (F.col("l_suppkey") % 5 + 1).cast("string"))
+    form = F.col("l_partkey") % 4
+    said = (F.when(form == 0, F.concat(F.lit(" in short ["), marks, F.lit(" marks]"))).when(form == 1, F.concat(F.lit(" in short ("), marks, F.lit(" Marks)")))
+            .when(form == 2, F.concat(F.lit(" in short, Marks: "), marks)).otherwise(F.concat(F.lit(" in short "), marks, F.lit(" marks"))))
+    running = F.concat(F.lit("Q"), num, F.lit(". Describe topic "), topic, said)
+    line = F.concat(F.when(F.col("l_orderkey") % 4 == 0, running).otherwise(row), F.when((F.col("l_linestatus") == "O") & (F.col("l_quantity") > 25), "\nOR").otherwise(""), F.when(F.col("l_quantity") > 48, "\nBonus questions").otherwise(""))
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    g = read(spark, sf_dir, "lineitem").withColumn("line", line).groupBy(F.col("l_orderkey").alias("exam_id")).agg(F.array_sort(F.collect_list(F.struct(*order, "line"))).alias("x"))
+    total = (15 + F.col("exam_id") % 100).cast("string")
+    head = F.when(F.col("exam_id") % 3 == 0, F.concat(F.lit("Max. Marks: "), total, F.lit("\n"))).when(F.col("exam_id") % 3 == 1, F.concat(F.lit("Total marks = "), total, F.lit("\n"))).otherwise("")
+    return g.select("exam_id", F.concat(head, F.array_join(F.col("x.line"), "\n")).alias("text"))
+
+
+def scanned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, page_no, text, error: a conversation as a scanned file, a turn as a page. Turns without a text are errors."""
+    no = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1
+    c = read(spark, sf_dir, "conversations")
+    return c.select(F.col("conv_id").alias("doc_id"), no.alias("page_no"), "text", F.when(F.col("text").isNull(), "no text").alias("error"))

@@ -1,7 +1,6 @@
 import pytest
 
 from lumora.operators import paper, segment
-from lumora.plans.queries import PAPER_LINES
 
 CASES = {
     "parts": ("9. Intro nine\na) first part\nb) second part\n10. Ten text", {"9": "Intro nine", "9a": "first part", "9b": "second part", "10": "Ten text"}),
@@ -35,13 +34,3 @@ def test_expected_keys_and_fallback(spark):
     got = {(r.doc_id, r.q_key): r.text for r in rows}
     assert ("g", "2a") not in got and got["g", "9a"] == "nine a" and got["g", "2"].startswith("list")
     assert got["f", "1"].startswith("Answer for question 1") and got["f", "2"].startswith("Answer") and got["f", "3"].startswith("Second")
-
-
-def test_paper(spark):
-    p = spark.createDataFrame([(1, "\n".join(PAPER_LINES)), (2, "Total marks: 30\nQ1. Explain [5 marks]\nQ2. More (10 marks)\nBonus\nQ3. Trees marks: 5"), (3, None)], "exam_id int, text string")
-    r = {(x.exam_id, x.q_key): (x.max_marks, x.q_type, x.group_id) for x in paper.rubric(p).collect()}
-    assert r[1, "2"] == (3, "mandatory", "2") and r[1, "11"] == (5, "challenge", "11")
-    assert r[1, "7a"] == (8, "optional", "7") and r[1, "8"] == (14, "optional", "7")
-    assert r[1, "9a"][2] == r[1, "10"][2] == "9"
-    assert r[2, "2"][0] == 10 and r[2, "3"][1] == "challenge"
-    assert {x.exam_id: x.total_marks for x in paper.total_marks(p).collect()} == {1: 50, 2: 30, 3: None}
