@@ -1,11 +1,14 @@
 """Personal data: fixed patterns, and identifiers that their contexts give away. DataFrame functions only.
 
-The matches of four patterns (email, ip, card, phone) are seeds. Their left contexts, the last one and the last two words
-before them, become lexical patterns. Candidates are other tokens with digits, grouped numbers (spaces, brackets, dashes),
-addresses with @ or [at], and names (words with inner marks, or after a colon or the like). Patterns and instances (values) form a
-graph: a pattern's score is the mean score of the values it precedes, a value's score the noisy-or of its good patterns,
-and seeds stay at 1. After a few rounds, patterns with enough seeds and a high score extract the candidates they precede,
-with the kind of their seeds.
+The matches of four patterns (email, ip, card, phone) are seeds. Their contexts become lexical patterns: the last word before a
+value, the last two, and the words on both sides. Candidates are other tokens with digits, grouped numbers (spaces, brackets,
+dashes), addresses with @ or [at], and names (words with inner marks, or after a colon or the like). Patterns and instances
+(values) form a graph that is bootstrapped in rounds: a pattern's score is the mean score of the values in it, a value's score
+the noisy-or of its patterns from half on, and seeds stay at 1. Found values count like seeds in the next round, so contexts
+that no seed has become patterns too. In the end patterns with enough known values and a high score extract the candidates in
+them, with the kind of their values.
+
+Of a very long text all matches are taken; contexts reach SIDE code points to either side.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, stored, text_of
-from .spans import PLACED, SPAN, apart_from, as_kind, n_of, passing, placed, written
+from .spans import PLACED, SPAN, apart_from, as_kind, let, n_of, passing, placed, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: A run of local-part characters or of digits is tried from its start only, or from the end of the match before (\\G).
@@ -33,8 +36,8 @@ MIN_GROUPED, MAX_GROUPED = 7, 19
 _AT, _DOT = (rf"\x20?[\[({{](?:{x})[\])}}]\x20?" for x in ("at|AT", "dot|DOT"))
 ADDRESS = rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@|{_AT})[A-Za-z0-9-]++(?:(?:\.|{_DOT})[A-Za-z0-9-]++)*+"
 NAME = r"(?:(?<=[:=#]\x20)|(?<=[:=#]))[A-Za-z][A-Za-z0-9]+(?:[._-][A-Za-z0-9]+)*+|(?<![A-Za-z0-9._@+-])[A-Za-z][A-Za-z0-9]*+(?:[._][A-Za-z0-9]++)++"
-ROUNDS = 3
-#: Distinct seed values that a pattern needs, the score from which it extracts, and the score a value must reach.
+ROUNDS = 6
+#: Distinct known values that a pattern needs, the score from which it extracts, and the score a value must reach.
 MIN_SEEDS, MIN_PATTERN, MIN_VALUE = 3, 0.8, 0.8
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
@@ -71,12 +74,17 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def contexts(before: Column) -> Column:
-    """The pattern keys of a place: its last word, and its last two words."""
-    words = F.filter(F.split(ascii_lower(F.regexp_replace(before, r"[^\p{L}\p{N}#:=]+", " ")), " "), lambda w: w != "")
-    one = F.when(F.size(words) >= 1, F.concat(F.lit("1:"), F.element_at(words, -1)))
-    two = F.when(F.size(words) >= 2, F.concat_ws(" ", F.concat(F.lit("2:"), F.element_at(words, -2)), F.element_at(words, -1)))
-    return F.array_compact(F.array(one, two))
+def contexts(before: Column, after: Column) -> Column:
+    """The pattern keys of a place: its last word, its last two words, and the words on both sides."""
+    words = lambda c: F.filter(F.split(ascii_lower(F.regexp_replace(c, r"[^\p{L}\p{N}#:=]+", " ")), " "), lambda w: w != "")
+
+    def keys(left: Column, right: Column) -> Column:
+        one = F.when(F.size(left) >= 1, F.concat(F.lit("1:"), F.element_at(left, -1)))
+        two = F.when(F.size(left) >= 2, F.concat_ws(" ", F.concat(F.lit("2:"), F.element_at(left, -2)), F.element_at(left, -1)))
+        both = F.when((F.size(left) >= 1) & (F.size(right) >= 1), F.concat_ws(" ", F.concat(F.lit("3:"), F.element_at(left, -1)), F.lit("_"), F.element_at(right, 1)))
+        return F.array_compact(F.array(one, two, both))
+
+    return let(words(before), lambda left: let(words(after), lambda right: keys(left, right)))
 
 
 def found_in(docs: DataFrame) -> DataFrame:
@@ -93,7 +101,7 @@ def found_in(docs: DataFrame) -> DataFrame:
     some = some.withColumn("spans", F.concat(*[as_kind(F.col(k), k, i) for i, k in enumerate(KINDS)]).cast(SPAN))
 
     def keyed(kind: str | None, c: Column) -> Column:
-        return F.transform(c, lambda m: F.struct(F.lit(kind).cast("string").alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), contexts(m["before"]).alias("keys")))
+        return F.transform(c, lambda m: F.struct(F.lit(kind).cast("string").alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), contexts(m["before"], m["after"]).alias("keys")))
 
     def candidates(pattern: str, when: Column, good) -> Column:
         return F.filter(F.when(when, placed(F.col("text"), pattern, True)).otherwise(F.array().cast(PLACED)), good)
@@ -117,31 +125,37 @@ def may_be() -> Column:
 
 
 def learn_patterns(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Scored patterns (key, kind, score) and values (value_id, kind, score) of the bootstrapped graph."""
-
-    def edges_of(c: str, seed: bool) -> DataFrame:
-        each = found.select(F.explode(c).alias("x")).select("x.kind", F.xxhash64("x.value").alias("value_id"), F.explode("x.keys").alias("key"))
-        return each.distinct().withColumn("seed", F.lit(seed))
-
-    seeds = edges_of("seeds", True)
-    kept = seeds.groupBy("key", "kind").agg(F.count("*").alias("n_seeds")).where(F.col("n_seeds") >= MIN_SEEDS)
-    # a candidate takes part for each kind that its context has seeds of
-    others = edges_of("others", False).withColumnRenamed("kind", "like").join(kept.select("key", "kind"), "key").where(may_be()).drop("like").distinct()
-    edges = stored(seeds.join(kept.select("key", "kind"), ["key", "kind"]).select("key", "kind", "value_id", "seed").unionByName(others.select("key", "kind", "value_id", "seed")), "pii-edges")
-    values = edges.groupBy("value_id", "kind").agg(F.max(F.col("seed").cast("double")).alias("score"))
+    """Scored patterns (key, kind, score) and found values (value_id, kind, score) of the bootstrapped graph."""
+
+    def edges_of(c: str, kind: str) -> DataFrame:
+        each = found.select(F.explode(c).alias("x")).select(F.col("x.kind").alias(kind), F.xxhash64("x.value").alias("value_id"), F.explode("x.keys").alias("key"))
+        return stored(each.distinct(), "pii-edges")
+
+    seeds, others = edges_of("seeds", "kind"), edges_of("others", "like")
+    of_seeds = seeds.groupBy("key", "kind").agg(F.count("*").alias("n"), F.count("*").cast("double").alias("mass"))
+    n_others = stored(others.groupBy("key", "like").agg(F.count("*").alias("n_others")), "pii-others")
+    patterns = values = None
     for _ in range(ROUNDS):
-        patterns = stored(edges.join(values, ["value_id", "kind"]).groupBy("key", "kind").agg(F.avg("score").alias("score")), "pii-patterns")
-        heard = F.when(F.col("score") >= 0.5, F.log1p(-F.least(F.col("score"), F.lit(0.999)))).otherwise(0.0)
-        values = stored(edges.join(patterns, ["key", "kind"]).groupBy("value_id", "kind").agg(
-            F.when(F.max("seed"), F.lit(1.0)).otherwise(1 - F.exp(F.sum(heard))).alias("score")), "pii-values")
+        known = of_seeds.withColumn("n_seeds", F.col("n"))
+        if values is not None:
+            heard = others.join(values, "value_id").where(may_be()).groupBy("key", "kind").agg(F.count_if(F.col("score") >= MIN_VALUE).alias("n"), F.sum("score").alias("mass"))
+            known = known.unionByName(heard.withColumn("n_seeds", F.lit(0).cast("long"))).groupBy("key", "kind").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass"), F.sum("n_seeds").alias("n_seeds"))
+        known = known.where(F.col("n") >= MIN_SEEDS)
+        # the other values in a pattern that could be of its kind
+        rest = known.select("key", "kind").join(n_others, "key").where(may_be()).groupBy("key", "kind").agg(F.sum("n_others").alias("n_others"))
+        score = F.round(F.col("mass") / (F.col("n_seeds") + F.coalesce("n_others", F.lit(0))), 9)
+        patterns = stored(known.join(rest, ["key", "kind"], "left").select("key", "kind", score.alias("score")), "pii-patterns")
+        heard = others.join(patterns.where("score >= 0.5"), "key").where(may_be())
+        values = stored(heard.groupBy("value_id", "kind").agg(F.round(1 - F.exp(F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999))))), 9).alias("score")), "pii-values")
     return patterns, values
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found for each row of ``docs(doc_id, text)``.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found, n_spans for each row of ``docs(doc_id, text)``.
 
     A null or empty text has no spans (empty strings; the digest is that of the empty string). ``spans`` holds the base
-    spans and the n_found spans that contexts added; those never overlap a base span.
+    spans and the n_found spans that contexts added; those never overlap a base span. n_spans counts both. Equal values in
+    several rows are one value of the graph, with a span in each row; of equal scores the kind that is listed first counts.
     """
     found = stored(found_in(docs), "pii-found")
     patterns, values = learn_patterns(found)
@@ -153,6 +167,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     more = one.groupBy("row").agg(F.collect_list(F.struct("start", "k.kind_no", "k.kind", "end", "k.value")).cast(SPAN).alias("more"))
     base = F.col("spans")
     out = found.select("row", "doc_id", "spans").join(more, "row", "left")
+    n_found = F.coalesce(F.size(F.coalesce("more", F.array().cast(SPAN))), F.lit(0)).cast("long")
     return out.select(
         "doc_id", *[n_of(base, k).alias(f"n_{k}") for k in KINDS], F.sha2(written(base), 256).alias("base_sha256"),
-        written(F.concat(base, F.coalesce("more", F.array().cast(SPAN)))).alias("spans"), F.coalesce(F.size(F.coalesce("more", F.array().cast(SPAN))), F.lit(0)).cast("long").alias("n_found"))
+        written(F.concat(base, F.coalesce("more", F.array().cast(SPAN)))).alias("spans"), n_found.alias("n_found"), (F.size(base) + n_found).cast("long").alias("n_spans"))
