@@ -17,11 +17,12 @@ Running sums never put a source into one task: rows are dealt to (source, cell),
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored, text_of
+from .common import WORD, hold_splits, stored, text_of
 
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
@@ -100,6 +101,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, weights=WEIGHTS) -> Dat
     Null texts have size 0 and are taken 0 times; null sources are one source, the last; repeated rows are rows of their own.
     The result depends on doc_id, source and size only, so reruns agree.
     """
+    hold_splits(docs.sparkSession)
     sizes = stored(docs.select("doc_id", "source", word_count().alias("size"), F.monotonically_increasing_id().alias("row")), "mix-sizes")
     per = stored(quotas(targets(sizes, weights), block_words), "mix-sources")
     # positions in the shuffled stream of a source, in cells of the hash
@@ -131,11 +133,16 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, weights=WEIGHTS) -> Dat
 def mixed_rows(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as the mix takes it: its taken words over its size, rounded.
 
-    ``docs`` must be a table scan. Rows without words are not taken.
+    ``docs`` must be a table scan. Rows without words are not taken. Rows are known by their place in the scan; an error is
+    raised if a later scan has another row there.
     """
-    taken = mix(docs).where("size > 0").select(F.col("row").alias("__row"), F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int").alias("__times")).where("__times > 0")
-    rows = docs.withColumn("__row", F.monotonically_increasing_id()).join(taken, "__row")
-    return rows.withColumn("__times", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    row, times, doc = (f"{x}_{uuid.uuid4().hex}" for x in ("row", "times", "doc"))
+    often = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
+    taken = mix(docs).where("size > 0").select(F.col("row").alias(row), often.alias(times), F.col("doc_id").alias(doc)).where(F.col(times) > 0)
+    rows = docs.withColumn(row, F.monotonically_increasing_id()).join(taken, row)
+    same = F.col("doc_id").eqNullSafe(F.col(doc))
+    rows = rows.where(F.assert_true(same, "the input's partitions changed between the passes").isNull())
+    return rows.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _few(per: DataFrame, most: int = 50_000) -> bool:
