@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
+from test_llm_brute import classes_of
 from lumora.llm import decontam, lm_score, near_dup, pii, quality, secrets, source_mix, suffix_dedup, token_records, url_filter
 from lumora.llm.common import stored
 
@@ -103,12 +104,14 @@ def test_secrets(spark):
 
 def test_tree_weights_sum_to_one():
     rng = np.random.default_rng(2)
-    keys = np.array([0x0101, 0x0201, 0x0302])[:, None] * 256 + np.arange(256)
+    contexts = np.array([0x0101, 0x0102, 0x0203])
+    keys = (contexts[:, None] << 8) + np.arange(256)
     counts = rng.integers(0, 9, keys.shape)
-    deepest = lm_score.Runs((0x050101 << 8) + np.arange(256), counts[0])
-    model = lm_score.Model(keys.ravel(), counts.ravel(), np.array([0x0101]), lm_score.blocks(counts[:1].astype(float)))
-    for context in (0x050101, 0x060101, 0x000201, 0x777777, 0x000001):
-        assert np.isclose((10.0 ** model.log10((context << 8) + np.arange(256), deepest)).sum(), 1, atol=1e-5)
+    deeper = (0x010105 << 8) + np.arange(256)
+    levels = lm_score.top_levels(keys.ravel(), counts.ravel(), np.array([0x0101]), lm_score.blocks(counts[:1].astype(float)))
+    tree = lm_score.Tree([*levels, (lm_score.Runs(deeper, counts[0]), None)])
+    for context in (0x010105, 0x010106, 0x010200, 0x777777, 0x010000):
+        assert np.isclose((10.0 ** tree.log10((context << 8) + np.arange(256))).sum(), 1, atol=1e-5)
     n = np.array([0.5, 3.0, 40.0])
     assert np.allclose(lm_score.log_gamma(n), [math.lgamma(x) for x in n])
 
@@ -116,12 +119,13 @@ def test_tree_weights_sum_to_one():
 def tree_by_hand(train, text):
     """log10 probability of a text by a context tree of single decisions, node by node."""
     seen, below = {}, {}
-    steps = lambda t: [(bytes(reversed((b"\0\0\0" + t)[i : i + 3])), t[i]) for i in range(len(t))]
+    most = lm_score.DEPTH
+    steps = lambda t: [(bytes(reversed((b"\0" * most + t)[i : i + most])), t[i]) for i in range(len(t))]
     path = lambda b: [("1" + format(b, "08b")[:k], int(format(b, "08b")[k])) for k in range(8)]
     for t in train:
         for context, byte in steps(t):
             for node, bit in path(byte):
-                for d in range(4):
+                for d in range(most + 1):
                     seen.setdefault((context[:d], node), [0, 0])[bit] += 1
                     if d:
                         below.setdefault((context[: d - 1], node), set()).add(context[:d])
@@ -131,14 +135,14 @@ def tree_by_hand(train, text):
         return math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - math.log(math.pi)
 
     def whole(context, node):
-        if len(context) == 3:
+        if len(context) == most:
             return kt((context, node))
         return math.log(0.5) + np.logaddexp(kt((context, node)), sum(whole(c, node) for c in below.get((context, node), ())))
 
     def one(context, d, node):
         z, o = seen.get((context[:d], node), (0, 0))
         p = (o + 0.5) / (z + o + 1)
-        if d == 3:
+        if d == most:
             return p
         w = math.exp(math.log(0.5) + kt((context[:d], node)) - whole(context[:d], node))
         return w * p + (1 - w) * one(context, d + 1, node)
@@ -194,16 +198,6 @@ def test_near_duplicates(spark, tmp_path):
     assert {r.doc_id for r in near_dup.one_of_each(docs).collect()} == {0, *range(100, 120)}
 
 
-def test_leaks(spark):
-    d = "/root/testdata/sf0.001"
-    b, docs = spark.read.parquet(f"{d}/benchmark.parquet"), spark.read.parquet(f"{d}/documents.parquet")
-    norm = lambda s: " ".join(re.findall(r"\w+", (s or "").lower()))
-    items, texts = b.collect(), docs.collect()
-    want = {(x.doc_id, i.item_id) for x in texts for i in items if norm(i.text) in norm(x.text)}
-    assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, b).collect()} >= want
-    assert decontam.lcs(np.array([1, 2, 3, 4]), np.array([2, 9, 4, 1])) == 2
-
-
 def test_quality_measures():
     x = "a b c a b c\na b c a b c\n# z"
     m = quality.measures(quality.Texts(pa.array([x, None])))
@@ -224,14 +218,7 @@ def test_pipeline_stages(spark):
     good = {r.doc_id for r in quality.quality(docs).where("kept").collect()}
     assert {r.doc_id for r in rows[1]} == good and 0 < len(good) < len(rows[0])
     # 10: one row for each class, of all pairs by brute force
-    idf = near_dup.idf_table(tables[1])
-    sets = [near_dup.shingles(near_dup.Texts(pa.array([r.text], pa.string())), idf)[1:] for r in rows[1]]
-    label = {r.doc_id: r.doc_id for r in rows[1]}
-    for i, a in enumerate(rows[1]):
-        for j in range(i):
-            if a.text == rows[1][j].text or near_dup.similarity(*sets[i], *sets[j]) >= 0.8:
-                x, y = sorted((label[a.doc_id], label[rows[1][j].doc_id]))
-                label = {k: x if v == y else v for k, v in label.items()}
+    label = classes_of({r.doc_id: r.text or "" for r in rows[1]})
     assert sorted(r.doc_id for r in rows[2]) == sorted(set(label.values()))
     # 3: what leaks is out, and nothing else went
     leaked = {r.doc_id for r in decontam.leaks(tables[2], spark.read.parquet(f"{d}/benchmark.parquet")).collect()}
