@@ -48,6 +48,7 @@ _ODD = _RNG.integers(0, 2**63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint6
 _R = _RNG.gamma(2.0, 1.0, POOL)
 _LOG_C = np.log(_RNG.gamma(2.0, 1.0, POOL)).astype(np.float32)
 _BETA = _RNG.random(POOL).astype(np.float32)
+_ONE = np.float32(1)
 _INV_R, _R = (1 / _R).astype(np.float32), _R.astype(np.float32)
 #: The key under which rows are counted, as a word would be.
 ROWS_KEY = np.uint64(0x9E3779B97F4A7C15)
@@ -133,13 +134,29 @@ def samples(doc: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> tuple[np.n
             to += 1
         a, b = starts[at], starts[to - 1] + sizes[to - 1]
         hh, lw, cut, size = h[a:b], log_w[a:b], starts[at:to] - a, sizes[at:to]
+        n = b - a
+        at_pool, same = np.empty(n, np.uint64), np.empty(n, bool)
+        r, q, beta, score = (np.empty(n, np.float32) for _ in range(4))
         for k in range(SLOTS):
-            j = (hh * _ODD[k]) >> np.uint64(48)
-            r, beta = _R[j], _BETA[j]
-            q = np.floor(lw * _INV_R[j] + beta)
-            score = _LOG_C[j] - r * (q - beta + 1)
-            hit = np.flatnonzero(score == np.repeat(np.minimum.reduceat(score, cut), size))
-            hit = hit[np.searchsorted(hit, cut)]
+            np.multiply(hh, _ODD[k], out=at_pool)
+            np.right_shift(at_pool, np.uint64(48), out=at_pool)
+            j = at_pool.view(np.int64)
+            # q = floor(ln w / r + beta); ln a = ln c - r * (q - beta + 1)
+            np.take(_BETA, j, out=beta, mode="clip")
+            np.take(_INV_R, j, out=q, mode="clip")
+            q *= lw
+            q += beta
+            np.floor(q, out=q)
+            beta -= q
+            beta -= _ONE
+            np.take(_R, j, out=r, mode="clip")
+            r *= beta
+            np.take(_LOG_C, j, out=score, mode="clip")
+            score += r
+            np.equal(score, np.repeat(np.minimum.reduceat(score, cut), size), out=same)
+            hit = np.flatnonzero(same)
+            if len(hit) > to - at:
+                hit = hit[np.searchsorted(hit, cut)]
             out[at:to, k] = mix(hh[hit] + q[hit].astype(np.int64).astype(np.uint64) * GRAM)
         at = to
     return own, out
