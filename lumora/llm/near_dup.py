@@ -323,10 +323,10 @@ def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = np.searchsorted(doc, np.arange(t.n + 1))
         h, w = h.astype("<u8"), w.astype("<f4")
         lists = [pa.array([v[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for v in (h, w)]
-        yield pa.RecordBatch.from_arrays([part.column(0), *lists, pa.array(np.diff(t.word_offsets))], ["tid", "hashes", "weights", "n_words"])
+        yield pa.RecordBatch.from_arrays([part.column(0), *lists, pa.array(np.diff(t.word_offsets)), part.column(3), part.column(4)], ["tid", "hashes", "weights", "n_words", "slots", "weight"])
 
 
-def links_in_open(members: DataFrame, labels: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+def links_in_open(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
     """More links, from the buckets of over three texts that still hold several components after ``labels``."""
     spark = members.sparkSession
     labelled = members.where("n > 3").select("band", "key", "tid", "n").join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
@@ -334,9 +334,8 @@ def links_in_open(members: DataFrame, labels: DataFrame, sketches: DataFrame, te
     several = labelled.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("band", "key")
     left = stored(labelled.join(several, ["band", "key"], "left_semi"), "open")
     wanted = left.select("tid").distinct()
-    slots = sketches.select("tid", "slots", "weight").join(wanted, "tid", "left_semi").groupBy("tid").agg(F.first("slots").alias("slots"), F.first("weight").alias("weight"))
-    full = texts.join(wanted, "tid", "left_semi").select("tid", "text", "idf").mapInArrow(sets, "tid binary, hashes binary, weights binary, n_words long")
-    full = stored(full.join(slots, "tid"), "open-sets")
+    some = texts.join(wanted, "tid", "left_semi").select("tid", "text", "idf", "slots", "weight")
+    full = stored(some.mapInArrow(sets, "tid binary, hashes binary, weights binary, n_words long, slots binary, weight double"), "open-sets")
     rows = left.join(full.select("tid", "n_words"), "tid")
     size = rows.groupBy("band", "key").agg(F.sum("n_words").alias("all_words"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("all_words") / BLOCK_WORDS)).cast("long")
@@ -388,12 +387,15 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest = members.join(leaders, ["band", "key"]).where("tid != leader")
     chained = rest.withColumn("before", F.lag("tid").over(Window.partitionBy("band", "key", cell).orderBy("tid"))).select(F.explode(F.array("leader", "before")).alias("a"), F.col("tid").alias("b"))
     pairs = stored(chained.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    wanted = members.select("tid").distinct()
-    idf = sketches.select("tid", "idf").join(wanted, "tid", "left_semi").groupBy("tid").agg(F.first("idf").alias("idf"))
-    texts = stored(rows.select("tid", "text").join(wanted, "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text")).join(idf, "tid"), "texts")
+    # a text is fetched from one row of its copies: joins on the row, so that a large group of copies is no hot key
+    chosen = nodes.join(members.select("tid").distinct(), "tid", "left_semi").select("tid", F.col("keeper.row").alias("row"))
+    one = sketches.select("row", "idf", "slots", "weight").join(chosen, "row")
+    found = rows.select("row", "text").join(one, "row")
+    same = F.assert_true(text_id() == F.col("tid"), "the input's partitions changed between the passes").isNull()
+    texts = stored(found.where(same).select("tid", "text", "idf", "slots", "weight"), "texts")
     links = stored(verify(pairs, texts), "links")
     labels = components(links)
-    more = links_in_open(members, labels, sketches, texts)
+    more = links_in_open(members, labels, texts)
     drop(members, leaders, pairs, texts)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
