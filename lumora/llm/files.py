@@ -30,10 +30,13 @@ def by_part(df: DataFrame, name: str) -> str:
     return folder
 
 
-def read_part(folder: str, part: int, columns: list[str]) -> pa.Table | None:
-    """The rows of one part of a table written by ``by_part``; None if there are none."""
+def read_part(folder: str, part: int, columns: list[str], **equal: int) -> pa.Table | None:
+    """The rows of one part of a table written by ``by_part`` (with some columns equal to given values); None if there are none."""
     fs, top = open_fs(f"{folder}/folder={part % PART_FOLDERS}")
     if fs.get_file_info(top).type == pafs.FileType.NotFound:
         return None
-    found = pads.dataset(top, filesystem=fs, format="parquet").to_table(columns=columns, filter=pc.field("part") == part)
+    which = pc.field("part") == part
+    for column, value in equal.items():
+        which &= pc.field(column) == value
+    found = pads.dataset(top, filesystem=fs, format="parquet").to_table(columns=columns, filter=which)
     return found if found.num_rows else None

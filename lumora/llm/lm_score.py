@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import delete, drop, hold_splits, stored
 from .files import by_part, read_part
-from .textnum import Tally, Texts, chunks, task_part
+from .textnum import Tally, Texts, chunks, task_part, trim
 
 FOLDS, HELD_OUT = 7, 2
 #: Bytes of the longest contexts (6 at most, as a run is packed in 64 bits), and of the longest that all executors hold.
-DEPTH, TOP = 5, 2
+DEPTH, TOP = 4, 2
 WORDS, RUNS, WANTED = 0, 1, 2
 HALF = float(np.log(0.5))
 #: The key of the token that ends a text.
@@ -255,10 +255,11 @@ def deep_levels(runs: DataFrame) -> tuple[dict[int, DataFrame], DataFrame]:
 
 
 def own_levels(folder: str) -> list[tuple[Runs, Weights | None]]:
-    """The levels above TOP for the contexts of this partition."""
-    found, out = read_part(folder, task_part(), ["depth", "context", "after", "nodes", "weights"]), []
+    """The levels above TOP for the contexts of this partition, read one after the other."""
+    out = []
     for depth in range(TOP + 1, DEPTH + 1):
-        own = found.filter(pa.compute.equal(found["depth"], depth)).combine_chunks() if found is not None else None
+        found = read_part(folder, task_part(), ["context", "after", "nodes", "weights"], depth=depth)
+        own = found.combine_chunks() if found is not None else None
         if own is None or not own.num_rows:
             out.append((Runs(np.empty(0, np.int64), np.empty(0, np.int64)), Weights(np.empty(0, np.int64), np.empty(0, np.float32))))
             continue
@@ -269,6 +270,8 @@ def own_levels(folder: str) -> list[tuple[Runs, Weights | None]]:
         nodes = np.frombuffer(b"".join(own["nodes"].to_pylist()), np.uint8)
         weights = np.frombuffer(b"".join(own["weights"].to_pylist()), np.float32)
         out.append((Runs(keys, flat.field("c").to_numpy()), Weights(np.repeat(context, sizes) << 8 | nodes, weights)))
+        del found, own, after, flat, keys
+        trim()
     return out
 
 
