@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lm_score, near_dup, pii, quality, secrets, source_mix, suffix_dedup, token_records, url_filter
+from . import decontam, lm_score, near_dup, pii, quality, ranked_search, secrets, source_mix, suffix_dedup, token_records, url_filter
 from .common import LOWER, UPPER, table
 
 
@@ -67,6 +67,27 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{ranked_search.TERM}') AS terms FROM documents),
+b AS (
+  SELECT row_number() OVER () AS iid, item_id, list_distinct(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{ranked_search.TERM}')) AS terms FROM benchmark),
+size AS (SELECT count(*) FILTER (len(terms) > 0) AS docs, sum(len(terms))::BIGINT AS words FROM d),
+asked AS MATERIALIZED (SELECT iid, item_id, unnest(terms) AS term FROM b),
+p AS MATERIALIZED (SELECT rid, doc_id, n, term, count(*) AS tf FROM (SELECT rid, doc_id, len(terms) AS n, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), size),
+s AS (
+  SELECT iid, any_value(item_id) AS item_id, rid, any_value(doc_id) AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words))))::BIGINT AS score
+  FROM p JOIN asked USING (term) JOIN w USING (term), size GROUP BY iid, rid),
+r AS (SELECT item_id, (row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST))::INT AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     # corpus_pipeline imports this package, so it is not imported with it
     import corpus_pipeline
@@ -85,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_near_dup": op10_near_dup,
+    "op12_ranked_search": op12_ranked_search,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op12_ranked_search": OP12_SQL}
