@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lm_score, near_dup, pii, quality, ranked_search, secrets, source_mix, suffix_dedup, token_records, url_filter
+from . import chunk_bpe, decontam, lm_score, near_dup, pii, quality, ranked_search, secrets, source_mix, suffix_dedup, token_records, turn_repair, url_filter
 from .common import LOWER, UPPER, table
 
 
@@ -67,6 +67,10 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(turn_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -88,6 +92,10 @@ SELECT * FROM r WHERE rank <= 10
 """
 
 
+def op13_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_bpe.round_trip(table(spark, sf_dir, "documents"), chunk_bpe.default_tokenizer())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     # corpus_pipeline imports this package, so it is not imported with it
     import corpus_pipeline
@@ -106,7 +114,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_near_dup": op10_near_dup,
+    "op11_turn_repair": op11_turn_repair,
     "op12_ranked_search": op12_ranked_search,
+    "op13_chunk_bpe": op13_chunk_bpe,
     "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op12_ranked_search": OP12_SQL}
