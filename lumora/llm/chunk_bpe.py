@@ -37,7 +37,7 @@ from .files import by_part, read_part
 from .textnum import Texts, chunks, rows_of, task_part
 
 #: Bytes that the rolling hash sees, a power of two; bits that must be unset at a cut; least and most bytes of a chunk.
-WINDOW, BITS, LEAST, MOST = 32, 10, 256, 8192
+WINDOW, BITS, LEAST, MOST = 32, 11, 512, 16384
 _VALUES = np.random.default_rng(977).integers(0, 2**32, 256, dtype=np.uint32)
 _FACTOR = 0x9E3779B1
 _SPACE = np.zeros(256, bool)
