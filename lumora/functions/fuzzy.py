@@ -23,21 +23,54 @@ def ratio_may_reach(a: Column, b: Column, cutoff: float) -> Column:
     return 2 * F.least(F.length(a), F.length(b)) >= cutoff * (F.length(a) + F.length(b))
 
 
+def char_signature(word: Column) -> Column:
+    """The characters of a word as bits of a long: of each of 32 classes of characters whether it has one, and whether it has two.
+
+    A class is a code point modulo 32, so other characters may share it. What a class has beyond two is in no bit.
+    """
+
+    def mark(bits: Column, char: Column) -> Column:
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), (2 * F.pmod(F.ascii(char), F.lit(32))).cast("int"))
+        return bits.bitwiseOR(F.when(bits.bitwiseAND(one) == 0, one).otherwise(F.shiftleft(one, 1)))
+
+    return F.aggregate(F.filter(F.split(word, ""), lambda c: c != ""), F.lit(0).cast("long"), mark)
+
+
+def ratio_bound(a: Column, sig_a: Column, b: Column, sig_b: Column) -> Column:
+    """An upper bound of the ratio: twice the characters that both words can have in common over the sum of their lengths.
+
+    Matched characters are common to both as multisets, which is at most what their classes share: the common bits, and of
+    what is beyond two of a class the smaller sum. So a pair below a cutoff by this bound is below it by the ratio.
+    """
+    beyond = F.least(F.length(a) - F.bit_count(sig_a), F.length(b) - F.bit_count(sig_b))
+    return 2.0 * (F.bit_count(sig_a.bitwiseAND(sig_b)) + beyond) / (F.length(a) + F.length(b))
+
+
+def candidate_pairs(words: DataFrame, terms: DataFrame, keys: list[str], cutoff: float) -> DataFrame:
+    """keys, word, term: the pairs of ``words(keys, word)`` and ``terms(keys, term)`` whose ratio may reach the cutoff.
+
+    They are blocked by keys and length, with the bound that a ratio sets on lengths, and kept by the bound of their
+    characters, both in the JVM; no pair that reaches the cutoff is lost. Two empty words are no pair.
+    """
+    low, high = F.ceil(F.length("word") * cutoff / (2 - cutoff)), F.floor(F.length("word") * (2 - cutoff) / cutoff)
+    w = words.select(*keys, "word", char_signature(F.col("word")).alias("ws"), F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("len"))
+    t = terms.select(*keys, "term", char_signature(F.col("term")).alias("ts"), F.length("term").alias("len"))
+    both = w.join(t, [*keys, "len"]).where(ratio_may_reach(F.col("word"), F.col("term"), cutoff))
+    return both.where(ratio_bound(F.col("word"), F.col("ws"), F.col("term"), F.col("ts")) >= cutoff - 1e-9).select(*keys, "word", "term")
+
+
 def corrections(words: DataFrame, vocab: DataFrame, cutoff: float = 0.75, most_change: int | None = 3, shortest: int = 4) -> DataFrame:
     """exam_id, word, corrected for the distinct ``words(exam_id, word)`` against ``vocab(exam_id, term)``.
 
     The best term by ratio is taken (of equal ratios the larger word), then dropped if its length differs by over
-    ``most_change``. Words below ``shortest`` characters and words of the vocabulary stay. Pairs are blocked by exam and
-    by length, with the bound that the ratio sets on lengths, so no pair that could reach the cutoff is lost.
+    ``most_change``. Words below ``shortest`` characters and words of the vocabulary stay. Only pairs that may reach the
+    cutoff by length and by their characters are rated.
     """
     one = words.select("exam_id", "word").where("word is not null").distinct()
     terms = vocab.select("exam_id", "term").where("term is not null").distinct()
     known = terms.select("exam_id", F.col("term").alias("word"), F.lit(True).alias("known"))
     asked = one.join(known, ["exam_id", "word"], "left").where(F.col("known").isNull() & (F.length("word") >= shortest)).drop("known")
-    low, high = F.ceil(F.length("word") * cutoff / (2 - cutoff)), F.floor(F.length("word") * (2 - cutoff) / cutoff)
-    asked = asked.withColumn("len", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
-    pairs = asked.join(terms.withColumn("len", F.length("term")), ["exam_id", "len"]).where(ratio_may_reach(F.col("word"), F.col("term"), cutoff))
-    rated = pairs.withColumn("ratio", sequence_ratio(F.col("term"), F.col("word"))).where(F.col("ratio") >= cutoff)
+    rated = candidate_pairs(asked, terms, ["exam_id"], cutoff).withColumn("ratio", sequence_ratio(F.col("term"), F.col("word"))).where(F.col("ratio") >= cutoff)
     best = rated.groupBy("exam_id", "word").agg(F.max(F.struct("ratio", "term")).alias("best"))
     term = F.col("best.term")
     kept = F.when(term.isNotNull() & (F.lit(most_change is None) | (F.abs(F.length(term) - F.length("word")) <= (most_change or 0))), term).otherwise(F.col("word"))

@@ -1,9 +1,8 @@
 """Alignment of model and student answers, and the totals of exams. Everything is keyed by exam (and student): equi-joins,
-windows of one exam's few rows, and one grouped function for the greedy assignment, which is sequential by nature."""
+windows of one exam's few rows, and one fold for the greedy assignment, which is sequential by nature."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,21 +105,22 @@ def joined_parts(aligned: DataFrame, students: DataFrame) -> DataFrame:
 def align_greedy(similar: DataFrame, least: float = 0.2) -> DataFrame:
     """exam_id, student_id, m_key, s_key: model keys in string order take the most similar free student row above ``least``.
 
-    ``similar(exam_id, student_id, m_key, s_key, ord, similarity)``: of equal similarities the first row by ``ord``. One
-    exam and student make one small group.
+    ``similar(exam_id, student_id, m_key, s_key, ord, similarity)``: of equal similarities the first row by ``ord``. The rows
+    of an exam and student, sorted as they are asked, are folded once; the state is the keys served and the rows in use.
+    Similarities count to nine places.
     """
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for m_key, own in sorted(pdf.groupby("m_key"), key=lambda x: x[0]):
-            free = own[~own["s_key"].isin(used)].sort_values(["similarity", "ord"], ascending=[False, True])
-            if len(free) and free["similarity"].iloc[0] > least:
-                used.add(free["s_key"].iloc[0])
-                out.append((pdf["exam_id"].iloc[0], pdf["student_id"].iloc[0], m_key, free["s_key"].iloc[0]))
-        return pd.DataFrame(out, columns=["exam_id", "student_id", "m_key", "s_key"])
-
-    kinds = dict(similar.dtypes)
-    return similar.groupBy("exam_id", "student_id").applyInPandas(assign, f"exam_id {kinds['exam_id']}, student_id {kinds['student_id']}, m_key string, s_key string")
+    row = F.struct("m_key", (-F.round("similarity", 9)).alias("far"), "ord", "s_key")
+    sorted_ = similar.where(F.round("similarity", 9) > least).groupBy("exam_id", "student_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    none = F.array().cast("array<string>")
+
+    def serve(taken: Column, x: Column) -> Column:
+        done = F.array_contains(taken["m_keys"], x["m_key"]) | F.array_contains(taken["s_keys"], x["s_key"])
+        more = F.struct(F.array_append(taken["m_keys"], x["m_key"]).alias("m_keys"), F.array_append(taken["s_keys"], x["s_key"]).alias("s_keys"))
+        return F.when(done, taken).otherwise(more)
+
+    taken = F.aggregate("rows", F.struct(none.alias("m_keys"), none.alias("s_keys")), serve)
+    pairs = sorted_.withColumn("t", taken).select("exam_id", "student_id", F.explode(F.arrays_zip("t.m_keys", "t.s_keys")).alias("x"))
+    return pairs.select("exam_id", "student_id", F.col("x.m_keys").alias("m_key"), F.col("x.s_keys").alias("s_key"))
 
 
 def not_attempted(models: DataFrame, people: DataFrame, taken: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumora.functions.fuzzy import ratio_may_reach, sequence_ratio
+from lumora.functions.fuzzy import candidate_pairs, sequence_ratio
 from lumora.functions.text import clean_strict, let, tokens
+from lumora.sources.stored import stored
 
 #: This engine's own list for the library's English stop words; short function words only.
 ENGLISH_STOP = "a an and are as at be but by for from has have he her his i in is it its no not of on or she so that the their them they this to was we were which who will with you".split()
@@ -18,19 +19,49 @@ def overlap(student: Column, model: Column) -> Column:
     return F.when(F.size(m) == 0, 0.0).otherwise(F.size(F.array_intersect(s, m)) / F.size(m))
 
 
-def best_overlap(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """For each of ``items(item_id, text)`` the row of ``docs(doc_id, text)`` with the best overlap (ties: smallest id).
+#: Rarest words of an item by which the first candidates are found, and how many of these are compared with it.
+FIRST_WORDS, FIRST_DOCS = 4, 4
+
+
+def overlap_words(c: Column) -> Column:
+    return F.array_distinct(tokens(clean_strict(c)))
+
 
-    An inverted index: distinct words of both sides meet on the word, so no text is compared with one it shares nothing
-    with. The partial count folds a document's words before the shuffle.
+def overlap_candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id, n_common, n_model for a few pairs of ``docs(doc_id, text)`` and ``items(item_id, text)``, with every best one.
+
+    A prefix filter. An item's words are ordered from the rarest. The documents that hold most of the first four are compared
+    first; the best of them shares b words. Any document that shares b words must hold one of all but the b - 1 most frequent,
+    and have b words itself, so only those meet the item. All texts are cut into words once; of what they hold only the items'
+    words are stored, and the texts themselves are read again for the pairs that met.
     """
-    d = docs.select("doc_id", F.explode(F.array_distinct(tokens(clean_strict(F.col("text"))))).alias("word"))
-    i = items.select("item_id", F.array_distinct(tokens(clean_strict(F.col("text")))).alias("words"))
-    i = i.select("item_id", F.size("words").alias("n_model"), F.explode("words").alias("word"))
-    common = d.join(i, "word").groupBy("doc_id", "item_id", "n_model").agg(F.count("*").alias("n_common"))
+    i = items.select("item_id", overlap_words(F.col("text")).alias("words"))
+    asked = i.select("item_id", F.size("words").alias("n_model"), F.explode("words").alias("word"))
+    held = docs.select("doc_id", overlap_words(F.col("text")).alias("words")).select("doc_id", F.size("words").alias("n_doc"), F.explode("words").alias("word"))
+    held = stored(held.join(asked.select("word").distinct(), "word", "left_semi"), "overlap-words")
+    df = held.groupBy("word").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy("df", "word"))
+    # words that no document holds cannot be shared
+    ranked = stored(asked.join(df, "word").withColumn("rank", rank).withColumn("n_held", F.count("*").over(Window.partitionBy("item_id"))), "overlap-ranks")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(docs.select("doc_id", "text"), "doc_id").join(i.select("item_id", "words"), "item_id")
+        return both.select("doc_id", "item_id", "n_model", F.size(F.array_intersect(overlap_words(F.col("text")), "words")).alias("n_common"))
+
+    first = held.join(ranked.where(F.col("rank") <= FIRST_WORDS), "word").groupBy("item_id", "n_model", "doc_id").agg(F.count("*").alias("hits"))
+    few = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("hits"), "doc_id"))
+    least = compared(first.withColumn("no", few).where(F.col("no") <= FIRST_DOCS)).groupBy("item_id").agg(F.max("n_common").alias("least"))
+    prefix = ranked.join(least, "item_id").where(F.col("rank") <= F.col("n_held") - F.col("least") + 1)
+    met = held.join(prefix, "word").where(F.col("n_doc") >= F.col("least")).select("item_id", "n_model", "doc_id").distinct()
+    return compared(met)
+
+
+def best_overlap(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """For each of ``items(item_id, text)`` the row of ``docs(doc_id, text)`` with the best overlap (ties: smallest id)."""
+    common = overlap_candidates(docs, items)
     best = common.groupBy("item_id", "n_model").agg(F.max(F.struct("n_common", (-F.col("doc_id")).alias("back"))).alias("b"))
     score = F.col("b.n_common") / F.col("n_model")
-    return best.select("item_id", (-F.col("b.back")).alias("doc_id"), F.col("b.n_common").alias("n_common"), F.round(score, 6).alias("overlap"), F.round(score * 10, 4).alias("marks"))
+    return best.select("item_id", (-F.col("b.back")).alias("doc_id"), F.col("b.n_common").cast("long").alias("n_common"), F.round(score, 6).alias("overlap"), F.round(score * 10, 4).alias("marks"))
 
 
 def words_of(c: Column) -> Column:
@@ -91,7 +122,9 @@ def fuzzy_coverage(pairs: DataFrame, threshold: float = 0.7) -> DataFrame:
     """pair_id, n_keywords, n_matched, score: keyword words with a student's word at the ratio or above."""
     k = keyword_lists(pairs).select("pair_id", F.explode(F.array_distinct(F.split(F.array_join("keywords", " "), " "))).alias("keyword"))
     s = pairs.select("pair_id", F.explode(F.array_distinct(tokens(F.col("student")))).alias("word"))
-    near = k.join(s, "pair_id").where(ratio_may_reach(F.col("word"), F.col("keyword"), threshold))
-    hits = near.where(sequence_ratio(F.col("word"), F.col("keyword")) >= threshold).select("pair_id", "keyword").distinct().withColumn("hit", F.lit(1))
+    near = candidate_pairs(s.where("word != ''"), k.withColumnRenamed("keyword", "term"), ["pair_id"], threshold)
+    # a word's ratio to a keyword is the same in every pair
+    rated = near.select("word", "term").distinct().where(sequence_ratio(F.col("word"), F.col("term")) >= threshold)
+    hits = near.join(rated, ["word", "term"], "left_semi").select("pair_id", F.col("term").alias("keyword")).distinct().withColumn("hit", F.lit(1))
     out = k.join(hits, ["pair_id", "keyword"], "left").groupBy("pair_id").agg(F.count("*").alias("n_keywords"), F.coalesce(F.sum("hit"), F.lit(0)).alias("n_matched"))
     return out.withColumn("score", F.round(F.col("n_matched") / F.col("n_keywords"), 6))

@@ -17,15 +17,12 @@ PAGE_BREAK = "---PAGE_BREAK---"
 QUESTION = r"(?i)(?:^|\n)\s*(?:Q(?:uestion|\.)?\s*|Ans(?:wer)?\s*\.?\s*)?[\(\[]?0?(\d{1,2}[a-z]?)[\)\]\.\/\:\-\_\ \\]"
 PART = r"(?i)(?:^|\n)\s*([a-h]|[ivx]+)\s*[\)\.\-]\s*"
 PAGE_HEADERS = [
-    r"[Mm]uthoo?t\s+[Ii]n?s[it]i?t?u?t?e?\b",
     r"\b(?:Main|Additional)\s+(?:Sh[ea][ea]t|Answer)",
     r"\bAddit[io][ao]n[ae]l\s+Sh[ea][ea]t",
     r"Space\s+for\s+Writing",
     r"MARKS\s+T[oO]\s+BE\s+FILLED",
     r"(?:Main|Additional)\s*Sh[a-z]*t\b",
-    r"[Ii](?:nst|ule)\s+\d+\s+(?:of\s+)?Technology\s*\&?\s*(?:Main|Additional)",
 ]
-PAGE_HEADER = "(?i)" + "|".join(PAGE_HEADERS)
 NOISE_LINE = r"(?i)^\s*(Sub\s+Total|Maximum\s+Marks|Marks\s+Secured|CO\s*\d|Onos|Q\.?No\.?|\d+)\s*$"
 HIGHEST = 50
 _OPEN, _CLOSE = "\u0001", "\u0002"
@@ -162,12 +159,17 @@ def segment(texts: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     return out.select("doc_id", "q_key", key["num"].alias("num"), key["part"].alias("part"), "ord", "text")
 
 
-def lines_without_headers(text: Column) -> Column:
+def any_of(headers: list[str]) -> str:
+    """One pattern of several; an institution adds the lines that stand on its own sheets to PAGE_HEADERS."""
+    return "(?i)" + "|".join(headers)
+
+
+def lines_without_headers(text: Column, headers: list[str] = PAGE_HEADERS) -> Column:
     """Drops header lines with the two lines after each, and noise lines. A header among the two dropped starts nothing."""
     start = F.struct(F.lit(0).alias("skip"), F.array().cast("array<string>").alias("kept"))
 
     def step(acc: Column, line: Column) -> Column:
-        header, noise = F.rlike(line, F.lit(PAGE_HEADER)), F.rlike(line, F.lit(NOISE_LINE))
+        header, noise = F.rlike(line, F.lit(any_of(headers))), F.rlike(line, F.lit(NOISE_LINE))
         skip = F.when(acc["skip"] > 0, acc["skip"] - 1).when(header, 2).otherwise(0)
         kept = F.when((acc["skip"] > 0) | header | noise, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(line)))
         return F.struct(skip.alias("skip"), kept.alias("kept"))
@@ -179,7 +181,7 @@ def _long(parts: Column, least: int) -> Column:
     return F.filter(F.transform(parts, strip), lambda p: F.length(p) > least)
 
 
-def pages(text: Column) -> Column:
+def pages(text: Column, headers: list[str] = PAGE_HEADERS) -> Column:
     """Pages by the sentinel (over 20 characters, more than one), else at header lines over 100 characters apart, else the whole."""
 
     def starts(t: Column) -> Column:
@@ -188,7 +190,7 @@ def pages(text: Column) -> Column:
 
         def step(acc: Column, line: Column) -> Column:
             far = (F.size(acc["kept"]) == 0) | (acc["at"] - F.try_element_at(acc["kept"], F.lit(-1)) > 100)
-            kept = F.when(F.rlike(line, F.lit(PAGE_HEADER)) & far, F.concat(acc["kept"], F.array(acc["at"]))).otherwise(acc["kept"])
+            kept = F.when(F.rlike(line, F.lit(any_of(headers))) & far, F.concat(acc["kept"], F.array(acc["at"]))).otherwise(acc["kept"])
             return F.struct((acc["at"] + F.length(line) + 1).alias("at"), kept.alias("kept"))
 
         return F.aggregate(F.split(t, "\n", -1), zero, step, lambda acc: acc["kept"])
@@ -205,7 +207,7 @@ def pages(text: Column) -> Column:
     return let(text, cut)
 
 
-def chunks(text: Column, n: Column, keep_rest: bool = True) -> Column:
+def chunks(text: Column, n: Column, keep_rest: bool = True, headers: list[str] = PAGE_HEADERS) -> Column:
     """About n pieces: pages (two more at most), else paragraphs at three or more, then two newlines, else the whole.
 
     Pages beyond n + 2 join the last piece; without ``keep_rest`` they are left out.
@@ -228,10 +230,10 @@ def chunks(text: Column, n: Column, keep_rest: bool = True) -> Column:
         return let(_long(F.split(t, pattern, -1), 15), lambda parts: F.when(F.size(parts) >= n, grouped(parts)).otherwise(other(t)))
 
     wide = lambda t: paragraphs(t, r"\n\s*\n\s*\n", lambda u: paragraphs(u, r"\n\s*\n", whole))
-    return let(text, lambda t: let(pages(t), lambda p: F.when(F.size(p) >= n, few(p)).otherwise(wide(t))))
+    return let(text, lambda t: let(pages(t, headers), lambda p: F.when(F.size(p) >= n, few(p)).otherwise(wide(t))))
 
 
-def segment_with_fallback(texts: DataFrame, expected: DataFrame) -> DataFrame:
+def segment_with_fallback(texts: DataFrame, expected: DataFrame, headers: list[str] = PAGE_HEADERS) -> DataFrame:
     """doc_id, q_key, num, part, ord, text; where less than two fifths of the expected keys are found, the rest of the text
     is cut into chunks for the missing keys, in natural order; surplus chunks go to the last of them.
 
@@ -255,7 +257,7 @@ def segment_with_fallback(texts: DataFrame, expected: DataFrame) -> DataFrame:
     tail = (F.when((F.col("used") > 0) & (F.col("used") < F.col("n") - 50), F.expr("substring(body, used + 1)"))
             .when(F.col("used") >= F.col("n") * 0.9, F.col("body")).otherwise(F.expr("substring(body, cast(n * 0.3 as int) + 1)")))
     d = d.withColumn("tail", tail).where((F.length(strip(F.col("tail"))) >= 30) & (F.size("missing") > 0))
-    d = d.withColumn("cuts", chunks(lines_without_headers(F.col("tail")), F.size("missing"))).where(F.size("cuts") > 0)
+    d = d.withColumn("cuts", chunks(lines_without_headers(F.col("tail"), headers), F.size("missing"), headers=headers)).where(F.size("cuts") > 0)
     n = F.least(F.size("missing"), F.size("cuts"))
     d = d.withColumn("given", F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.struct(F.try_element_at("missing", i).alias("q_key"), F.when(i == n, F.array_join(F.slice("cuts", i, F.size("cuts")), " ")).otherwise(F.try_element_at("cuts", i)).alias("text"))))
     more = d.select("doc_id", F.posexplode("given").alias("no", "g")).select("doc_id", "g.q_key", natural_key(F.col("g.q_key"))["num"].alias("num"), natural_key(F.col("g.q_key"))["part"].alias("part"), (F.lit(2_000_000_001) + F.col("no")).cast("int").alias("ord"), "g.text")

@@ -1,22 +1,23 @@
 """Similarity and the score of one answer: cosine, best windows, concepts, hits, blend, floors, feedback.
 
-Vectors come from an encoder that is a parameter; the default is a deterministic lexical one (hashed character trigrams).
+Vectors come from an encoder that is a parameter; the default is a deterministic lexical one (character trigrams).
 Each distinct text is encoded once and joined back. Score thresholds were tuned for a neural encoder; with another encoder
 the same rules apply but marks differ.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumora.functions import text as tf
+from lumora.sources.stored import stored
 
 DIMENSIONS = 256
 #: Words whose trigrams a task remembers.
@@ -35,35 +36,85 @@ def cosine(a: Column, b: Column) -> Column:
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def lexical_encoder(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Counts of character trigrams of the lower-cased words, hashed into 256 places, to unit length."""
+    """Counts of the character trigrams of the lower-cased words, each word between ^ and $, in 256 places.
+
+    The place of a trigram is (961 * first + 31 * second + third code point) modulo 256.
+    """
     places: dict[str, np.ndarray] = {}  # of the words of this task
     for texts in batches:
         rows = [(t or "").lower().split() for t in texts]
         for w in set().union(*rows) - places.keys():
-            marked = f"^{w}$"
-            places[w] = np.array([zlib.crc32(marked[i : i + 3].encode()) % DIMENSIONS for i in range(len(marked) - 2)], np.int64)
+            c = np.array([94, *map(ord, w), 36], np.int64)
+            places[w] = (961 * c[:-2] + 31 * c[1:-1] + c[2:]) % DIMENSIONS
         at = [np.concatenate([places[w] for w in r]) if r else np.empty(0, np.int64) for r in rows]
         row = np.repeat(np.arange(len(rows)), [len(a) for a in at])
         counts = np.bincount(row * DIMENSIONS + np.concatenate(at), minlength=len(rows) * DIMENSIONS).reshape(len(rows), -1) if rows else np.zeros((0, DIMENSIONS))
-        norms = np.sqrt((counts.astype(np.float32) ** 2).sum(1, keepdims=True))
-        yield pd.Series(list((counts / np.where(norms > 0, norms, 1)).astype(np.float32)))
+        yield pd.Series(list(counts.astype(np.float32)))
         if len(places) > WORDS_HELD:
             places.clear()
 
 
-def encoded(texts: DataFrame, column: str, encoder: Callable[[Column], Column] = lexical_encoder) -> DataFrame:
-    """text, vector for the distinct texts of a column."""
-    return texts.select(F.col(column).alias("text")).where("text is not null").distinct().withColumn("vector", encoder("text"))
+def text_key(c: Column) -> Column:
+    """What stands for a text in a table of vectors."""
+    return F.unhex(F.sha2(c, 256))
+
+
+def vector_table(texts: DataFrame, column: str, encoder: Callable[[Column], Column] = lexical_encoder) -> DataFrame:
+    """key, vector, norm: the distinct texts of a column, each encoded and measured once, and stored; later steps join on the key."""
+    one = texts.select(F.col(column).alias("text")).where("text is not null").distinct()
+    made = one.select(text_key(F.col("text")).alias("key"), encoder(F.col("text")).alias("vector"))
+    return stored(made.select("key", "vector", F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("norm")), "vectors")
+
+
+def with_vector(rows: DataFrame, column: str, vectors: DataFrame, name: str) -> DataFrame:
+    """The rows with ``name``, a struct of the vector and the norm of the text in a column."""
+    v = vectors.select("key", F.struct("vector", "norm").alias(name))
+    return rows.withColumn("key", text_key(F.col(column))).join(v, "key").drop("key")
+
+
+def stored_cosine(a: Column, b: Column) -> Column:
+    """The cosine of two structs of a vector and its norm; 0.0 where a side has no length."""
+    n = a["norm"] * b["norm"]
+    return F.when(n > 0, dot(a["vector"], b["vector"]) / n).otherwise(0.0)
+
+
+#: Queries or windows of an answer that are multiplied at once.
+BLOCK = 256
+
+
+def _units(vectors: pa.ListArray) -> np.ndarray:
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    v = flat.reshape(len(vectors), -1) if len(flat) else np.zeros((len(vectors), 1))
+    n = np.sqrt((v * v).sum(1, keepdims=True))
+    return v / np.where(n > 0, n, 1)
 
 
 def best_windows(queries: DataFrame, windows: DataFrame) -> DataFrame:
     """answer_id, query_id, window_id, similarity: the most similar window of the same answer (ties: smallest id).
 
-    ``queries(answer_id, query_id, vector)`` and ``windows(answer_id, window_id, vector)`` meet on the answer only.
+    ``queries(answer_id, query_id, vector)`` and ``windows(answer_id, window_id, vector)`` meet on the answer, in blocks of at
+    most 256 by 256 (ids that lie together share a block), and a block is one product of matrices in an Arrow batch.
     """
-    w = windows.select("answer_id", "window_id", F.col("vector").alias("window_vector"))
-    pairs = queries.join(w, "answer_id").withColumn("similarity", cosine(F.col("vector"), F.col("window_vector")))
-    best = pairs.groupBy("answer_id", "query_id").agg(F.max(F.struct("similarity", (-F.col("window_id")).alias("back"))).alias("b"))
+
+    def blocks(rows: DataFrame, id_: str, name: str) -> DataFrame:
+        one = rows.select("answer_id", F.floor(F.col(id_) / BLOCK).alias("block"), F.struct(F.col(id_).cast("long").alias("id"), "vector").alias("x"))
+        return one.groupBy("answer_id", "block").agg(F.collect_list("x").alias(name)).drop("block")
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q, w = (batch.column(c)[i].values for c in (1, 2))
+                q_ids, w_ids = (x.field("id").to_numpy() for x in (q, w))
+                order = np.argsort(w_ids, kind="stable")
+                products = _units(q.field("vector")) @ _units(w.field("vector"))[order].T
+                # rounded, so that ties don't hang on the order of additions
+                at = np.round(products, 12).argmax(1)
+                answer = batch.column(0).take(pa.array(np.full(len(q_ids), i)))
+                yield pa.RecordBatch.from_arrays([answer, pa.array(q_ids), pa.array(w_ids[order][at]), pa.array(products[np.arange(len(q_ids)), at])], ["answer_id", "query_id", "window_id", "similarity"])
+
+    met = blocks(queries, "query_id", "q").join(blocks(windows, "window_id", "w"), "answer_id").select("answer_id", "q", "w")
+    each = met.mapInArrow(multiply, f"answer_id {dict(met.dtypes)['answer_id']}, query_id long, window_id long, similarity double")
+    best = each.groupBy("answer_id", "query_id").agg(F.max(F.struct("similarity", (-F.col("window_id")).alias("back"))).alias("b"))
     return best.select("answer_id", "query_id", (-F.col("b.back")).alias("window_id"), F.col("b.similarity").alias("similarity"))
 
 
@@ -85,9 +136,9 @@ def key_concepts(models: DataFrame, top: int = 8, encoder=lexical_encoder) -> Da
     Ties go by alphabet. A text without candidates is its own concept.
     """
     c = models.select("answer_id", "text", F.explode_outer(candidate_ngrams(F.col("text"))).alias("concept")).withColumn("concept", F.coalesce("concept", "text"))
-    vectors = encoded(c.select(F.col("concept").alias("t")).union(models.select(F.col("text"))), "t", encoder)
-    c = c.join(vectors.select(F.col("text").alias("concept"), F.col("vector").alias("cv")), "concept").join(vectors, "text")
-    rank = F.row_number().over(Window.partitionBy("answer_id").orderBy(F.desc(F.round(cosine(F.col("cv"), F.col("vector")), 9)), "concept"))
+    vectors = vector_table(c.select(F.col("concept").alias("t")).union(models.select(F.col("text"))), "t", encoder)
+    c = with_vector(with_vector(c, "concept", vectors, "cv"), "text", vectors, "tv")
+    rank = F.row_number().over(Window.partitionBy("answer_id").orderBy(F.desc(F.round(stored_cosine(F.col("cv"), F.col("tv")), 9)), "concept"))
     return c.withColumn("rank", rank).where(F.col("rank") <= top).select("answer_id", "rank", "concept")
 
 
@@ -107,19 +158,19 @@ def score_answers(answers: DataFrame, encoder=lexical_encoder) -> DataFrame:
     full = a.where((F.coalesce(F.length("student"), F.lit(0)) > 0) & (F.coalesce(F.length("model"), F.lit(0)) > 0)).withColumn("noisy", tf.noise_ratio(F.col("student")) > 0.30)
     # concepts belong to a model text, not to an answer: distinct models once
     models = full.select("model").distinct().select(F.col("model").alias("answer_id"), F.col("model").alias("text"))
-    concepts = key_concepts(models, encoder=encoder).select(F.col("answer_id").alias("model"), "rank", "concept")
+    concepts = stored(key_concepts(models, encoder=encoder).select(F.col("answer_id").alias("model"), "rank", "concept"), "concepts")
     windows = full.select("answer_id", F.posexplode(tf.word_windows(F.col("student"))).alias("window_id", "window"))
     wanted = concepts.select(F.col("concept").alias("t")).union(windows.select("window")).union(full.select("student")).union(full.select("model"))
-    vectors = encoded(wanted, "t", encoder)
-    of = lambda name, out: vectors.select(F.col("text").alias(name), F.col("vector").alias(out))
-    asked = full.select("answer_id", "model").join(concepts, "model").join(of("concept", "vector"), "concept").select("answer_id", F.col("rank").alias("query_id"), "concept", "vector")
-    best = best_windows(asked.select("answer_id", "query_id", "vector"), windows.join(of("window", "vector"), "window").select("answer_id", "window_id", "vector"))
-    hits = asked.select("answer_id", "query_id", "concept").join(best, ["answer_id", "query_id"], "left").join(full.select("answer_id", "student", "noisy"), "answer_id")
+    vectors = vector_table(wanted, "t", encoder)
+    asked = full.select("answer_id", "model").join(concepts, "model").select("answer_id", F.col("rank").alias("query_id"), "concept")
+    of = lambda rows, column: with_vector(rows, column, vectors, "v").withColumn("vector", F.col("v.vector"))
+    best = best_windows(of(asked, "concept"), of(windows, "window"))
+    hits = asked.join(best, ["answer_id", "query_id"], "left").join(full.select("answer_id", "student", "noisy"), "answer_id")
     hits = hits.withColumn("hit", concept_hit(F.col("concept"), F.col("student"), F.coalesce("similarity", F.lit(0.0)), F.col("noisy")))
     each = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("query_id", "concept")))), lambda x: x["concept"])
     found = hits.groupBy("answer_id").agg(each(F.col("hit")).alias("matched"), each(~F.col("hit")).alias("missing"))
-    s = full.join(of("student", "sv"), "student").join(of("model", "mv"), "model").join(found, "answer_id", "left")
-    s = s.withColumn("sim", cosine(F.col("sv"), F.col("mv"))).withColumn("coverage", F.size("matched") / (F.size("matched") + F.size("missing")))
+    s = with_vector(with_vector(full, "student", vectors, "sv"), "model", vectors, "mv").join(found, "answer_id", "left")
+    s = s.withColumn("sim", stored_cosine(F.col("sv"), F.col("mv"))).withColumn("coverage", F.size("matched") / (F.size("matched") + F.size("missing")))
     final = tf.final_score(F.col("sim"), F.col("noisy"), F.col("coverage"), tf.rescue_hits(tf.keywords(F.col("model")), F.col("student")), F.size(tf.tokens(F.col("student"))))
     s = s.withColumn("final", final)
     details = F.struct(F.bround("sim", 2).alias("similarity"), F.bround("coverage", 2).alias("concept_coverage"), F.col("matched").alias("matched_concepts"), F.col("missing").alias("missing_concepts"))

@@ -5,10 +5,12 @@ Fixed values (stop words, patterns of questions and paper rows) are the engine's
 
 from __future__ import annotations
 
+import re
+
 from lumora.functions.text import STOP_WORDS
 from lumora.operators.lexical import ENGLISH_STOP
 from lumora.operators.paper import CHALLENGE, CLASSIC, OR_LINE, ROW, TOTALS
-from lumora.operators.segment import QUESTION
+from lumora.operators.segment import NOISE_LINE, PAGE_HEADERS, QUESTION, any_of
 
 
 def _list(words: list[str]) -> str:
@@ -64,7 +66,7 @@ parts AS (SELECT s.exam_id, s.student_id, m.q_key AS m_key, s.q_key AS s_key, s.
 
 SCORES = """scores AS (
   SELECT l_orderkey AS exam_id, 1 AS student_id, l_linenumber || CASE l_returnflag WHEN 'A' THEN 'a' WHEN 'R' THEN 'b' ELSE '' END AS q_key, l_linenumber::VARCHAR AS base_key,
-    ((l_linenumber + 1) // 2)::VARCHAR AS group_id, CASE WHEN l_linenumber = 7 THEN 'challenge' ELSE 'optional' END AS q_type, max(round_even(l_quantity / 5, 1)) AS score, 10 AS max_marks
+    CASE WHEN l_linenumber < 3 THEN l_linenumber ELSE (l_linenumber + 1) // 2 + 1 END::VARCHAR AS group_id, CASE WHEN l_linenumber = 7 THEN 'challenge' WHEN l_linenumber < 3 THEN 'mandatory' ELSE 'optional' END AS q_type, max(round_even(l_quantity / 5, 1)) AS score, 10 AS max_marks
   FROM lineitem GROUP BY ALL),
 bases AS (SELECT exam_id, group_id, base_key, round(sum(score), 6) AS s, min(q_key) AS first FROM scores GROUP BY ALL),
 best AS (SELECT exam_id, group_id, base_key AS winner FROM bases QUALIFY row_number() OVER (PARTITION BY exam_id, group_id ORDER BY s DESC, first) = 1),
@@ -123,14 +125,61 @@ segments AS (SELECT doc_id, q_key, text FROM merged WHERE q_key <> '1' UNION ALL
 
 _STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 
+_HEADER = any_of(PAGE_HEADERS)
+
+
+def _unheaded(t: str) -> str:
+    """The text without header lines, the two lines after each, and noise lines: a fold over its lines."""
+    line = "{'line': l, 'skip': 0, 'kept': []::VARCHAR[]}"
+    return f"""array_to_string(list_reduce(list_prepend({line.replace(': l,', ": '',")}, list_transform(string_split({t}, chr(10)), lambda l: {line})), lambda a, x: {{'line': '',
+  'skip': CASE WHEN a.skip > 0 THEN a.skip - 1 WHEN regexp_matches(x.line, '{_HEADER}') THEN 2 ELSE 0 END,
+  'kept': CASE WHEN a.skip > 0 OR regexp_matches(x.line, '{_HEADER}') OR regexp_matches(x.line, '{NOISE_LINE}') THEN a.kept ELSE list_append(a.kept, x.line) END}}).kept, chr(10))"""
+
+
+HEADED = """headed AS (SELECT conv_id AS doc_id, string_agg(CASE WHEN turn % 3 = 0 THEN 'Additional Sheet of roll ' || conv_id || chr(10) || 'name' || chr(10) || 'date' || chr(10) ELSE '' END
+  || coalesce(text, '') || CASE WHEN turn % 2 = 1 THEN chr(10) || 'Sub Total' || chr(10) || 'CO 3' ELSE '' END, chr(10) ORDER BY turn, role, text) AS text FROM conversations GROUP BY 1)"""
+
+PAGED = f"""spots AS (SELECT doc_id, text, list_reduce(list_prepend({{'line': '', 'spot': 0::BIGINT, 'kept': []::BIGINT[]}}, list_transform(string_split(text, chr(10)), lambda l: {{'line': l, 'spot': 0::BIGINT, 'kept': []::BIGINT[]}})), lambda a, x: {{'line': '',
+  'spot': a.spot + length(x.line) + 1, 'kept': CASE WHEN regexp_matches(x.line, '{_HEADER}') AND (len(a.kept) = 0 OR a.spot - a.kept[-1] > 100) THEN list_append(a.kept, a.spot) ELSE a.kept END}}).kept AS spots_ FROM headed),
+cuts AS (SELECT doc_id, text, spots_, list_filter(list_transform(range(1, len(spots_) + 1), lambda i: {_STRIP.format("substr(text, spots_[i] + 1, coalesce(spots_[i + 1], length(text)) - spots_[i])")}), lambda p: length(p) > 20) AS ps FROM spots),
+sheets_ AS (SELECT doc_id, CASE WHEN len(spots_) > 1 AND len(ps) > 1 THEN ps ELSE [text] END AS ps FROM cuts)"""
+
+# parts against the expected keys: those not expected join what stands before them
+_KEYS = "['1', '2', '2a', '6', '6a', '6b', '7', '12', '13', '14']"
+_ACC = "{{'letter': '', 'text': '', 'intro': {intro}, 'done': {done}}}"
+_ONE = "{'letter': x.letter, 'text': x.text}"
+_CHAIN = NUMBERED[NUMBERED.index("state AS ("):]
+for _name in ("state", "told", "aimed", "written", "merged", "firsts", "segments", "sub1", "subs"):
+    _CHAIN = re.sub(rf"\b{_name}\b", f"{_name}_e", _CHAIN)
+EXPECTED = NUMBERED[:NUMBERED.index("state AS (")] + f"""kept_e AS (SELECT doc_id, pos, list({{'letter': letter, 'text': text, 'intro': '', 'done': []::STRUCT(letter VARCHAR, text VARCHAR)[]}} ORDER BY i) AS ks FROM subs GROUP BY ALL),
+asked_e AS (SELECT s.*, coalesce(ks, []) AS ks, coalesce(parent, num)::VARCHAR AS pkey FROM sub1 s LEFT JOIN kept_e USING (doc_id, pos)),
+fold_e AS (SELECT *, len(list_filter(ks, lambda x: list_contains({_KEYS}, pkey || x.letter))) > 0 AS some, list_reduce(list_prepend({_ACC.format(intro="coalesce(intro, '')", done='[]::STRUCT(letter VARCHAR, text VARCHAR)[]')}, ks), lambda a, x:
+  CASE WHEN list_contains({_KEYS}, pkey || x.letter) THEN {_ACC.format(intro='a.intro', done=f'list_append(a.done, {_ONE})')}
+  WHEN len(a.done) = 0 THEN {_ACC.format(intro="CASE WHEN a.intro = '' THEN x.text ELSE a.intro || ' ' || x.text END", done='a.done')}
+  ELSE {_ACC.format(intro='a.intro', done="list_append(a.done[1:len(a.done) - 1], {'letter': a.done[-1].letter, 'text': a.done[-1].text || ' ' || x.text})")} END) AS f FROM asked_e),
+sub1_e AS (SELECT * EXCLUDE (ks, pkey, f, some, found, intro, good), found AND some AS found, CASE WHEN some THEN f.intro END AS intro, CASE WHEN found AND some THEN f.done ELSE [] END AS good FROM fold_e),
+subs_e AS (SELECT doc_id, pos, x.letter AS letter, i, x.text AS text FROM (SELECT doc_id, pos, unnest(good) AS x, generate_subscripts(good, 1) AS i FROM sub1_e)),
+{_CHAIN},
+have AS (SELECT doc_id, list(q_key) AS ks, max(CASE WHEN length({_STRIP.format('text[1:30]')}) >= 10 THEN CASE WHEN strpos(body, {_STRIP.format('text[1:30]')}) > 0 THEN strpos(body, {_STRIP.format('text[1:30]')}) - 1 + length(text) ELSE 0 END ELSE 0 END) AS used, any_value(body) AS body
+  FROM (SELECT g.doc_id, q_key, g.text, s.text AS body FROM segments_e g JOIN sheets s USING (doc_id)) GROUP BY 1),
+few AS (SELECT s.doc_id, s.text AS body, coalesce(used, 0) AS used, length(s.text) AS n, list_filter({_KEYS}, lambda k: NOT list_contains(coalesce(ks, []) || list_transform(coalesce(ks, []), lambda q: regexp_replace(q, '[a-z]', '', 'g')), k)
+    AND NOT list_contains(coalesce(ks, []) || list_transform(coalesce(ks, []), lambda q: regexp_replace(q, '[a-z]', '', 'g')), regexp_replace(k, '[a-z]', '', 'g'))) AS missing FROM sheets s LEFT JOIN have USING (doc_id) WHERE len(coalesce(ks, [])) < 4),
+tails AS (SELECT doc_id, missing, CASE WHEN used > 0 AND used < n - 50 THEN substr(body, used + 1) WHEN used >= n * 0.9 THEN body ELSE substr(body, (n * 0.3)::DOUBLE::DECIMAL(18, 6)::BIGINT + 1) END AS tail FROM few),
+bare AS (SELECT doc_id, missing, len(missing) AS want, {_unheaded('tail')} AS t FROM tails WHERE length({_STRIP.format('tail')}) >= 30 AND len(missing) > 0),
+paras AS (SELECT *, list_filter(list_transform(string_split_regex(t, '\\n\\s*\\n\\s*\\n'), lambda p: {_STRIP.format('p')}), lambda p: length(p) > 15) AS wide, list_filter(list_transform(string_split_regex(t, '\\n\\s*\\n'), lambda p: {_STRIP.format('p')}), lambda p: length(p) > 15) AS near FROM bare),
+picked AS (SELECT *, CASE WHEN len(wide) >= want THEN wide WHEN len(near) >= want THEN near END AS ps FROM paras),
+per_e AS (SELECT *, greatest(1, len(ps) // want) AS per FROM picked),
+dealt AS (SELECT doc_id, missing, CASE WHEN want = 1 THEN [t] WHEN ps IS NOT NULL THEN list_transform(range(0, (len(ps) - 1) // per + 1), lambda i: array_to_string(ps[i * per + 1:(i + 1) * per], chr(10) || chr(10))) WHEN {_STRIP.format('t')} <> '' THEN [{_STRIP.format('t')}] ELSE [] END AS cs FROM per_e),
+more AS (SELECT doc_id, missing[i] AS q_key, CASE WHEN i = least(len(missing), len(cs)) THEN array_to_string(cs[i:], ' ') ELSE cs[i] END AS text FROM (SELECT *, unnest(range(1, least(len(missing), len(cs)) + 1)) AS i FROM dealt))"""
+
 PAPERS = """li AS (SELECT l_orderkey AS exam_id, (l_linenumber * 2 + l_partkey % 2)::VARCHAR AS num, (1 + l_suppkey % 22)::VARCHAR AS marks, l_partkey::VARCHAR AS topic, * FROM lineitem),
 bodies AS (SELECT exam_id, string_agg(
     CASE WHEN exam_id % 4 = 0 THEN 'Q' || num || '. Describe topic ' || topic || CASE l_partkey % 4 WHEN 0 THEN ' in short [' || marks || ' marks]' WHEN 1 THEN ' in short (' || marks || ' Marks)' WHEN 2 THEN ' in short, Marks: ' || marks ELSE ' in short ' || marks || ' marks' END
     ELSE num || CASE l_returnflag WHEN 'A' THEN '.a) |' WHEN 'R' THEN ') b) ' ELSE '. |' END || 'Explain topic ' || topic || ' of the unit  ' || marks || ' |CO' || (l_suppkey % 5 + 1) END
     || CASE WHEN l_linestatus = 'O' AND l_quantity > 25 THEN chr(10) || 'OR' ELSE '' END || CASE WHEN l_quantity > 48 THEN chr(10) || 'Bonus questions' ELSE '' END, chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS body FROM li GROUP BY exam_id),
 papers AS (SELECT exam_id, CASE exam_id % 3 WHEN 0 THEN 'Max. Marks: ' || (15 + exam_id % 100) || chr(10) WHEN 1 THEN 'Total marks = ' || (15 + exam_id % 100) || chr(10) ELSE '' END || body AS text FROM bodies),
-lines AS (SELECT exam_id, (generate_subscripts(ls, 1) - 1)::INT AS line_no, unnest(ls) AS line FROM (SELECT exam_id, string_split(text, chr(10)) AS ls FROM papers)),
-""" + f"""hits AS (SELECT exam_id, line_no, regexp_extract(s, '{ROW}', 1)::INT AS num, regexp_extract(s, '{ROW}', 2) AS m2, regexp_extract(s, '{ROW}', 3) AS m3, regexp_extract(s, '{ROW}', 4)::INT AS marks
+lines AS MATERIALIZED (SELECT exam_id, (generate_subscripts(ls, 1) - 1)::INT AS line_no, unnest(ls) AS line FROM (SELECT exam_id, string_split(text, chr(10)) AS ls FROM papers)),
+""" + f"""hits AS MATERIALIZED (SELECT exam_id, line_no, regexp_extract(s, '{ROW}', 1)::INT AS num, regexp_extract(s, '{ROW}', 2) AS m2, regexp_extract(s, '{ROW}', 3) AS m3, regexp_extract(s, '{ROW}', 4)::INT AS marks
   FROM (SELECT *, {_STRIP.format('line')} AS s FROM lines) WHERE regexp_matches(s, '{ROW}')),
 parted AS (SELECT *, CASE WHEN regexp_matches(m2, '[)}}\\]]') THEN regexp_replace(lower(m2), '[^a-z]', '', 'g') ELSE '' END AS part, regexp_replace(lower(m2), '[^a-z]', '', 'g') AS letter FROM hits WHERE num BETWEEN 1 AND 15 AND marks BETWEEN 1 AND 20),
 table_rows AS (SELECT exam_id, num || part AS q_key, line_no, marks, {_STRIP.format("CASE WHEN part = '' AND letter <> '' THEN " + _STRIP.format('m2') + " || m3 ELSE m3 END")} AS q_text FROM parted QUALIFY row_number() OVER (PARTITION BY exam_id, num || part ORDER BY line_no) = 1),
@@ -138,9 +187,10 @@ running AS (SELECT exam_id, line_no, lower(regexp_extract(line, '{CLASSIC}', 1))
   coalesce(try_cast(nullif(regexp_extract(line, '{CLASSIC}', 3), '') AS INT), try_cast(nullif(regexp_extract(line, '{CLASSIC}', 4), '') AS INT), try_cast(nullif(regexp_extract(line, '{CLASSIC}', 5), '') AS INT), try_cast(nullif(regexp_extract(line, '{CLASSIC}', 6), '') AS INT)) AS marks
   FROM lines WHERE regexp_matches(line, '{CLASSIC}') AND exam_id NOT IN (SELECT exam_id FROM table_rows)),
 running_rows AS (SELECT exam_id, q_key, line_no, marks, '' AS q_text FROM running WHERE marks BETWEEN 1 AND 20 AND regexp_replace(q_key, '[a-z]', '', 'g')::INT BETWEEN 1 AND 20 QUALIFY row_number() OVER (PARTITION BY exam_id, q_key ORDER BY line_no) = 1),
-qrows AS (SELECT *, regexp_replace(q_key, '[a-z]', '', 'g')::INT AS base FROM (FROM table_rows UNION ALL FROM running_rows)),
-ors AS (SELECT exam_id, line_no AS o FROM lines WHERE regexp_matches(line, '{OR_LINE}')),
-sides AS (SELECT exam_id, o, (SELECT arg_max(q.base, (q.line_no, q.base)) FROM qrows q WHERE q.exam_id = ors.exam_id AND q.line_no < o) AS a, (SELECT arg_min(q.base, (q.line_no, q.base)) FROM qrows q WHERE q.exam_id = ors.exam_id AND q.line_no > o) AS b FROM ors),
+qrows AS MATERIALIZED (SELECT *, regexp_replace(q_key, '[a-z]', '', 'g')::INT AS base FROM (FROM table_rows UNION ALL FROM running_rows)),
+ors AS MATERIALIZED (SELECT exam_id, line_no AS o FROM lines WHERE regexp_matches(line, '{OR_LINE}')),
+near AS (SELECT exam_id, line_no, max(base) AS hi, min(base) AS lo FROM qrows GROUP BY ALL),
+sides AS (SELECT o.exam_id, o, p.hi AS a, n.lo AS b FROM ors o ASOF LEFT JOIN near p ON o.exam_id = p.exam_id AND o.o > p.line_no ASOF LEFT JOIN near n ON o.exam_id = n.exam_id AND o.o < n.line_no),
 shared AS (SELECT exam_id, base, arg_max(g, (o, g)) AS g FROM (SELECT exam_id, o, least(a, b) AS g, unnest([a, b]) AS base FROM sides WHERE a <> b) GROUP BY ALL),
 groups AS (SELECT q.exam_id, q_key, base, marks, coalesce(g::VARCHAR, q_key) AS group_id FROM qrows q LEFT JOIN shared USING (exam_id, base)),
 heads AS (SELECT exam_id, min(line_no) AS head FROM lines WHERE regexp_matches(line, '{CHALLENGE}') GROUP BY 1),
@@ -210,7 +260,7 @@ CASE WHEN sc THEN total_marks ELSE possible END AS max_score FROM scaled""",
     "rescale_totals": f"""WITH {SCORES} SELECT exam_id, student_id, q_key, round(CASE WHEN sc THEN round_even(round(score * (total_marks / possible), 6), 1) ELSE score END, 4) AS score,
 CASE WHEN sc THEN round_even(round(max_marks * (total_marks / possible), 6), 0)::INT ELSE max_marks END AS max_marks, selected FROM won JOIN scaled USING (exam_id, student_id)""",
     "report_rows": f"""WITH {SCORES} SELECT exam_id, student_id, q_key, base_key::INT AS num, regexp_replace(q_key, '^\\d+', '') AS part, round(score / max_marks * 100, 4) AS percent,
-CASE WHEN score / max_marks >= 0.8 THEN 'green' WHEN score / max_marks >= 0.5 THEN 'amber' ELSE 'red' END AS color, CASE WHEN NOT selected THEN 'not counted' WHEN q_type = 'challenge' THEN 'challenge' ELSE 'chosen' END AS badge FROM won""",
+CASE WHEN score / max_marks >= 0.8 THEN 'green' WHEN score / max_marks >= 0.5 THEN 'amber' ELSE 'red' END AS color, CASE WHEN q_type = 'challenge' THEN 'challenge' WHEN NOT selected THEN 'not counted' WHEN q_type = 'optional' THEN 'chosen' ELSE '' END AS badge FROM won""",
     "natural_sort": f"WITH {EXAM} SELECT exam_id, q_key, row_number() OVER (PARTITION BY exam_id ORDER BY regexp_extract(q_key, '^\\d+')::INT, regexp_replace(q_key, '^\\d+', ''))::INT AS place FROM models",
     "vocabulary": f"SELECT DISTINCT item_id % 5 AS exam_id, unnest({_tokens(_clean('[^a-z0-9' + chr(92) + 's' + chr(92) + '-,.]', ''))}) AS term FROM benchmark",
     "expected_union": f"WITH {EXAM} SELECT exam_id, q_key FROM models UNION SELECT exam_id, q_key FROM rubric0",
@@ -230,6 +280,10 @@ FROM groups g LEFT JOIN hard h ON h.exam_id = g.exam_id AND h.base = g.base::VAR
     "paper_schema": f"""WITH {PAPERS}, ok AS (SELECT exam_id, count(*) AS n, bool_or(q_key IN ('7a', '7b', '8a', '8b', '9a', '9b')) AS p FROM qrows GROUP BY 1 HAVING max(base) <= 20)
 SELECT exam_id, coalesce(n, 0) AS n_keys, total_marks, CASE WHEN n > 0 THEN 'rubric' WHEN total_marks IS NOT NULL THEN 'total' ELSE 'none' END AS kind, coalesce(p, false) AS has_parts FROM totals LEFT JOIN ok USING (exam_id)""",
     "line_grep": f"WITH {PAPERS} SELECT exam_id, line_no, line FROM lines WHERE regexp_matches(line, '(?i)(CO\\s*4|PART\\s*[AB]|max)')",
+    "segment_expected": f"""WITH {EXPECTED}, all_ AS (SELECT doc_id, q_key, text FROM segments_e UNION ALL FROM more)
+SELECT doc_id, q_key, regexp_extract(q_key, '^\\d+')::INT AS num, regexp_replace(q_key, '^\\d+', '') AS part, text FROM all_""",
+    "header_strip": f"WITH {HEADED}, k AS (SELECT doc_id, {_unheaded('text')} AS kept FROM headed) SELECT doc_id, length(kept)::INT AS n_chars, md5(kept) AS digest FROM k",
+    "page_headers": f"WITH {HEADED}, {PAGED} SELECT doc_id, (generate_subscripts(ps, 1) - 1)::INT AS page_no, length(unnest(ps))::INT AS n_chars, md5(unnest(ps)) AS digest FROM sheets_",
     "page_concat": f"WITH {FILES} SELECT doc_id, n_pages, length(text)::INT AS n_chars, md5(text) AS digest FROM files",
     "page_split": f"""WITH {FILES}, cut AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, '---PAGE_BREAK---'), lambda p: {_STRIP.format('p')}), lambda p: length(p) > 20) AS ps FROM files),
 p AS (SELECT doc_id, CASE WHEN len(ps) > 1 THEN ps ELSE [text] END AS ps FROM cut)
@@ -246,6 +300,26 @@ m AS (SELECT doc_id, text, generate_subscripts(ps, 1) AS i, unnest(ps) AS p FROM
 n AS (SELECT doc_id, text, i, split_part(p, chr(2), 1) AS found, sum(length(replace(p, chr(2), ''))) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS start FROM m)
 SELECT doc_id, (i - 2)::INT AS no, lower(regexp_extract(found, '{QUESTION}', 1)) AS marker, translate(substr(text, greatest(start - 10, 0)::INT + 1, (start + length(found) + 30 - greatest(start - 10, 0))::INT), chr(10), ' ') AS context FROM n WHERE i > 1""",
     "latest_per_status": "SELECT user_id, event_id, event_type AS status, value, n_events FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n_events FROM events) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+    "job_progress": """WITH c AS (
+  SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS job_id, ts AS moment, (event_id % 7)::INT AS step, 6 AS total, event_type AS message,
+    CASE event_type WHEN 'view' THEN 'idle' WHEN 'click' THEN 'processing' WHEN 'signup' THEN 'processing' WHEN 'purchase' THEN 'done' ELSE 'error' END AS status FROM events),
+g AS (SELECT job_id, list({'step': step, 'status': status, 'message': message, 'total': total, 'n': 0, 'bad': 0} ORDER BY moment, step, status, total, message) AS cs FROM c GROUP BY job_id),
+f AS (SELECT job_id, list_reduce(list_prepend({'step': NULL, 'status': 'idle', 'message': NULL, 'total': NULL, 'n': 0, 'bad': 0}, cs), lambda s, x:
+    CASE WHEN (s.status = 'idle' AND x.status IN ('idle', 'processing', 'error')) OR (s.status = 'processing' AND x.status IN ('processing', 'done', 'error'))
+    THEN {'step': x.step, 'status': x.status, 'message': x.message, 'total': x.total, 'n': s.n + 1, 'bad': s.bad}
+    ELSE {'step': s.step, 'status': s.status, 'message': s.message, 'total': s.total, 'n': s.n, 'bad': s.bad + 1} END) AS x FROM g)
+SELECT job_id, x.step AS step, x.status AS status, x.message AS message, x.n::BIGINT AS changes, x.bad::BIGINT AS ignored,
+  CASE WHEN x.status = 'done' THEN 100.0 WHEN x.total > 0 THEN round(100.0 * coalesce(x.step, 0) / x.total, 1) ELSE 0.0 END AS percent FROM f""",
+    "greedy_semantic": """WITH RECURSIVE e AS (SELECT vec_id // 40 AS exam, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+p AS MATERIALIZED (SELECT m.exam, m.vec_id::VARCHAR AS m_key, s.vec_id AS s, round(list_cosine_similarity(m.v, s.v), 9) AS sim FROM e m JOIN e s ON m.exam = s.exam AND m.vec_id % 2 = 1 AND s.vec_id % 2 = 0),
+k AS MATERIALIZED (SELECT exam, m_key, row_number() OVER (PARTITION BY exam ORDER BY m_key) AS no FROM (SELECT DISTINCT exam, m_key FROM p)),
+served(exam, no, m_key, s, used) AS (
+  SELECT DISTINCT exam, 0::BIGINT, NULL::VARCHAR, NULL::BIGINT, []::BIGINT[] FROM k
+  UNION ALL
+  SELECT exam, no + 1, mk, best, CASE WHEN best IS NULL THEN used ELSE list_append(used, best) END FROM (
+    SELECT r.exam, r.no, any_value(k.m_key) AS mk, any_value(r.used) AS used, arg_max(p.s, (p.sim, -p.s)) FILTER (p.sim > 0.2 AND NOT list_contains(r.used, p.s)) AS best
+    FROM served r JOIN k ON k.exam = r.exam AND k.no = r.no + 1 JOIN p ON p.exam = k.exam AND p.m_key = k.m_key GROUP BY r.exam, r.no))
+SELECT exam AS exam_id, 1 AS student_id, m_key, s::VARCHAR AS s_key FROM served WHERE s IS NOT NULL""",
     "page_count": "SELECT conv_id AS doc_id, count(*) AS n_pages FROM conversations GROUP BY 1",
     "term_recovery": None,
 }

@@ -9,6 +9,7 @@ from lumora.functions import fuzzy
 from lumora.functions import text as tf
 from lumora.operators import align, lexical, paper, scan, segment, similarity
 from lumora.plans import grade
+from lumora.sources import files
 from lumora.sources import tables as t
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -185,6 +186,23 @@ def _pages(spark, d):
     return whole.select("doc_id", F.posexplode(segment.pages(F.col("text"))).alias("page_no", "page")).select("doc_id", "page_no", F.md5("page").alias("digest"))
 
 
+def _headers_off(spark, d):
+    kept = segment.lines_without_headers(F.col("text"))
+    return t.headed_texts(spark, d).select("doc_id", kept.alias("kept")).select("doc_id", F.length("kept").alias("n_chars"), F.md5("kept").alias("digest"))
+
+
+def _pages_by_header(spark, d):
+    p = t.headed_texts(spark, d).select("doc_id", F.posexplode(segment.pages(F.col("text"))).alias("page_no", "page"))
+    return p.select("doc_id", "page_no", F.length("page").alias("n_chars"), F.md5("page").alias("digest"))
+
+
+def _short_list(spark, d):
+    """Benchmark texts with every "th" turned round, corrected by the ten most frequent longer words of the benchmark."""
+    b = t.read(spark, d, "benchmark").select(F.col("item_id").alias("text_id"), tf.clean_text(F.col("text")).alias("text"))
+    top = b.select(F.explode(tf.tokens(F.col("text"))).alias("w")).where(F.length("w") > 3).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(10)
+    return fuzzy.correct_by_list(b.withColumn("text", F.replace("text", F.lit("th"), F.lit("ht"))), [r.w for r in top.collect()])
+
+
 def _page_concat(spark, d):
     return scan.page_concat(t.scanned_pages(spark, d)).select("doc_id", "n_pages", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
@@ -232,6 +250,17 @@ def _latest(spark, d):
     return last.select("user_id", "x.event_id", F.col("x.event_type").alias("status"), "x.value", "n_events")
 
 
+def _jobs(spark, d):
+    """The state of every job by the rules of the job store."""
+    j = files.job_states(t.job_changes(spark, d))
+    return j.select("job_id", "step", "status", "message", "changes", "ignored", "percent")
+
+
+def _stage_rows(spark, d):
+    """Rows and errors of each stage of grading a whole exam."""
+    return grade.timed_grade(*_grade_tables(spark, d))[2].where("stage != 'total'").select("no", "stage", "rows", "errors", "status")
+
+
 def _profile(spark, d):
     s = _segments(spark, d)
     return s.select("doc_id", "q_key", F.length("text").alias("n_chars"), F.translate(F.substring("text", 1, 60), "\n", " ").alias("preview"))
@@ -351,6 +380,8 @@ QUERIES = {
     "merge_keys": _merged,
     "segment_expected": _expected,
     "chunk_paragraphs": _chunks,
+    "header_strip": _headers_off,
+    "page_headers": _pages_by_header,
     "page_concat": _page_concat,
     "page_split": _pages,
     "preamble_rescue": _preamble,
@@ -362,12 +393,15 @@ QUERIES = {
     "paper_schema": _paper_schema,
     "line_grep": _line_grep,
     "latest_per_status": _latest,
+    "job_progress": _jobs,
+    "grade_stages": _stage_rows,
     "marker_kwic": lambda spark, d: segment.marker_context(t.numbered_texts(spark, d)),
     "segment_profile": _profile,
     "page_count": _page_count,
     "label_agreement": _label_agreement,
     "term_recovery": _term_recovery,
     "spell_correct": _spell,
+    "spell_short_list": _short_list,
     "fuzzy_keyword_cover": _fuzzy_cover,
     "greedy_semantic": _greedy,
     "answer_scores": _answer_scores,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 REQUIRED, OPTIONAL = ("student_file", "model_file"), ("question_file",)
@@ -55,13 +55,34 @@ def write_report(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("exam_id").json(path)
 
 
+# The states of a job, and which state may follow which.
+NEXT = {"idle": ("idle", "processing", "error"), "processing": ("processing", "done", "error")}
+ENDS = ("done", "error")
+
+
+def percent(status: Column, step: Column, total: Column) -> Column:
+    """How far a job is: 100 once done, else the share of its steps."""
+    return F.when(status == "done", 100.0).when(total > 0, F.round(100.0 * F.coalesce(step, F.lit(0)) / total, 1)).otherwise(0.0)
+
+
 def job_states(changes: DataFrame) -> DataFrame:
-    """job_id, step, total, status, message, percent: the last state of ``changes(job_id, at, step, total, status, message)``.
+    """job_id, at, step, total, status, message, changes, ignored, percent: where ``changes(job_id, at, step, total, status, message)`` lead.
 
-    A job that is completed or failed stays so, whatever comes later; percent is 100 once completed.
+    The same rules as those of the stream, for a whole table: from idle to processing, then to done or error; an error may
+    come at once; nothing follows an end. In the order of at, step (nulls first) and the rest, what the state does not
+    allow is ignored. The first start and the first end that counts decide, so a job's rows need no fold, only windows.
     """
-    ended = F.min(F.when(F.col("status").isin("completed", "failed"), F.struct("at", "step", "total", "status", "message")))
-    last = F.max(F.struct("at", "step", "total", "status", "message"))
-    g = changes.groupBy("job_id").agg(F.coalesce(ended, last).alias("x"))
-    share = F.when(F.col("x.status") == "completed", 100.0).when(F.col("x.total") > 0, F.round(100.0 * F.col("x.step") / F.col("x.total"), 1)).otherwise(0.0)
-    return g.select("job_id", "x.step", "x.total", "x.status", "x.message", share.alias("percent"))
+    job = Window.partitionBy("job_id")
+    order = job.orderBy(F.col("at").asc_nulls_first(), F.col("step").asc_nulls_first(), "status", F.col("total").asc_nulls_first(), F.col("message").asc_nulls_first())
+    c = changes.where("job_id is not null").withColumn("no", F.row_number().over(order))
+    c = c.withColumn("start", F.min(F.when(F.col("status") == "processing", F.col("no"))).over(job))
+    ends = (F.col("status") == "error") | ((F.col("status") == "done") & (F.col("no") > F.col("start")))
+    c = c.withColumn("end", F.min(F.when(ends, F.col("no"))).over(job))
+    before_end = F.col("end").isNull() | (F.col("no") <= F.col("end"))
+    started = F.col("start").isNotNull() & (F.col("no") >= F.col("start"))
+    known = (F.col("status").isin("processing", *ENDS) & started) | (F.col("status").isin("idle", "error") & ~started)
+    c = c.withColumn("counts", F.coalesce(before_end & known, F.lit(False)))
+    last = F.max(F.when(F.col("counts"), F.struct("no", "at", "step", "total", "status", "message"))).alias("x")
+    g = c.groupBy("job_id").agg(last, F.count_if("counts").alias("changes"), F.count_if(~F.col("counts")).alias("ignored"))
+    status = F.coalesce("x.status", F.lit("idle"))
+    return g.select("job_id", "x.at", "x.step", "x.total", status.alias("status"), "x.message", "changes", "ignored", percent(status, F.col("x.step"), F.col("x.total")).alias("percent"))

@@ -41,10 +41,11 @@ def exams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exam_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored rows of an exam: two numbers share a group; the score is a fifth of the quantity."""
+    """Scored rows of an exam: 1 and 2 are mandatory, of the others two numbers share a group; the score is a fifth of the quantity."""
     q, n = F.col("l_quantity"), F.col("l_linenumber")
-    kind = F.when(n == 7, "challenge").otherwise("optional")
-    s = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("exam_id"), F.lit(1).alias("student_id"), F.concat(n.cast("string"), _part()).alias("q_key"), n.cast("string").alias("base_key"), F.floor((n + 1) / 2).cast("int").cast("string").alias("group_id"), kind.alias("q_type"), F.bround(q / 5, 1).alias("score"))
+    kind = F.when(n == 7, "challenge").when(n < 3, "mandatory").otherwise("optional")
+    group = F.when(n < 3, n).otherwise(F.floor((n + 1) / 2) + 1).cast("int").cast("string")
+    s = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("exam_id"), F.lit(1).alias("student_id"), F.concat(n.cast("string"), _part()).alias("q_key"), n.cast("string").alias("base_key"), group.alias("group_id"), kind.alias("q_type"), F.bround(q / 5, 1).alias("score"))
     return s.groupBy("exam_id", "student_id", "q_key", "base_key", "group_id", "q_type").agg(F.max("score").alias("score")).withColumn("max_marks", F.lit(10))
 
 
@@ -65,6 +66,15 @@ def numbered_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("doc_id", F.concat(F.lit("Sheet of answers"), F.array_join(F.col("x.line"), "")).alias("text"))
 
 
+def headed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text: a conversation as scanned sheets; a new sheet with a header every third turn, lines of marks after odd ones."""
+    head = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Additional Sheet of roll "), F.col("conv_id").cast("string"), F.lit("\nname\ndate\n"))).otherwise("")
+    foot = F.when(F.col("turn") % 2 == 1, "\nSub Total\nCO 3").otherwise("")
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.concat(head, F.coalesce("text", F.lit("")), foot).alias("sheet"))
+    g = c.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "sheet"))).alias("x"))
+    return g.select("doc_id", F.array_join(F.col("x.sheet"), "\n").alias("text"))
+
+
 def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pair_id, similarity: the vector of an even id against that of the next odd one."""
     from lumora.operators.similarity import cosine
@@ -101,3 +111,12 @@ def scanned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     no = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1
     c = read(spark, sf_dir, "conversations")
     return c.select(F.col("conv_id").alias("doc_id"), no.alias("page_no"), "text", F.when(F.col("text").isNull(), "no text").alias("error"))
+
+
+def job_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """job_id, at, step, total, status, message: the events of a user and a day as the changes of a job."""
+    kind = F.col("event_type")
+    status = F.when(kind == "view", "idle").when(kind.isin("click", "signup"), "processing").when(kind == "purchase", "done").otherwise("error")
+    e = read(spark, sf_dir, "events")
+    job = F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd"))
+    return e.select(job.alias("job_id"), F.col("ts").alias("at"), (F.col("event_id") % 7).cast("int").alias("step"), F.lit(6).alias("total"), status.alias("status"), kind.alias("message"))

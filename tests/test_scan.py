@@ -90,28 +90,3 @@ def test_uploads_and_latest(spark, tmp_path):
     assert files.latest(f.where("false")).count() == 0
     files.write_report(spark.createDataFrame([(1, "2a", 5.0)], "exam_id int, q_key string, score double"), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 1
-
-
-def test_job_states(spark):
-    rows = [("j", 1, 1, 4, "running", "a"), ("j", 3, 4, 4, "completed", "done"), ("j", 4, 2, 4, "running", "late"), ("k", 1, 1, 4, "running", "b"), ("l", 1, 0, 0, "queued", None)]
-    got = {r.job_id: (r.status, r.percent, r.message) for r in files.job_states(spark.createDataFrame(rows, "job_id string, at int, step int, total int, status string, message string")).collect()}
-    assert got == {"j": ("completed", 100.0, "done"), "k": ("running", 25.0, "b"), "l": ("queued", 0.0, None)}
-
-
-def test_stream_of_states(spark, tmp_path):
-    from lumora.streaming import jobs
-
-    (tmp_path / "in").mkdir()
-
-    def arrive(name, *rows):
-        (tmp_path / "in" / name).write_text("\n".join(rows))
-
-    def states():
-        jobs.keep_states(jobs.changes(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check"), once=True).awaitTermination()
-        last = max(p for p in (tmp_path / "out").iterdir())
-        return {r.job_id: (r.status, r.percent) for r in spark.read.parquet(str(last)).collect()}
-
-    arrive("a.json", '{"job_id": "j", "at": "2024-01-01T00:00:00", "step": 1, "total": 4, "status": "running"}', '{"job_id": "k", "at": "2024-01-01T00:00:00", "step": 0, "total": 0, "status": "queued"}')
-    assert states() == {"j": ("running", 25.0), "k": ("queued", 0.0)}
-    arrive("b.json", '{"job_id": "j", "at": "2024-01-01T00:05:00", "step": 4, "total": 4, "status": "completed"}', '{"job_id": "j", "at": "2024-01-01T00:09:00", "step": 2, "total": 4, "status": "running"}')
-    assert states() == {"j": ("completed", 100.0), "k": ("queued", 0.0)}

@@ -15,7 +15,7 @@ def test_clean_text(spark, text, want):
     assert one(spark, tf.clean_text(F.col("t")), t=text) == want
 
 
-@pytest.mark.parametrize("text, want", [("ilgze hon hte davdbing 02 4x Grb 44 OP secon", 0.3), ("binary search algorithm has best case O1 and worst case Ologn", 1 / 11), ("", 0.0), (None, 0.0)])
+@pytest.mark.parametrize("text, want", [("Tjhe rtoot kof 17 a 3b2 trme 08 si dpee", 0.3), ("binary search algorithm has best case O1 and worst case Ologn", 1 / 11), ("", 0.0), (None, 0.0)])
 def test_noise_ratio(spark, text, want):
     assert one(spark, tf.noise_ratio(F.col("t")), t=text) == pytest.approx(want)
 
