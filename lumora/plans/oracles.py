@@ -153,11 +153,11 @@ for _name in ("state", "told", "aimed", "written", "merged", "firsts", "segments
     _CHAIN = re.sub(rf"\b{_name}\b", f"{_name}_e", _CHAIN)
 EXPECTED = NUMBERED[:NUMBERED.index("state AS (")] + f"""kept_e AS (SELECT doc_id, pos, list({{'letter': letter, 'text': text, 'intro': '', 'done': []::STRUCT(letter VARCHAR, text VARCHAR)[]}} ORDER BY i) AS ks FROM subs GROUP BY ALL),
 asked_e AS (SELECT s.*, coalesce(ks, []) AS ks, coalesce(parent, num)::VARCHAR AS pkey FROM sub1 s LEFT JOIN kept_e USING (doc_id, pos)),
-fold_e AS (SELECT *, len(list_filter(ks, lambda x: list_contains({_KEYS}, pkey || x.letter))) > 0 AS some, list_reduce(list_prepend({_ACC.format(intro="coalesce(intro, '')", done='[]::STRUCT(letter VARCHAR, text VARCHAR)[]')}, ks), lambda a, x:
+fold_e AS (SELECT *, len(list_filter(ks, lambda x: list_contains({_KEYS}, pkey || x.letter))) > 0 AS any_e, list_reduce(list_prepend({_ACC.format(intro="coalesce(intro, '')", done='[]::STRUCT(letter VARCHAR, text VARCHAR)[]')}, ks), lambda a, x:
   CASE WHEN list_contains({_KEYS}, pkey || x.letter) THEN {_ACC.format(intro='a.intro', done=f'list_append(a.done, {_ONE})')}
   WHEN len(a.done) = 0 THEN {_ACC.format(intro="CASE WHEN a.intro = '' THEN x.text ELSE a.intro || ' ' || x.text END", done='a.done')}
   ELSE {_ACC.format(intro='a.intro', done="list_append(a.done[1:len(a.done) - 1], {'letter': a.done[-1].letter, 'text': a.done[-1].text || ' ' || x.text})")} END) AS f FROM asked_e),
-sub1_e AS (SELECT * EXCLUDE (ks, pkey, f, some, found, intro, good), found AND some AS found, CASE WHEN some THEN f.intro END AS intro, CASE WHEN found AND some THEN f.done ELSE [] END AS good FROM fold_e),
+sub1_e AS (SELECT * EXCLUDE (ks, pkey, f, any_e, found, intro, good), found AND any_e AS found, CASE WHEN any_e THEN f.intro END AS intro, CASE WHEN found AND any_e THEN f.done ELSE [] END AS good FROM fold_e),
 subs_e AS (SELECT doc_id, pos, x.letter AS letter, i, x.text AS text FROM (SELECT doc_id, pos, unnest(good) AS x, generate_subscripts(good, 1) AS i FROM sub1_e)),
 {_CHAIN},
 have AS (SELECT doc_id, list(q_key) AS ks, max(CASE WHEN length({_STRIP.format('text[1:30]')}) >= 10 THEN CASE WHEN strpos(body, {_STRIP.format('text[1:30]')}) > 0 THEN strpos(body, {_STRIP.format('text[1:30]')}) - 1 + length(text) ELSE 0 END ELSE 0 END) AS used, any_value(body) AS body
