@@ -32,7 +32,9 @@ from .textnum import Texts, chunks, task_part
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BUCKETS = 16
 #: Input partitions whose documents make one slice of a bucket.
-SLICE_PARTS = 64
+SLICE_PARTS = 8
+#: Bytes of the items' terms (as counted, not as stored) up to which they are sent to every task; beyond, both sides are dealt by term.
+BROADCAST_BYTES = 32 << 20
 #: Pairs of an item and a document that one task sums, about.
 PAIRS_A_TASK = 2_000_000
 POSTING = "row_id long, doc_id long, n long, term string, tf long"
@@ -82,6 +84,12 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _sent(terms: DataFrame) -> DataFrame:
+    """The items' terms, marked to be broadcast where their size is known to be small."""
+    size = terms.agg(F.sum(F.octet_length("term") + 64).alias("bytes")).first().bytes or 0
+    return F.broadcast(terms) if size <= BROADCAST_BYTES else terms
+
+
 def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """Stored rows (POSTING, bucket) of ``docs(doc_id, text)``, of the given ``terms(term)`` or of all; sorted by term in a bucket.
 
@@ -90,8 +98,7 @@ def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(_postings, POSTING)
     if terms is not None:
-        # Spark broadcasts the asked terms where their size allows it
-        rows = rows.join(terms.select("term").distinct().withColumn("asked", F.lit(True)), "term", "left").where("asked or term is null").drop("asked")
+        rows = rows.join(_sent(terms.select("term").distinct().withColumn("asked", F.lit(True))), "term", "left").where("asked or term is null").drop("asked")
     rows = rows.select("row_id", "doc_id", "n", "term", "tf", F.coalesce(_bucket(F.col("term")), F.lit(-1)).alias("bucket"))
     rows = rows.withColumn("bucket", F.when(F.col("term").isNull(), -1).otherwise(F.col("bucket")))
     dealt = rows.repartition("bucket", F.floor(F.shiftright("row_id", 33) / SLICE_PARTS)).sortWithinPartitions("bucket", "term", "row_id")
@@ -118,7 +125,7 @@ def search(docs: DataFrame, items: DataFrame, most: int = 10) -> DataFrame:
     m = F.expr(f"cast(10 + floor((90 * cast(n as decimal(19, 0)) * {n_docs}BD) / {n_terms}BD) as bigint)" if wide else f"10 + (90 * n * {n_docs}L) div {n_terms}L")
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_docs * total.items // PAIRS_A_TASK))
     dealt = own.select("row_id", "doc_id", "term", "tf", m.alias("m")).repartition(tasks, "row_id")
-    match = dealt.join(weighed.select("item", "item_id", "term", "w"), "term")
+    match = dealt.join(_sent(weighed.select("item", "item_id", "term", "w")), "term")
     gain = F.expr("w * ((1000000000L * tf) div (1000 * tf + 8 * m))")
     scores = match.groupBy("row_id", "item").agg(F.sum(gain).alias("score"), F.first("doc_id").alias("doc_id"), F.first("item_id").alias("item_id")).where("score > 0")
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last(), "row_id"))
