@@ -30,6 +30,11 @@ def _keywords(c: str) -> str:
     return f"list_filter({_tokens(bare)}, lambda w: length(w) > 3 AND NOT list_contains({_list(STOP_WORDS)}, w))"
 
 
+def _noise(c: str) -> str:
+    letters, digits = (rf"len(regexp_extract_all(w, '\p{{{k}}}'))" for k in ("L", "Nd"))
+    return f"coalesce(len(list_filter({_tokens(c)}, lambda w: (length(w) >= 2 AND {letters} = 0) OR ({digits} > 0 AND {letters} > 0 AND {digits} >= {letters}))) / nullif(len({_tokens(c)}), 0), 0.0)"
+
+
 def _docs(expr: str, name: str) -> str:
     return f"SELECT doc_id, {expr} AS {name} FROM documents"
 
@@ -201,15 +206,99 @@ FILES = r"""files AS (SELECT conv_id AS doc_id, count(*) AS n_pages, CASE WHEN b
 
 _MISMATCH = "list_sum(list_transform(range(1, greatest(length(a.w), length(b.w)) + 1), lambda i: (a.w[i] <> b.w[i])::INT))"
 
+_FINAL = """round(greatest(0.0, least(1.0, greatest(base * 0.85 + coverage * 0.15, CASE WHEN hits >= 2 AND n_words > 5 THEN 0.35 WHEN hits >= 1 AND n_words > 5 THEN 0.15 ELSE 0.0 END, CASE WHEN n_words >= 8 AND es > 0.25 THEN 0.20 ELSE 0.0 END))), 12)"""
+
+
+def _vectors(words: str, name: str) -> str:
+    """name(t, v): counts of the trigrams of the marked words (t, w) of a CTE, in 256 places."""
+    place = "(961 * unicode(w[i]) + 31 * unicode(w[i + 1]) + unicode(w[i + 2])) % 256"
+    return f"""{name} AS MATERIALIZED (SELECT t, list_transform(range(0, 256), lambda p: coalesce(h[p], 0)::DOUBLE) AS v FROM (
+  SELECT t, histogram(place) AS h FROM (SELECT t, unnest(list_transform(range(1, length(w) - 1), lambda i: {place})) AS place FROM {words}) GROUP BY t))"""
+
+
+def _cosine(a: str, b: str) -> str:
+    return f"coalesce(list_cosine_similarity({a}, {b}), 0.0)"
+
+
+# scores of answers(answer_id, student, model)
+SCORED = f"""a_ AS (SELECT answer_id, replace(student, chr(10), ' ') AS s, replace(model, chr(10), ' ') AS m FROM answers),
+full_ AS MATERIALIZED (SELECT *, {_noise('s')} > 0.30 AS noisy FROM a_ WHERE coalesce(length(s), 0) > 0 AND coalesce(length(m), 0) > 0),
+mw AS (SELECT m, list_filter({_WORDS.format('m')}, lambda t: NOT list_contains({_list(STOP_WORDS)}, t)) AS w FROM (SELECT DISTINCT m FROM full_)),
+mc AS MATERIALIZED (SELECT DISTINCT m, unnest(CASE WHEN len(w) = 0 THEN [m] ELSE w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS concept FROM mw),
+st AS (SELECT answer_id, s, {_tokens('s')} AS w FROM full_),
+wins AS MATERIALIZED (SELECT DISTINCT answer_id, unnest(CASE WHEN len(w) <= 30 THEN [s] ELSE list_transform(range(1, len(w) - 4, 3), lambda i: array_to_string(w[i:i + 5], ' ')) || CASE WHEN len(w) % 3 <> 0 THEN [array_to_string(w[len(w) - 5:], ' ')] ELSE [] END END) AS win FROM st),
+texts_ AS (SELECT concept AS t FROM mc UNION SELECT win FROM wins UNION SELECT s FROM full_ UNION SELECT m FROM full_),
+tw AS (SELECT t, '^' || unnest({_tokens('lower(t)')}) || '$' AS w FROM texts_),
+{_vectors('tw', 'tv')},
+cm AS (SELECT mc.m, concept, {_cosine('a.v', 'b.v')} AS sim FROM mc LEFT JOIN tv a ON a.t = concept LEFT JOIN tv b ON b.t = mc.m),
+top_ AS MATERIALIZED (SELECT m, concept, row_number() OVER (PARTITION BY m ORDER BY round(sim, 9) DESC, concept) AS rank FROM cm QUALIFY rank <= 8),
+asked_ AS MATERIALIZED (SELECT f.answer_id, f.s, f.noisy, rank, concept FROM full_ f JOIN top_ USING (m)),
+near_ AS (SELECT q.answer_id, q.rank, max({_cosine('a.v', 'b.v')}) AS best FROM asked_ q JOIN wins w USING (answer_id) LEFT JOIN tv a ON a.t = q.concept LEFT JOIN tv b ON b.t = w.win GROUP BY ALL),
+sk AS MATERIALIZED (SELECT DISTINCT answer_id, unnest({_keywords('s')}) AS word FROM full_),
+ck AS MATERIALIZED (SELECT DISTINCT answer_id, rank, unnest({_keywords('concept')}) AS target FROM asked_),
+mk AS MATERIALIZED (SELECT answer_id, s, unnest(range(1, len(k) + 1)) AS i, unnest(k) AS target FROM (SELECT answer_id, s, list_filter({_keywords('m')}, lambda k: length(k) > 5) AS k FROM full_)),
+fz AS MATERIALIZED (SELECT a.w AS target, b.w AS word FROM (SELECT DISTINCT target AS w FROM (SELECT target FROM ck UNION SELECT target FROM mk)) a JOIN (SELECT DISTINCT word AS w FROM sk) b ON a.w[1] = b.w[1] AND abs(length(a.w) - length(b.w)) <= 2 AND length(a.w) >= 4
+  WHERE {_MISMATCH} <= CASE WHEN length(a.w) <= 5 THEN 1 ELSE 2 END),
+cf AS (SELECT DISTINCT ck.answer_id, rank FROM ck JOIN fz USING (target) JOIN sk ON sk.answer_id = ck.answer_id AND sk.word = fz.word),
+mf AS (SELECT DISTINCT mk.answer_id, i FROM mk JOIN fz USING (target) JOIN sk ON sk.answer_id = mk.answer_id AND sk.word = fz.word),
+resc AS (SELECT answer_id, count(*) FILTER (contains(lower(s), target) OR mf.i IS NOT NULL) AS hits FROM mk LEFT JOIN mf USING (answer_id, i) GROUP BY answer_id),
+hit_ AS (SELECT q.answer_id, q.rank, q.concept, coalesce(best, 0) > CASE WHEN noisy THEN 0.40 ELSE 0.55 END OR contains(lower(s), lower(concept)) OR cf.rank IS NOT NULL AS hit FROM asked_ q LEFT JOIN near_ n USING (answer_id, rank) LEFT JOIN cf USING (answer_id, rank)),
+cov AS (SELECT answer_id, count(*) FILTER (hit) / count(*) AS coverage, coalesce(list(concept ORDER BY rank) FILTER (NOT hit), []) AS missing FROM hit_ GROUP BY 1),
+sm AS (SELECT f.answer_id, noisy, {_cosine('a.v', 'b.v')} AS similarity, len({_tokens('f.s')}) AS n_words, coalesce(hits, 0) AS hits, coverage, missing
+  FROM full_ f JOIN cov USING (answer_id) LEFT JOIN resc USING (answer_id) LEFT JOIN tv a ON a.t = f.s LEFT JOIN tv b ON b.t = f.m),
+se AS (SELECT *, CASE WHEN noisy THEN similarity * 1.15 ELSE similarity END AS es FROM sm),
+sb AS (SELECT *, CASE WHEN es >= 0.55 THEN 1.0 WHEN es >= 0.40 THEN 0.70 + 0.30 * ((es - 0.40) / 0.15) WHEN es >= 0.20 THEN 0.25 + 0.45 * ((es - 0.20) / 0.20) ELSE 0.0 END AS base FROM se),
+sf AS (SELECT *, {_FINAL} AS final FROM sb),
+scored AS (SELECT answer_id, round_even(final * 10, 1) AS score, round_even(similarity, 2) AS similarity, round_even(coverage, 2) AS coverage,
+  CASE WHEN final >= 0.85 THEN 'Excellent understanding of the concept.' WHEN final >= 0.60 THEN 'Good conceptual grasp, but slightly brief or missing some details.' WHEN final >= 0.35 THEN 'Partial understanding shown.' ELSE 'Incorrect or insufficient concept.' END
+  || CASE WHEN final < 0.85 AND len(missing) > 0 THEN ' Consider adding details like: ' || array_to_string(list_transform(missing[1:2], lambda c: chr(39) || c || chr(39)), ', ') || '.' ELSE '' END AS feedback FROM sf)"""
+
+
+def _greedy(pairs: str) -> str:
+    """keys and served: the greedy assignment of a CTE (exam, m_key, s_key, ord, sim), one model key of each exam a round."""
+    return f"""keys_g AS MATERIALIZED (SELECT exam, m_key, row_number() OVER (PARTITION BY exam ORDER BY m_key) AS no FROM (SELECT DISTINCT exam, m_key FROM {pairs})),
+served(exam, no, m_key, s_key, used) AS (
+  SELECT DISTINCT exam, 0::BIGINT, NULL::VARCHAR, NULL::VARCHAR, []::VARCHAR[] FROM keys_g
+  UNION ALL
+  SELECT exam, no + 1, mk, best, CASE WHEN best IS NULL THEN used ELSE list_append(used, best) END FROM (
+    SELECT r.exam, r.no, any_value(k.m_key) AS mk, any_value(r.used) AS used, arg_max(p.s_key, (p.sim, -p.ord)) FILTER (p.sim > 0.2 AND NOT list_contains(r.used, p.s_key)) AS best
+    FROM served r JOIN keys_g k ON k.exam = r.exam AND k.no = r.no + 1 JOIN {pairs} p ON p.exam = k.exam AND p.m_key = k.m_key GROUP BY r.exam, r.no))"""
+
+
+GRADED = f"""{NUMBERED},
+gs AS MATERIALIZED (SELECT s.doc_id AS exam_id, s.q_key, coalesce(o.ord, 2000000000) AS ord, s.text FROM segments s LEFT JOIN merged o ON o.doc_id = s.doc_id AND o.q_key = s.q_key),
+gm AS MATERIALIZED (SELECT conv_id AS exam_id, ((turn * 5) % 9 + 1)::VARCHAR AS q_key, string_agg(text, ' ' ORDER BY turn, text) AS text FROM conversations WHERE role = 'assistant' GROUP BY ALL),
+gd AS (SELECT exam_id, greatest(1, round_even(50 / CASE WHEN bool_or(q_key = '1') THEN 1 ELSE count(*) END, 0)::INT) AS default_marks FROM gm GROUP BY 1),
+people AS (SELECT DISTINCT exam_id FROM gs),
+gx AS MATERIALIZED (SELECT m.exam_id, m.q_key AS m_key, s.q_key AS s_key FROM gm m JOIN gs s USING (exam_id, q_key)),
+gp AS MATERIALIZED (SELECT m.exam_id, m.q_key AS m_key, s.q_key AS s_key, s.text FROM gm m JOIN gs s ON s.exam_id = m.exam_id AND regexp_extract(s.q_key, '^\\d+') = m.q_key AND s.q_key <> m.q_key
+  WHERE NOT EXISTS (FROM gx x WHERE x.exam_id = m.exam_id AND x.m_key = m.q_key) AND NOT EXISTS (FROM gx x WHERE x.exam_id = s.exam_id AND x.s_key = s.q_key)),
+used_ AS (SELECT exam_id, m_key, s_key FROM gx UNION ALL SELECT exam_id, m_key, s_key FROM gp),
+om AS (SELECT m.exam_id, q_key AS m_key, text[1:500] AS t FROM gm m JOIN people USING (exam_id) WHERE NOT EXISTS (FROM used_ x WHERE x.exam_id = m.exam_id AND x.m_key = q_key)),
+os AS (SELECT exam_id, q_key AS s_key, ord, text[1:500] AS t FROM gs WHERE length(trim(text)) >= 10 AND NOT EXISTS (FROM used_ x WHERE x.exam_id = gs.exam_id AND x.s_key = gs.q_key)),
+ow AS (SELECT t, '^' || unnest({_tokens('lower(t)')}) || '$' AS w FROM (SELECT t FROM om UNION SELECT t FROM os)),
+{_vectors('ow', 'ov')},
+gpairs AS MATERIALIZED (SELECT m.exam_id AS exam, m.m_key, s.s_key, s.ord, round({_cosine('a.v', 'b.v')}, 9) AS sim FROM om m JOIN os s USING (exam_id) LEFT JOIN ov a ON a.t = m.t LEFT JOIN ov b ON b.t = s.t),
+{_greedy('gpairs')},
+given AS (SELECT x.exam_id, x.m_key, s.text, '' AS note FROM gx x JOIN gs s ON s.exam_id = x.exam_id AND s.q_key = x.s_key
+  UNION ALL SELECT v.exam, v.m_key, s.text, ' (matched to Q' || v.s_key || ')' FROM served v JOIN gs s ON s.exam_id = v.exam AND s.q_key = v.s_key
+  UNION ALL SELECT exam_id, m_key, string_agg(text, ' ' ORDER BY s_key), ' (aggregated from student Q' || string_agg(s_key, ', Q' ORDER BY s_key) || ')' FROM gp GROUP BY ALL),
+answers AS MATERIALIZED (SELECT g.exam_id || chr(1) || g.m_key AS answer_id, g.exam_id, g.m_key, note, g.text AS student, m.text AS model FROM given g JOIN gm m ON m.exam_id = g.exam_id AND m.q_key = g.m_key),
+{SCORED},
+marked AS (SELECT m.exam_id, 1 AS student_id, m.q_key, CASE WHEN m.q_key = '1' THEN 5 ELSE default_marks END AS mm,
+  CASE WHEN a.answer_id IS NULL THEN 0.0 ELSE round_even(round_even(coalesce(score, 0.0), 1) / 10 * (CASE WHEN m.q_key = '1' THEN 5 ELSE default_marks END), 1) END AS sc,
+  CASE WHEN a.answer_id IS NULL THEN 'Not Attempted' ELSE coalesce(feedback, 'Empty answer') || note END AS feedback
+  FROM gm m JOIN people USING (exam_id) JOIN gd USING (exam_id) LEFT JOIN answers a ON a.exam_id = m.exam_id AND a.m_key = m.q_key LEFT JOIN scored USING (answer_id)),
+sums_ AS (SELECT *, sum(mm) OVER (PARTITION BY exam_id) AS possible FROM marked),
+grades AS (SELECT *, CASE WHEN possible <> 50 THEN 50 / possible END AS factor FROM sums_)"""
+
 ORACLES = {
     "clean_text": _docs(_clean(r"[^a-z0-9\s\-,.]", ""), "cleaned"),
     "clean_text_strict": _docs(_clean(r"[^a-z0-9\s]", ""), "cleaned"),
     "clean_ocr_alpha": _docs(_clean(r"[^a-z\s]", " "), "cleaned"),
     "tokenize_count": _docs(f"len({_tokens('text')})::INT", "n_tokens"),
     "keywords_simple": _docs(f"array_to_string({_keywords('text')}, ' ')", "keywords"),
-    "noise_ratio": _docs(
-        rf"round(coalesce(len(list_filter({_tokens('text')}, lambda w: (length(w) >= 2 AND len(regexp_extract_all(w, '\p{{L}}')) = 0) OR (len(regexp_extract_all(w, '\p{{Nd}}')) > 0 AND len(regexp_extract_all(w, '\p{{L}}')) > 0 AND len(regexp_extract_all(w, '\p{{Nd}}')) >= len(regexp_extract_all(w, '\p{{L}}'))))) / nullif(len({_tokens('text')}), 0), 0.0), 6)",
-        "noise"),
+    "noise_ratio": _docs(f"round({_noise('text')}, 6)", "noise"),
     "readable_words": _docs(_READABLE.format("text") + "::INT", "n_words"),
     "ocr_choice": f"""WITH e AS (SELECT doc_id, text AS a, regexp_replace(text, '[a-z]{{6,}}', '#', 'g') AS b FROM documents),
 n AS (SELECT *, {_READABLE.format('a')}::INT AS n_a, {_READABLE.format('b')}::INT AS n_b FROM e)
@@ -310,16 +399,15 @@ f AS (SELECT job_id, list_reduce(list_prepend({'step': NULL, 'status': 'idle', '
     ELSE {'step': s.step, 'status': s.status, 'message': s.message, 'total': s.total, 'n': s.n, 'bad': s.bad + 1} END) AS x FROM g)
 SELECT job_id, x.step AS step, x.status AS status, x.message AS message, x.n::BIGINT AS changes, x.bad::BIGINT AS ignored,
   CASE WHEN x.status = 'done' THEN 100.0 WHEN x.total > 0 THEN round(100.0 * coalesce(x.step, 0) / x.total, 1) ELSE 0.0 END AS percent FROM f""",
-    "greedy_semantic": """WITH RECURSIVE e AS (SELECT vec_id // 40 AS exam, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
-p AS MATERIALIZED (SELECT m.exam, m.vec_id::VARCHAR AS m_key, s.vec_id AS s, round(list_cosine_similarity(m.v, s.v), 9) AS sim FROM e m JOIN e s ON m.exam = s.exam AND m.vec_id % 2 = 1 AND s.vec_id % 2 = 0),
-k AS MATERIALIZED (SELECT exam, m_key, row_number() OVER (PARTITION BY exam ORDER BY m_key) AS no FROM (SELECT DISTINCT exam, m_key FROM p)),
-served(exam, no, m_key, s, used) AS (
-  SELECT DISTINCT exam, 0::BIGINT, NULL::VARCHAR, NULL::BIGINT, []::BIGINT[] FROM k
-  UNION ALL
-  SELECT exam, no + 1, mk, best, CASE WHEN best IS NULL THEN used ELSE list_append(used, best) END FROM (
-    SELECT r.exam, r.no, any_value(k.m_key) AS mk, any_value(r.used) AS used, arg_max(p.s, (p.sim, -p.s)) FILTER (p.sim > 0.2 AND NOT list_contains(r.used, p.s)) AS best
-    FROM served r JOIN k ON k.exam = r.exam AND k.no = r.no + 1 JOIN p ON p.exam = k.exam AND p.m_key = k.m_key GROUP BY r.exam, r.no))
-SELECT exam AS exam_id, 1 AS student_id, m_key, s::VARCHAR AS s_key FROM served WHERE s IS NOT NULL""",
+    "answer_scores": f"""WITH {PAIRS}, answers AS (SELECT pair_id AS answer_id, student, model FROM pairs), {SCORED}
+SELECT a.answer_id, coalesce(score, 0.0) AS score, coalesce(feedback, 'Empty answer') AS feedback, similarity, coverage FROM answers a LEFT JOIN scored USING (answer_id)""",
+    "grade_rows": f"""WITH RECURSIVE {GRADED} SELECT exam_id, student_id, q_key, CASE WHEN factor IS NULL THEN sc ELSE round_even(round(sc * factor, 6), 1) END AS score,
+CASE WHEN factor IS NULL THEN mm ELSE round_even(round(mm * factor, 6), 0)::INT END AS max_marks, true AS selected, feedback FROM grades""",
+    "grade_totals": f"""WITH RECURSIVE {GRADED} SELECT exam_id, student_id, round(sum(sc), 6) AS obtained, any_value(possible)::BIGINT AS possible,
+CASE WHEN any_value(possible) <> 50 THEN round_even(round(sum(sc) * 50 / any_value(possible), 6), 1) ELSE round_even(round(sum(sc), 6), 1) END AS total_score, 50::BIGINT AS max_score FROM grades GROUP BY 1, 2""",
+    "greedy_semantic": f"""WITH RECURSIVE e AS (SELECT vec_id // 40 AS exam, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+p AS MATERIALIZED (SELECT m.exam, m.vec_id::VARCHAR AS m_key, s.vec_id::VARCHAR AS s_key, s.vec_id AS ord, round(list_cosine_similarity(m.v, s.v), 9) AS sim FROM e m JOIN e s ON m.exam = s.exam AND m.vec_id % 2 = 1 AND s.vec_id % 2 = 0),
+{_greedy('p')} SELECT exam AS exam_id, 1 AS student_id, m_key, s_key FROM served WHERE s_key IS NOT NULL""",
     "page_count": "SELECT conv_id AS doc_id, count(*) AS n_pages FROM conversations GROUP BY 1",
     "term_recovery": None,
 }

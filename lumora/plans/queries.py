@@ -320,7 +320,7 @@ def _grade_tables(spark, d):
     """Sheets of numbered texts as students of an exam, whose model answers are a conversation's replies."""
     texts = segment.segment(t.numbered_texts(spark, d))
     c = t.read(spark, d, "conversations").where("role = 'assistant'")
-    models = c.groupBy(F.col("conv_id").alias("exam_id"), ((F.col("turn") * 5) % 9 + 1).cast("string").alias("q_key")).agg(F.max("text").alias("text"))
+    models = c.groupBy(F.col("conv_id").alias("exam_id"), ((F.col("turn") * 5) % 9 + 1).cast("string").alias("q_key")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("turn", "text")))), lambda x: x["text"]), " ").alias("text"))
     students = texts.select(F.col("doc_id").alias("exam_id"), F.lit(1).alias("student_id"), "q_key", "ord", "text")
     exams = models.groupBy("exam_id").agg(F.lit(50).alias("total_marks"))
     rubric = models.select("exam_id", "q_key", F.lit(5).alias("max_marks"), F.lit("mandatory").alias("q_type"), F.col("q_key").alias("group_id")).where("q_key = '1'")
