@@ -43,21 +43,23 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", broa
     Returns page_id, host, path, rule, verdict, n_hits (rules that fit). Null or malformed URLs have an empty host and path
     and get ``default``; so does a URL that no rule fits. A rule with an empty host never fits (no expression is empty).
     """
-    # the rule set is the small side by nature; its distinct path lengths bound the expansion
+    # the rule set is the small side by nature; its distinct path lengths and numbers of host labels bound the expansion
     slash = F.instr("rule", "/")
     rules = rules.where(F.col("rule").isNotNull()).select(
         "rule", F.coalesce("verdict", F.lit("block")).alias("rule_verdict"),
-        F.when(slash > 0, F.length("rule") - slash + 1).otherwise(0).alias("path_len"), F.sha2("rule", 256).alias("digest"))
-    stats = rules.agg(F.count("*").alias("n"), F.collect_set("path_len").alias("lengths")).first()
-    small, lengths = stats.n <= broadcast_rules, sorted(stats.lengths)
+        F.when(slash > 0, F.length("rule") - slash + 1).otherwise(0).alias("path_len"),
+        F.size(F.split(F.substring_index("rule", "/", 1), r"\.", -1)).alias("labels"), F.sha2("rule", 256).alias("digest"))
+    stats = rules.agg(F.count("*").alias("n"), F.collect_set("path_len").alias("lengths"), F.collect_set("labels").alias("labels")).first()
+    small, lengths, counts = stats.n <= broadcast_rules, sorted(stats.lengths), sorted(stats.labels)
     rules = rules.select("digest", "rule_verdict", F.substring("digest", 1, PREFIX_HEX).alias("prefix"))
 
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    n_labels = F.length("host") - F.length(F.translate("host", ".", "")) + 1
+    fitting = F.filter(F.lit(counts).cast("array<int>") if counts else F.array().cast("array<int>"), lambda k: k <= n_labels)
+    suffixes = F.transform(fitting, lambda k: F.call_function("substring_index", F.col("host"), F.lit("."), -k))
     wanted = F.filter(F.lit(lengths).cast("array<int>") if lengths else F.array().cast("array<int>"), lambda n: n <= F.length("path"))
     prefixes = F.transform(wanted, lambda n: F.substring(F.col("path"), F.lit(1), n))
     rows = pages.select(F.col("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("row", F.monotonically_increasing_id())
-    exprs = rows.withColumn("suffix", F.explode(suffixes)).withColumn("expr", F.explode_outer(F.transform(prefixes, lambda p: F.concat("suffix", p))))
+    exprs = rows.withColumn("suffix", F.explode_outer(suffixes)).withColumn("expr", F.explode_outer(F.transform(prefixes, lambda p: F.concat("suffix", p))))
     exprs = exprs.withColumn("sha", F.sha2("expr", 256)).withColumn("prefix", F.substring("sha", 1, PREFIX_HEX))
     if small:
         hits = exprs.join(F.broadcast(rules), "prefix", "left")

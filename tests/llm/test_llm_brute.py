@@ -49,6 +49,19 @@ def test_urls_without_rules_and_odd_rows(spark):
     assert url_filter.filter_urls(pages.where("false"), url_filter.rule_table(spark, url_filter.RULES)).count() == 0
 
 
+def test_urls_of_many_labels(spark):
+    """Hosts of tens of thousands of labels, and of fewer labels than some rule has, in time that grows with the host."""
+    import time
+
+    long = "a." * 50_000
+    rows = [(1, f"http://{long}net/x"), (2, f"http://{long}example.net/en/y"), (3, "http://net/z"), (4, f"http://{long}org"), (5, "http://example.net.")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    began = time.time()
+    got = {r.page_id: (r.rule, r.verdict, r.n_hits) for r in url_filter.filter_urls(pages, url_filter.rule_table(spark, url_filter.RULES)).collect()}
+    assert got == {1: ("net/", "block", 1), 2: ("example.net/en/", "allow", 2), 3: ("net/", "block", 1), 4: (None, "allow", 0), 5: (None, "allow", 0)}
+    assert time.time() - began < 20
+
+
 # 2
 def fill(sizes):
     """Targets by weight, with caps at three times, the rest shared again until none is above."""
