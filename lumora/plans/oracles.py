@@ -208,12 +208,13 @@ _MISMATCH = "list_sum(list_transform(range(1, greatest(length(a.w), length(b.w))
 
 _FINAL = """round(greatest(0.0, least(1.0, greatest(base * 0.85 + coverage * 0.15, CASE WHEN hits >= 2 AND n_words > 5 THEN 0.35 WHEN hits >= 1 AND n_words > 5 THEN 0.15 ELSE 0.0 END, CASE WHEN n_words >= 8 AND es > 0.25 THEN 0.20 ELSE 0.0 END))), 12)"""
 
+_PLACE = "(961 * unicode(w[i]) + 31 * unicode(w[i + 1]) + unicode(w[i + 2])) % 256"
+
 
 def _vectors(words: str, name: str) -> str:
     """name(t, v): counts of the trigrams of the marked words (t, w) of a CTE, in 256 places."""
-    place = "(961 * unicode(w[i]) + 31 * unicode(w[i + 1]) + unicode(w[i + 2])) % 256"
     return f"""{name} AS MATERIALIZED (SELECT t, list_transform(range(0, 256), lambda p: coalesce(h[p], 0)::DOUBLE) AS v FROM (
-  SELECT t, histogram(place) AS h FROM (SELECT t, unnest(list_transform(range(1, length(w) - 1), lambda i: {place})) AS place FROM {words}) GROUP BY t))"""
+  SELECT t, histogram(place) AS h FROM (SELECT t, unnest(list_transform(range(1, length(w) - 1), lambda i: {_PLACE})) AS place FROM {words}) GROUP BY t))"""
 
 
 def _cosine(a: str, b: str) -> str:
@@ -229,10 +230,15 @@ st AS (SELECT answer_id, s, {_tokens('s')} AS w FROM full_),
 wins AS MATERIALIZED (SELECT DISTINCT answer_id, unnest(CASE WHEN len(w) <= 30 THEN [s] ELSE list_transform(range(1, len(w) - 4, 3), lambda i: array_to_string(w[i:i + 5], ' ')) || CASE WHEN len(w) % 3 <> 0 THEN [array_to_string(w[len(w) - 5:], ' ')] ELSE [] END END) AS win FROM st),
 texts_ AS (SELECT concept AS t FROM mc UNION SELECT win FROM wins UNION SELECT s FROM full_ UNION SELECT m FROM full_),
 tw AS (SELECT t, '^' || unnest({_tokens('lower(t)')}) || '$' AS w FROM texts_),
-{_vectors('tw', 'tv')},
-cm AS (SELECT mc.m, concept, {_cosine('a.v', 'b.v')} AS sim FROM mc LEFT JOIN tv a ON a.t = concept LEFT JOIN tv b ON b.t = mc.m),
+tc AS MATERIALIZED (SELECT t, place, count(*) AS n FROM (SELECT t, unnest(list_transform(range(1, length(w) - 1), lambda i: {_PLACE})) AS place FROM tw) GROUP BY ALL),
+tn AS MATERIALIZED (SELECT t, sqrt(sum(n * n)::DOUBLE) AS norm FROM tc GROUP BY t),
+cx AS MATERIALIZED (SELECT m, concept, place, n FROM mc JOIN tc ON tc.t = concept),
+cd AS MATERIALIZED (SELECT cx.m, concept, sum(cx.n * y.n)::DOUBLE AS dots FROM cx JOIN tc y ON y.t = cx.m AND y.place = cx.place GROUP BY ALL),
+cm AS (SELECT mc.m, mc.concept, coalesce(dots / (a.norm * b.norm), 0.0) AS sim FROM mc LEFT JOIN cd ON cd.m = mc.m AND cd.concept = mc.concept LEFT JOIN tn a ON a.t = mc.concept LEFT JOIN tn b ON b.t = mc.m),
 top_ AS MATERIALIZED (SELECT m, concept, row_number() OVER (PARTITION BY m ORDER BY round(sim, 9) DESC, concept) AS rank FROM cm QUALIFY rank <= 8),
 asked_ AS MATERIALIZED (SELECT f.answer_id, f.s, f.noisy, rank, concept FROM full_ f JOIN top_ USING (m)),
+vw AS (SELECT t, w FROM tw WHERE t IN (SELECT concept FROM top_ UNION SELECT win FROM wins UNION SELECT s FROM full_ UNION SELECT m FROM full_)),
+{_vectors('vw', 'tv')},
 near_ AS (SELECT q.answer_id, q.rank, max({_cosine('a.v', 'b.v')}) AS best FROM asked_ q JOIN wins w USING (answer_id) LEFT JOIN tv a ON a.t = q.concept LEFT JOIN tv b ON b.t = w.win GROUP BY ALL),
 sk AS MATERIALIZED (SELECT DISTINCT answer_id, unnest({_keywords('s')}) AS word FROM full_),
 ck AS MATERIALIZED (SELECT DISTINCT answer_id, rank, unnest({_keywords('concept')}) AS target FROM asked_),
