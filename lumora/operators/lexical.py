@@ -33,20 +33,22 @@ def overlap_candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
     A prefix filter. An item's words are ordered from the rarest. The documents that hold most of the first four are compared
     first; the best of them shares b words. Any document that shares b words must hold one of all but the b - 1 most frequent,
     and have b words itself, so only those meet the item. All texts are cut into words once; of what they hold only the items'
-    words are stored, and the texts themselves are read again for the pairs that met.
+    words are stored.
     """
-    i = items.select("item_id", overlap_words(F.col("text")).alias("words"))
+    i = stored(items.select("item_id", overlap_words(F.col("text")).alias("words")), "overlap-items")
     asked = i.select("item_id", F.size("words").alias("n_model"), F.explode("words").alias("word"))
-    held = docs.select("doc_id", overlap_words(F.col("text")).alias("words")).select("doc_id", F.size("words").alias("n_doc"), F.explode("words").alias("word"))
-    held = stored(held.join(asked.select("word").distinct(), "word", "left_semi"), "overlap-words")
+    spread = docs.select("doc_id", overlap_words(F.col("text")).alias("words")).select("doc_id", F.size("words").alias("n_doc"), F.explode("words").alias("word"))
+    known = spread.join(asked.select("word").distinct(), "word", "left_semi")
+    d = stored(known.groupBy("doc_id", "n_doc").agg(F.collect_list("word").alias("of_doc")), "overlap-words")
+    held = d.select("doc_id", "n_doc", F.explode("of_doc").alias("word"))
     df = held.groupBy("word").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy("df", "word"))
     # words that no document holds cannot be shared
     ranked = stored(asked.join(df, "word").withColumn("rank", rank).withColumn("n_held", F.count("*").over(Window.partitionBy("item_id"))), "overlap-ranks")
 
     def compared(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(docs.select("doc_id", "text"), "doc_id").join(i.select("item_id", "words"), "item_id")
-        return both.select("doc_id", "item_id", "n_model", F.size(F.array_intersect(overlap_words(F.col("text")), "words")).alias("n_common"))
+        both = pairs.join(d.select("doc_id", "of_doc"), "doc_id").join(i.select("item_id", "words"), "item_id")
+        return both.select("doc_id", "item_id", "n_model", F.size(F.array_intersect("of_doc", "words")).alias("n_common"))
 
     first = held.join(ranked.where(F.col("rank") <= FIRST_WORDS), "word").groupBy("item_id", "n_model", "doc_id").agg(F.count("*").alias("hits"))
     few = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("hits"), "doc_id"))
