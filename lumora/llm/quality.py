@@ -1,7 +1,7 @@
 """Quality rules: how much of a text lies inside n-grams and lines that the text repeats.
 
 Words are hashed with one running sum over the bytes; n-grams of several lengths are rolled over the word hashes in numpy;
-equal hashes of one text are found by sorting. The measures of a text:
+equal hashes of one text are found by sorting, and lines of equal hashes are compared by their bytes. The measures of a text:
 
 * base: word_chars, n_symbols, n_dup_lines, n_repeat_words (3-word windows), base_failed;
 * dup_gram_chars_N: share of word_chars in N-word windows that the text holds twice or more (first included);
@@ -64,10 +64,7 @@ def measures(t: Texts) -> dict[str, np.ndarray]:
     has = w1 > w0
     line_start, line_end, w0, w1 = line_start[has], line_end[has], w0[has], w1[has]
     doc = t.word_doc[w0]
-    h = t.hash.of(line_start, line_end) + salt[doc]
-    order = np.argsort(h, kind="stable")
-    later = np.zeros(len(h), bool)
-    later[order[1:]] = h[order[1:]] == h[order[:-1]]
+    later = t.equals_earlier(line_start, line_end, doc)
     sums = np.zeros(len(points) + 1, np.int64)
     np.cumsum(points, out=sums[1:])
     line_chars = sums[w1] - sums[w0]

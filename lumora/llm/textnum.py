@@ -1,12 +1,15 @@
 """Texts as numpy arrays: bytes, words and their hashes, for a few megabytes of rows at a time.
 
 Hashes are polynomials modulo 2**64 over a random value per byte, taken as differences of one running sum and then mixed.
-Their constants are fixed, so all workers and reruns agree.
+Their constants are fixed, so all workers and reruns agree. Such polynomials meet for some pairs of unequal strings, whatever
+the base: from 1024 bytes on, a Thue-Morse string and its complement. So words over LONG_WORD bytes have digests of their bytes
+instead, and lines are compared by bytes where their hashes meet (``equals_earlier``).
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -24,6 +27,8 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 #: Bytes of text that are turned into arrays at once (a longer text is taken alone); about 50 bytes of memory each.
 CHUNK_BYTES = 2 << 20
+#: Bytes of the longest words with hashes from running sums.
+LONG_WORD = 64
 
 _powers = {}
 
@@ -107,7 +112,21 @@ class Texts:
 
     @cached_property
     def word_hash(self) -> np.ndarray:
-        return self.hash.of(*self.words)
+        starts, ends = self.words
+        out = self.hash.of(starts, ends)
+        for i in np.flatnonzero(ends - starts > LONG_WORD):
+            out[i] = int.from_bytes(hashlib.blake2b(self.data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+        return out
+
+    def equals_earlier(self, starts: np.ndarray, ends: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Which slices equal an earlier one of their text, by bytes; only slices whose hashes meet are looked at."""
+        salt = mix(np.arange(1, self.n + 1, dtype=np.uint64))
+        out, seen = np.zeros(len(starts), bool), set()
+        for i in np.flatnonzero(repeated(self.hash.of(starts, ends) + salt[docs])):
+            key = (int(docs[i]), self.data[starts[i] : ends[i]].tobytes())
+            out[i] = key in seen
+            seen.add(key)
+        return out
 
     @cached_property
     def points_before(self) -> np.ndarray:

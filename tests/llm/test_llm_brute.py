@@ -328,6 +328,42 @@ def test_quality_counts(docs, texts):
 
 
 # 10
+
+
+def thue_morse(n, a="a", b="b"):
+    """The Thue-Morse string of 2**n letters; with a and b exchanged, its complement."""
+    return "".join(b if i.bit_count() % 2 else a for i in range(1 << n))
+
+
+@pytest.mark.parametrize("n", [9, 10, 11, 13])
+def test_unequal_strings_whose_polynomials_meet(spark, tmp_path, n):
+    """A Thue-Morse string and its complement are other lines, other words and other texts, though their running hashes meet."""
+    one, two, rest = thue_morse(n), thue_morse(n, "b", "a"), " ".join(f"w{i}" for i in range(60))
+    lines = [one, two, one + " x", two + " x", one]
+    grams = f"p {one} q r p {two} q s p {one} q"
+    rows = [(1, "\n".join(lines)), (2, grams), (3, f"{rest} {one}"), (4, f"{rest} {two}"), (5, one), (6, two)]
+    docs = table_of(spark, tmp_path, rows)
+    got = {r.doc_id: r for r in quality.quality(docs).collect()}
+    assert got[1].n_dup_lines == 1
+    assert got[2].n_repeat_words == 6
+    texts = dict(rows)
+    for r in suffix_dedup.repeated_suffixes(docs).collect():
+        assert r.n_removed == sum(removed_bytes(texts)[r.doc_id]), r.doc_id
+
+
+def removed_bytes(texts, length=400):
+    """By text, which bytes a string covers that starts anywhere else too."""
+    count = Counter(s[i : i + length] for s in texts.values() for i in range(len(s) - length + 1))
+    out = {}
+    for k, s in texts.items():
+        gone = [False] * len(s)
+        for i in range(len(s) - length + 1):
+            if count[s[i : i + length]] > 1:
+                gone[i : i + length] = [True] * length
+        out[k] = gone
+    return out
+
+
 def classes_of(rows):
     """Smallest id of each class by all pairs."""
     words = {i: WORD.findall(t) for i, t in rows.items()}
