@@ -154,10 +154,39 @@ def test_leaks_against_all_windows(spark, docs, texts, tmp_path):
     got = {(r.doc_id, r.item_id): r.lcs for r in decontam.leaks(d, spark.read.parquet(f"{D}/benchmark.parquet")).collect()}
     assert set(got) <= set(want) and sum(k in got for k in want) >= 0.9 * len(want) and len(want) > 60
     assert all(math.isclose(v, want[k]) for k, v in got.items())
+    # by latent cosine alone, without the completion by words
+    alone = {(r.doc_id, r.item_id) for r in decontam.leaks(d, spark.read.parquet(f"{D}/benchmark.parquet"), complete=False).collect()}
+    assert alone <= set(got) and len(alone) >= 0.9 * len(want)
     kept = {r.doc_id for r in decontam.without_leaks(d, spark.read.parquet(f"{D}/benchmark.parquet")).collect()}
     assert kept == set(rows) - {k[0] for k in got}
 
 
+def test_cosine_drops_most_windows(spark, docs, texts):
+    """Of all pairs of a window and an item few are candidates of the latent search."""
+    s = next(decontam.searchers(docs, spark.read.parquet(f"{D}/benchmark.parquet")))
+    t = decontam.normalised(decontam.Texts(pa.array(list(texts.values()), pa.string())))
+    at, term = s.items.term_of(t.word_hash)
+    begin = t.word_offsets[t.word_doc[at]]
+    starts = np.unique(begin + (at - begin) // 16 * 16)
+    near = pairs = 0
+    for k in range(len(s.known)):
+        for w0 in starts[::5].tolist():
+            w1 = min(w0 + 16 * int(s.blocks[k]), int(t.word_offsets[np.searchsorted(t.word_offsets, w0, "right")]))
+            lo, hi = np.searchsorted(at, [w0, w1])
+            x = s.basis[term[lo:hi]].sum(0)
+            near += x @ s.unit[k] >= decontam.COSINE * np.linalg.norm(x)
+            pairs += 1
+    assert pairs > 1000 and near < 0.15 * pairs
+
+
+def test_copies_among_repeats_of_a_term(spark, tmp_path):
+    """A whole item between many repeats of one of its terms has a low cosine; the completion finds it."""
+    item = " ".join(f"term{i}" for i in range(15))
+    rows = [(1, "term3 " * 40 + item + " term3" * 40), (2, "term3 " * 90), (3, item)] + [(10 + i, f"other words {i} here") for i in range(30)]
+    d, b = table_of(spark, tmp_path, rows), spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert {r.doc_id for r in decontam.leaks(d, b).collect()} == {1, 3}
+
+
 def test_leaks_of_odd_rows(spark, tmp_path):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
     lost = " ".join(w for i, w in enumerate(item.split()) if i not in (3, 7, 12, 16))
