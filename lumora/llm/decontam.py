@@ -33,13 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import drop, stored
 from .textnum import Texts, chunks
 
 PASSAGE, BLOCK, STRETCH = 32, 16, 1.5
 RANK, OVERSAMPLE, POWER_ROUNDS = 128, 32, 2
 COSINE = 0.3
 #: Cosines from running sums are taken for candidates from this much below COSINE; the exact one of the window decides.
-SLACK = 1e-3
+SLACK = 5e-3
 #: Terms in more than this share of the texts are counted as common ones.
 COMMON = 0.2
 SURE, PARAPHRASE, ANSWER = 0.8, 0.6, 0.6
@@ -47,8 +48,8 @@ MIN_WORDS = 5
 BLOCK_ITEMS, BLOCK_WORDS = 750, 40_000
 #: Cells of (word, item) or (window, item) that are held at once.
 CELLS = 4 << 20
-#: Blocks whose windows are looked up at once, windows whose vectors are held, and terms whose rows are.
-SLICE, WINDOWS, TERMS = 32_768, 8_192, 32_768
+#: Blocks whose windows are looked up at once: few, so that running sums in single precision are exact to well below SLACK.
+SLICE = 4_096
 SCHEMA = "doc_id long, item_id long, cosine double, lcs double, answer double, first_word long"
 
 _NORMAL = np.arange(256, dtype=np.uint8)
@@ -205,31 +206,19 @@ class Searcher:
         self.rare_least, self.rare_sure = (np.maximum(x - self.counts.sum(1), 0).astype(np.uint16) for x in (self.least, self.sure))
         self.words = [dict(zip(*(x.tolist() for x in np.unique(t, return_counts=True)), strict=True)) for t in own]
 
-    def block_sums(self, block: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
-        """Words of each item in the blocks before each of 0..n, modulo 2**16 (differences of it are far below that)."""
-        out = np.zeros((n + 1, self.holds.shape[1]), np.uint16)
+    def block_sums(self, block: np.ndarray, term: np.ndarray, n: int, rows: np.ndarray, small: type, sums: type) -> np.ndarray:
+        """Sums of the terms' rows in the blocks before each of 0..n; ``small`` holds the sum of one block."""
+        out = np.zeros((n + 1, rows.shape[1]), sums)
         first = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.empty(0, np.int64)
         size = np.diff(np.append(first, len(block)))
         # the first words of all blocks at once, then the second ones of those that have any, ...
         first = first[np.argsort(-size, kind="stable")]
-        held = np.zeros((len(first), out.shape[1]), np.uint8)
+        held = np.zeros((len(first), out.shape[1]), small)
         for j in range(int(size.max(initial=0))):
             m = int((size > j).sum())
-            held[:m] += self.holds.take(term[first[:m] + j], axis=0)
+            held[:m] += rows.take(term[first[:m] + j], axis=0)
         out[block[first] + 1] = held
-        return np.cumsum(out, axis=0, dtype=np.uint16)
-
-    def latent_sums(self, block: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
-        """The sum of the terms' rows of the space in the blocks before each of 0..n."""
-        out = np.zeros((n + 1, self.basis.shape[1]))
-        first = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.empty(0, np.int64)
-        ends = np.append(first[1:], len(block))
-        i = 0
-        while i < len(first):
-            j = max(i + 1, int(np.searchsorted(ends, first[i] + TERMS, "right")))
-            out[block[first[i:j]] + 1] = np.add.reduceat(self.basis[term[first[i] : ends[j - 1]]], first[i:j] - first[i], axis=0)
-            i = j
-        return np.cumsum(out, axis=0, out=out)
+        return np.cumsum(out, axis=0, dtype=sums, out=out)
 
     def search(self, t: Texts) -> list[tuple[int, int, float, float, float, int]]:
         """text, item, cosine, lcs, answer share, first word of the leaks in some texts."""
@@ -253,20 +242,21 @@ class Searcher:
         i, j = np.searchsorted(block, [a, top])
         block, own_term = block[i:j] - a, term[i:j]
         rare, n, width = self.column[own_term] < 0, top - a, self.counts.shape[1]
-        sums = self.block_sums(block[rare], own_term[rare], n)
+        # modulo 2**16: differences are far below that
+        sums = self.block_sums(block[rare], own_term[rare], n, self.holds, np.uint8, np.uint16)
+        latent = self.block_sums(block, own_term, n, self.basis, np.float32, np.float32)
         usual = np.zeros((n + 1, width), np.int32)
         usual[1:] = np.bincount(block[~rare] * width + self.column[own_term[~rare]], minlength=n * width).reshape(n, width)
         np.cumsum(usual, axis=0, out=usual)
-        latent = self.latent_sums(block, own_term, n)
         for k in np.unique(self.blocks):
             lo, hi = np.searchsorted(self.blocks, [k, k + 1])
-            step = min(WINDOWS, max(64, CELLS // (hi - lo)))
+            step = max(64, CELLS // (hi - lo))
             for s in range(0, b - a, step):
                 e = min(s + step, b - a)
                 at1 = np.minimum(np.arange(s, e) + k, last[a + s : a + e] - a)
-                window = (latent[at1] - latent[s:e]).astype(np.float32)
-                window /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-6)
-                near = window @ self.unit[lo:hi].T >= COSINE - SLACK
+                window = latent[at1] - latent[s:e]
+                length = np.sqrt(np.einsum("ij,ij->i", window, window))
+                near = window @ self.unit[lo:hi].T >= (COSINE - SLACK) * np.maximum(length, 1e-6)[:, None]
                 held = sums[at1, lo:hi] - sums[s:e, lo:hi]
                 look = near & (held >= self.rare_least[lo:hi])
                 if self.complete:
@@ -338,7 +328,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, complete: bool = True) -> DataF
     A very long text is one row of numpy arrays, looked through in slices.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = [rows.mapInArrow(_find(docs.sparkSession.sparkContext.broadcast(s)), SCHEMA) for s in searchers(docs, benchmark, complete)]
+    found = []
+    for s in searchers(docs, benchmark, complete):
+        # the hits of a block of items are a written table, so that its searcher can go before the next one is sent out
+        sent = docs.sparkSession.sparkContext.broadcast(s)
+        found.append(stored(rows.mapInArrow(_find(sent), SCHEMA), "leaks"))
+        sent.destroy()
     return reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], SCHEMA)
 
 
@@ -366,7 +361,14 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return keep
 
-    out = docs
+    out, sent, kept = docs, None, None
     for s in searchers(docs, benchmark):
-        out = out.mapInArrow(keep_with(docs.sparkSession.sparkContext.broadcast(s)), docs.schema)
+        if sent is not None:  # of several blocks of items: what the ones before keep is a written table, and their searcher goes
+            out, old = stored(out, "clean"), kept
+            sent.destroy()
+            kept = out
+            if old is not None:
+                drop(old)
+        sent = docs.sparkSession.sparkContext.broadcast(s)
+        out = out.mapInArrow(keep_with(sent), docs.schema)
     return out

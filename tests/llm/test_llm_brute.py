@@ -161,6 +161,16 @@ def test_leaks_against_all_windows(spark, docs, texts, tmp_path):
     assert kept == set(rows) - {k[0] for k in got}
 
 
+def test_leaks_of_several_blocks_of_items(spark, docs, monkeypatch):
+    """Items in small blocks: each has a space of its own, and together they find the leaks of one block."""
+    items = spark.read.parquet(f"{D}/benchmark.parquet")
+    whole = Counter((r.doc_id, r.item_id, r.lcs) for r in decontam.leaks(docs, items).collect())
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 9)
+    assert items.count() > 27 and Counter((r.doc_id, r.item_id, r.lcs) for r in decontam.leaks(docs, items).collect()) == whole
+    kept = sorted(r.doc_id for r in decontam.without_leaks(docs, items).collect())
+    assert kept == sorted(r.doc_id for r in docs.collect() if r.doc_id not in {k[0] for k in whole})
+
+
 def test_cosine_drops_most_windows(spark, docs, texts):
     """Of all pairs of a window and an item few are candidates of the latent search."""
     s = next(decontam.searchers(docs, spark.read.parquet(f"{D}/benchmark.parquet")))
