@@ -426,9 +426,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows are known by their place in the scan; an error is raised if a later scan has another text there.
     """
-    _, by_text = classes(docs)
+    ids, by_text = classes(docs)
     row, tid = f"row_{(name := uuid.uuid4().hex)}", f"tid_{name}"
-    keepers = by_text.where("keeper is not null").groupBy(F.col("keeper").alias(row)).agg(F.collect_set("tid").alias(tid))
+    chosen = by_text.where("keeper is not null").select(F.col("keeper").alias("row")).distinct()
+    keepers = ids.join(chosen, "row").select(F.col("row").alias(row), F.col("tid").alias(tid))
     found = docs.withColumn(row, F.monotonically_increasing_id()).join(keepers, row)
-    same = F.array_contains(F.col(tid), text_id())
-    return found.where(F.assert_true(same, "the input's partitions changed between the passes").isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    same = F.assert_true(F.col(tid) == text_id(), "the input's partitions changed between the passes").isNull()
+    return found.where(same).select(*[F.col(f"`{c}`") for c in docs.columns])
