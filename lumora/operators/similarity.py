@@ -1,23 +1,24 @@
 """Similarity and the score of one answer: cosine, best windows, concepts, hits, blend, floors, feedback.
 
-Vectors come from an encoder that is a parameter; the default is a deterministic lexical one (character trigrams).
-Each distinct text is encoded once and joined back. Score thresholds were tuned for a neural encoder; with another encoder
+Vectors come from an encoder that is a parameter, a pandas UDF over an iterator of texts; the default is a deterministic lexical
+one (character trigrams). Texts are encoded beside the rows that compare them, and only cosines leave a task. Score thresholds were tuned for a neural encoder; with another encoder
 the same rules apply but marks differ.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumora.functions import text as tf
-from lumora.sources.stored import stored
 
 DIMENSIONS = 256
 #: Words whose trigrams a task remembers.
@@ -54,28 +55,60 @@ def lexical_encoder(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             places.clear()
 
 
-def text_key(c: Column) -> Column:
-    """What stands for a text in a table of vectors."""
-    return F.unhex(F.sha2(c, 256))
+#: Texts that are encoded at once.
+TEXTS = 2048
 
 
-def vector_table(texts: DataFrame, column: str, encoder: Callable[[Column], Column] = lexical_encoder) -> DataFrame:
-    """key, vector, norm: the distinct texts of a column, each encoded and measured once, and stored; later steps join on the key."""
-    one = texts.select(F.col(column).alias("text")).where("text is not null").distinct()
-    made = one.select(text_key(F.col("text")).alias("key"), encoder(F.col("text")).alias("vector"))
-    return stored(made.select("key", "vector", F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("norm")), "vectors")
+def _products(encoder, batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[list[np.ndarray]]:
+    """The cosines of each row's queries (down) and windows (across), for some rows at a time; 0.0 where a side has no length.
+
+    The vectors live as long as their rows are at hand: a text of n words has about 3 n candidates of 1 KB each.
+    """
+    asked: deque[tuple[np.ndarray, np.ndarray]] = deque()
+
+    def texts() -> Iterator[pd.Series]:
+        for q, w in batches:
+            n = [np.asarray(pc.fill_null(pc.list_value_length(x), 0)) for x in (q, w)]
+            ends, start = np.cumsum(n[0] + n[1]), 0
+            while start < len(q):
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + TEXTS, "right")))
+                asked.append((n[0][start:stop], n[1][start:stop]))
+                yield pd.Series(np.concatenate([x.slice(start, stop - start).flatten().to_numpy(zero_copy_only=False) for x in (q, w)]), dtype=object)
+                start = stop
+
+    for vectors in encoder.func(texts()):
+        n_q, n_w = asked.popleft()
+        v = np.array(list(vectors), np.float64).reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 1))
+        norms = np.sqrt((v * v).sum(1))
+        q_ends, w_ends = np.cumsum(n_q), n_q.sum() + np.cumsum(n_w)
+        rows = []
+        for i in range(len(n_q)):
+            q, w = slice(q_ends[i] - n_q[i], q_ends[i]), slice(w_ends[i] - n_w[i], w_ends[i])
+            n = np.outer(norms[q], norms[w])
+            rows.append(np.divide(v[q] @ v[w].T, n, out=np.zeros_like(n), where=n > 0))
+        yield rows
+
+
+def cosines(encoder, queries: Column, windows: Column) -> Column:
+    """array<array<double>>: of two arrays of texts, for each of the first its cosine to each of the second."""
+
+    @F.arrow_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+    def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for rows in _products(encoder, batches):
+            yield pa.array([[list(x) for x in m] for m in rows], pa.list_(pa.list_(pa.float64())))
+
+    return of(queries, windows)
 
 
-def with_vector(rows: DataFrame, column: str, vectors: DataFrame, name: str) -> DataFrame:
-    """The rows with ``name``, a struct of the vector and the norm of the text in a column."""
-    v = vectors.select("key", F.struct("vector", "norm").alias(name))
-    return rows.withColumn("key", text_key(F.col(column))).join(v, "key").drop("key")
+def best_cosines(encoder, queries: Column, windows: Column) -> Column:
+    """array<double>: for each of the first texts its greatest cosine to one of the second; 0.0 where there is none."""
 
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def best(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for rows in _products(encoder, batches):
+            yield pa.array([m.max(1) if m.shape[1] else np.zeros(len(m)) for m in rows], pa.list_(pa.float64()))
 
-def stored_cosine(a: Column, b: Column) -> Column:
-    """The cosine of two structs of a vector and its norm; 0.0 where a side has no length."""
-    n = a["norm"] * b["norm"]
-    return F.when(n > 0, dot(a["vector"], b["vector"]) / n).otherwise(0.0)
+    return best(queries, windows)
 
 
 #: Queries or windows of an answer that are multiplied at once.
@@ -121,31 +154,34 @@ def best_windows(queries: DataFrame, windows: DataFrame) -> DataFrame:
 def candidate_ngrams(c: Column, longest: int = 3) -> Column:
     """Distinct runs of one to three words, stop words taken out before; words of two or more characters; sorted."""
     words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
-    w = F.filter(words, lambda t: ~t.isin(tf.STOP_WORDS))
 
-    def runs(n: int) -> Column:
+    def runs(w: Column, n: int) -> Column:
         at = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
         return F.transform(at, lambda i: F.array_join(F.slice(w, i, n), " "))
 
-    return F.array_sort(F.array_distinct(F.concat(*[runs(n) for n in range(1, longest + 1)])))
+    each = lambda w: F.concat(*[runs(w, n) for n in range(1, longest + 1)])
+    return F.array_sort(F.array_distinct(tf.let(F.filter(words, lambda t: ~t.isin(tf.STOP_WORDS)), each)))
 
 
 def key_concepts(models: DataFrame, top: int = 8, encoder=lexical_encoder) -> DataFrame:
-    """answer_id, rank, concept: the candidates of ``models(answer_id, text)`` most similar to the whole text.
+    """``models(answer_id, text)`` with concepts: the candidates most similar to the whole text, the most similar first.
 
     Ties go by alphabet. A text without candidates is its own concept.
     """
-    c = models.select("answer_id", "text", F.explode_outer(candidate_ngrams(F.col("text"))).alias("concept")).withColumn("concept", F.coalesce("concept", "text"))
-    vectors = vector_table(c.select(F.col("concept").alias("t")).union(models.select(F.col("text"))), "t", encoder)
-    c = with_vector(with_vector(c, "concept", vectors, "cv"), "text", vectors, "tv")
-    rank = F.row_number().over(Window.partitionBy("answer_id").orderBy(F.desc(F.round(stored_cosine(F.col("cv"), F.col("tv")), 9)), "concept"))
-    return c.withColumn("rank", rank).where(F.col("rank") <= top).select("answer_id", "rank", "concept")
+    c = models.withColumn("candidates", candidate_ngrams(F.col("text")))
+    c = c.withColumn("candidates", F.when(F.size("candidates") == 0, F.array("text")).otherwise(F.col("candidates")))
+    c = c.withColumn("near", best_cosines(encoder, F.col("candidates"), F.array("text")))
+    ranked = F.array_sort(F.zip_with("near", "candidates", lambda s, k: F.struct((0.0 - F.round(s, 9)).alias("far"), k.alias("concept"))))
+    return c.select(*models.columns, F.transform(F.slice(ranked, 1, top), lambda x: x["concept"]).alias("concepts"))
 
 
-def concept_hit(concept: Column, student: Column, best: Column, noisy: Column) -> Column:
-    """High similarity, or the concept inside the text, or a fuzzy keyword. (The middle tiers are implied by the last.)"""
+def concept_hits(concepts: Column, best: Column, student: Column, noisy: Column) -> Column:
+    """Of each concept whether it counts: inside the text, a fuzzy keyword, or high similarity. (The middle tiers are implied by these.)"""
+    named = lambda low, found: F.transform(concepts, lambda k: F.contains(low, F.lower(k)) | tf.any_fuzzy(tf.keywords(k), found))
+    worded = tf.let(F.lower(student), lambda low: tf.let(tf.keywords(student), lambda found: named(low, found)))
     high = F.when(noisy, 0.40).otherwise(0.55)
-    return (best > high) | F.contains(F.lower(student), F.lower(concept)) | tf.fuzzy_overlap(tf.keywords(concept), student)
+    # ``best`` comes from Python, so it stays outside of the lambdas
+    return F.zip_with(worded, best, lambda hit, s: hit | (s > high))
 
 
 def score_answers(answers: DataFrame, encoder=lexical_encoder) -> DataFrame:
@@ -158,19 +194,13 @@ def score_answers(answers: DataFrame, encoder=lexical_encoder) -> DataFrame:
     full = a.where((F.coalesce(F.length("student"), F.lit(0)) > 0) & (F.coalesce(F.length("model"), F.lit(0)) > 0)).withColumn("noisy", tf.noise_ratio(F.col("student")) > 0.30)
     # concepts belong to a model text, not to an answer: distinct models once
     models = full.select("model").distinct().select(F.col("model").alias("answer_id"), F.col("model").alias("text"))
-    concepts = stored(key_concepts(models, encoder=encoder).select(F.col("answer_id").alias("model"), "rank", "concept"), "concepts")
-    windows = full.select("answer_id", F.posexplode(tf.word_windows(F.col("student"))).alias("window_id", "window"))
-    wanted = concepts.select(F.col("concept").alias("t")).union(windows.select("window")).union(full.select("student")).union(full.select("model"))
-    vectors = vector_table(wanted, "t", encoder)
-    asked = full.select("answer_id", "model").join(concepts, "model").select("answer_id", F.col("rank").alias("query_id"), "concept")
-    of = lambda rows, column: with_vector(rows, column, vectors, "v").withColumn("vector", F.col("v.vector"))
-    best = best_windows(of(asked, "concept"), of(windows, "window"))
-    hits = asked.join(best, ["answer_id", "query_id"], "left").join(full.select("answer_id", "student", "noisy"), "answer_id")
-    hits = hits.withColumn("hit", concept_hit(F.col("concept"), F.col("student"), F.coalesce("similarity", F.lit(0.0)), F.col("noisy")))
-    each = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("query_id", "concept")))), lambda x: x["concept"])
-    found = hits.groupBy("answer_id").agg(each(F.col("hit")).alias("matched"), each(~F.col("hit")).alias("missing"))
-    s = with_vector(with_vector(full, "student", vectors, "sv"), "model", vectors, "mv").join(found, "answer_id", "left")
-    s = s.withColumn("sim", stored_cosine(F.col("sv"), F.col("mv"))).withColumn("coverage", F.size("matched") / (F.size("matched") + F.size("missing")))
+    concepts = key_concepts(models, encoder=encoder).select(F.col("answer_id").alias("model"), "concepts")
+    # windows are made before the join: a function in Python takes columns, not lambdas
+    s = full.withColumn("windows", tf.word_windows(F.col("student"))).withColumn("sim", best_cosines(encoder, F.array("model"), F.array("student"))[0])
+    s = s.join(concepts, "model").withColumn("best", best_cosines(encoder, F.col("concepts"), F.col("windows")))
+    s = s.withColumn("hits", concept_hits(F.col("concepts"), F.col("best"), F.col("student"), F.col("noisy")))
+    having = lambda hit: F.transform(F.filter(F.arrays_zip("concepts", "hits"), lambda x: x["hits"] == hit), lambda x: x["concepts"])
+    s = s.withColumn("matched", having(True)).withColumn("missing", having(False)).withColumn("coverage", F.size("matched") / F.size("concepts"))
     final = tf.final_score(F.col("sim"), F.col("noisy"), F.col("coverage"), tf.rescue_hits(tf.keywords(F.col("model")), F.col("student")), F.size(tf.tokens(F.col("student"))))
     s = s.withColumn("final", final)
     details = F.struct(F.bround("sim", 2).alias("similarity"), F.bround("coverage", 2).alias("concept_coverage"), F.col("matched").alias("matched_concepts"), F.col("missing").alias("missing_concepts"))
