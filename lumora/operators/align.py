@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 from lumora.functions.text import base_number, natural_key
 
 
+def _dealt(rows: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """Rows dealt to so many partitions by all keys of the join that follows, which then needs no exchange of its own."""
+    return rows.repartition(parts, *keys) if parts else rows
+
+
 def usable_rubric(rubric: DataFrame, exams: DataFrame) -> DataFrame:
     """The rows of ``rubric(exam_id, q_key, max_marks, q_type, group_id)`` but those of exams whose rubric is garbage.
 
@@ -74,15 +79,16 @@ def align_parts(models: DataFrame, students: DataFrame, taken: DataFrame) -> Dat
     return g.select("exam_id", "student_id", "m_key", F.col("x.s_key").alias("s_keys"), F.array_join(F.col("x.text"), " ").alias("text"))
 
 
-def align_keys(models: DataFrame, students: DataFrame) -> DataFrame:
+def align_keys(models: DataFrame, students: DataFrame, parts: int | None = None) -> DataFrame:
     """exam_id, student_id, m_key, s_key, how (exact, base, part): the rules of align_exact, align_base and align_parts in one join.
 
     All three only match keys of one number, so both sides meet on exam and number, and windows over the same partitions
-    find out which keys are taken. A part match is a row for each part.
+    find out which keys are taken. A part match is a row for each part. Keys may repeat on both sides; ``parts`` are the
+    partitions they are dealt to, else Spark's.
     """
-    s = students.select("exam_id", "student_id", F.col("q_key").alias("s_key"), base_number(F.col("q_key")).alias("num")).distinct()
-    m = models.select("exam_id", F.col("q_key").alias("m_key"), base_number(F.col("q_key")).alias("num")).distinct()
-    p = s.join(m, ["exam_id", "num"]).withColumn("exact", F.col("m_key") == F.col("s_key"))
+    s = students.select("exam_id", "student_id", F.col("q_key").alias("s_key"), base_number(F.col("q_key")).alias("num"))
+    m = models.select("exam_id", F.col("q_key").alias("m_key"), base_number(F.col("q_key")).alias("num"))
+    p = _dealt(s, parts, "exam_id", "num").distinct().join(_dealt(m, parts, "exam_id", "num").distinct(), ["exam_id", "num"]).withColumn("exact", F.col("m_key") == F.col("s_key"))
     of = lambda *keys: Window.partitionBy("exam_id", "num", "student_id", *keys)
     p = p.withColumn("s_exact", F.max("exact").over(of("s_key"))).withColumn("m_exact", F.max("exact").over(of("m_key")))
     asks = (F.col("s_key") == F.col("num")) & ~F.col("s_exact") & ~F.col("m_exact")
@@ -94,10 +100,11 @@ def align_keys(models: DataFrame, students: DataFrame) -> DataFrame:
     return p.select("exam_id", "student_id", "m_key", "s_key", how.alias("how")).where("how is not null")
 
 
-def joined_parts(aligned: DataFrame, students: DataFrame) -> DataFrame:
+def joined_parts(aligned: DataFrame, students: DataFrame, parts: int | None = None) -> DataFrame:
     """exam_id, student_id, m_key, s_keys, text: the parts of a plain number, sorted and joined."""
     texts = students.select("exam_id", "student_id", F.col("q_key").alias("s_key"), "text")
-    p = aligned.where("how = 'part'").join(texts, ["exam_id", "student_id", "s_key"])
+    deal = lambda rows: _dealt(rows, parts, "exam_id", "s_key")
+    p = deal(aligned.where("how = 'part'")).join(deal(texts), ["exam_id", "student_id", "s_key"])
     g = p.groupBy("exam_id", "student_id", "m_key").agg(F.array_sort(F.collect_list(F.struct("s_key", "text"))).alias("x"))
     return g.select("exam_id", "student_id", "m_key", F.col("x.s_key").alias("s_keys"), F.array_join(F.col("x.text"), " ").alias("text"))
 
@@ -123,10 +130,16 @@ def align_greedy(similar: DataFrame, least: float = 0.2) -> DataFrame:
     return pairs.select("exam_id", "student_id", F.col("x.m_keys").alias("m_key"), F.col("x.s_keys").alias("s_key"))
 
 
-def not_attempted(models: DataFrame, people: DataFrame, taken: DataFrame) -> DataFrame:
-    """exam_id, student_id, m_key for the model keys of an exam that a student of it has no match for."""
+def not_attempted(models: DataFrame, people: DataFrame, taken: DataFrame, parts: int | None = None) -> DataFrame:
+    """exam_id, student_id, m_key for the model keys of an exam that a student of it has no match for.
+
+    Keys asked and keys taken are grouped together: an anti join may be moved to where it is dealt out anew.
+    """
+    one = ["exam_id", "student_id", "m_key"]
     all_ = models.select("exam_id", F.col("q_key").alias("m_key")).join(people.select("exam_id", "student_id").distinct(), "exam_id")
-    return all_.join(taken.select("exam_id", "student_id", "m_key"), ["exam_id", "student_id", "m_key"], "left_anti").select("exam_id", "student_id", "m_key")
+    both = all_.select(*one, F.lit(True).alias("asked")).union(taken.select(*one, F.lit(False)))
+    left = _dealt(both, parts, "exam_id").groupBy(*one).agg(F.bool_and("asked").alias("open"))
+    return left.where("open").select(*one)
 
 
 def to_marks(score: Column, max_marks: Column) -> Column:
@@ -175,16 +188,20 @@ def vocabulary(models: DataFrame) -> DataFrame:
     return models.select("exam_id", F.explode(tokens(clean_text(F.col("text")))).alias("term")).distinct()
 
 
-def expected_keys(models: DataFrame, rubric: DataFrame) -> DataFrame:
-    """exam_id, q_key: keys of the model answers and of the rubric, without meta keys."""
-    return models.select("exam_id", "q_key").union(rubric.where(~F.startswith("q_key", F.lit("_"))).select("exam_id", "q_key")).distinct()
+def expected_keys(models: DataFrame, rubric: DataFrame, parts: int | None = None) -> DataFrame:
+    """exam_id, q_key: keys of the model answers and of the rubric, without meta keys; ``parts`` are the partitions they are dealt to.
+
+    Keys may repeat on both sides, so neither needs to be made distinct before.
+    """
+    keys = models.select("exam_id", "q_key").union(rubric.where(~F.startswith("q_key", F.lit("_"))).select("exam_id", "q_key"))
+    return _dealt(keys, parts, "exam_id").distinct()
 
 
-def key_alignment(models: DataFrame, students: DataFrame) -> DataFrame:
-    """exam_id, n_common, n_model_only, n_student_only, match_rate (of the model's keys)."""
-    m = models.select("exam_id", "q_key").distinct().withColumn("m", F.lit(1))
-    s = students.select("exam_id", "q_key").distinct().withColumn("s", F.lit(1))
-    j = m.join(s, ["exam_id", "q_key"], "full")
-    n = j.groupBy("exam_id").agg(F.count_if(F.col("m").isNotNull() & F.col("s").isNotNull()).alias("n_common"), F.count_if(F.col("s").isNull()).alias("n_model_only"), F.count_if(F.col("m").isNull()).alias("n_student_only"))
+def key_alignment(models: DataFrame, students: DataFrame, parts: int | None = None) -> DataFrame:
+    """exam_id, n_common, n_model_only, n_student_only, match_rate (of the model's keys). Keys may repeat on both sides."""
+    side = lambda rows, m, s: rows.select("exam_id", "q_key", F.lit(m).alias("m"), F.lit(s).alias("s"))
+    keys = side(models, True, False).union(side(students, False, True))
+    j = _dealt(keys, parts, "exam_id").groupBy("exam_id", "q_key").agg(F.bool_or("m").alias("m"), F.bool_or("s").alias("s"))
+    n = j.groupBy("exam_id").agg(F.count_if(F.col("m") & F.col("s")).alias("n_common"), F.count_if(~F.col("s")).alias("n_model_only"), F.count_if(~F.col("m")).alias("n_student_only"))
     total = F.col("n_common") + F.col("n_model_only")
     return n.withColumn("match_rate", F.round(F.when(total > 0, F.col("n_common") / total).otherwise(0.0), 6))
