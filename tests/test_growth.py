@@ -3,7 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lumora.operators import similarity
+from lumora.operators import align, paper, similarity
+from lumora.plans import queries
+from lumora.sources import tables
+
+D = "/root/testdata/sf0.001"
 
 
 def plan(df):
@@ -34,3 +38,32 @@ def test_cosines_in_batches(spark, monkeypatch):
     assert all(got[r.id].c[r.i][r.j] == pytest.approx(r.s, abs=1e-12) for r in want)
     best = {r.id: r.b for r in df.select("id", similarity.best_cosines(similarity.lexical_encoder, F.col("q"), F.col("w")).alias("b")).collect()}
     assert all(best[i] == pytest.approx([max(x, default=0.0) for x in got[i].c]) for i, _, _ in rows)
+
+
+@pytest.mark.parametrize("name", ["expected_union", "align_exact", "align_base", "align_subparts", "not_attempted", "key_alignment", "paper_schema", "paper_rubric"])
+def test_partitions_grow_with_the_rows(spark, monkeypatch, name):
+    """Exams were dealt to as many partitions as there are cores, so a task's rows grew with the table."""
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 100)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        n = tables.parts(spark, D)
+        assert n > 40
+        assert queries.QUERIES[name](spark, D).rdd.getNumPartitions() >= (n if name != "align_subparts" else 1)
+        assert f", {n}), REPARTITION_BY_NUM" in plan(queries.QUERIES[name](spark, D))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_keys_that_repeat(spark):
+    m = spark.createDataFrame([(1, "1"), (1, "1"), (1, "2a"), (2, "3")], "exam_id int, q_key string")
+    s = spark.createDataFrame([(1, "1"), (1, "2"), (1, "2"), (3, "9")], "exam_id int, q_key string")
+    got = {r.exam_id: tuple(r)[1:] for r in align.key_alignment(m, s, 3).collect()}
+    assert got == {1: (1, 1, 1, 0.5), 2: (0, 1, 0, 0.0), 3: (0, 0, 1, 0.0)}
+
+
+def test_schema_finds_rows_once(spark):
+    """The garbage rule joined the rows with themselves, so each line was matched twice."""
+    papers = spark.createDataFrame([(1, "7. a) |Tell 5\n8. |Tell of it 5"), (2, "Q21. Tell [5 marks]"), (3, "Max. Marks: 50"), (4, "")], "exam_id int, text string")
+    df = paper.schema_state(papers)
+    assert "LeftAnti" not in plan(df)
+    assert {r.exam_id: (r.n_keys, r.total_marks, r.kind) for r in df.collect()} == {1: (2, None, "rubric"), 2: (0, None, "none"), 3: (0, 50, "total"), 4: (0, None, "none")}
