@@ -2,7 +2,7 @@
 
 Suffixes are ordered by a radix sort from the most significant digit, only through the threshold; a bucket with one suffix
 is dropped after each pass, and the buckets left at the threshold's depth are exactly the repeated strings. Digits are runs
-of bytes, compared by hashes: of 64 bits within a bucket of pass one, however large it is, and of 96 bits near the ends. So
+of bytes, compared by hashes: of 64 bits within a bucket of pass one, however large it is, and of 128 bits near the ends. So
 that not every suffix has to be dealt out:
 
 1. The first pass takes suffixes at anchors only: places whose 32 bytes have the least hash of 64 neighbouring places. Equal
@@ -11,7 +11,9 @@ that not every suffix has to be dealt out:
 2. A string that is not all covered yet can only repeat if all its inner anchors survived pass one. These places, near the
    ends of repeated regions, are ordered in the same way at every byte. The equal string elsewhere may lie in the inside of
    a longer repeat; so where one text has an end, two of the texts that agree around that anchor deal out their inner
-   places too (all strings that have the anchor as their first inner one lie in the surroundings that agree).
+   places too (all strings that have the anchor as their first inner one lie in the surroundings that agree). Up to BLOCK
+   strings are dealt out as one row: the hash of the bytes that all of them hold, the few bytes on both sides of those, and
+   a bit for each string. They are told apart behind the shuffle, and what repeats goes back as bits again.
 
 Passages are found with words for digits, so that other white space between them does not matter. Of a run of PASSAGE words
 its GRAM_WORDS words of least hash are the anchor; where another text has the anchor too, runs are compared whole, of
@@ -36,13 +38,15 @@ from pyspark.sql import functions as F
 
 from .common import delete, hold_splits, release, stored
 from .files import by_part, read_part
-from .textnum import BYTE_VALUES_2, RunningHash, Texts, chunks, covered, mix, rows_of, task_part, trim
+from .textnum import RunningHash, Texts, chunks, covered, mix, rows_of, task_part, trim
 
 LENGTH = 400
 #: Bytes of the first digit, and neighbouring places of which one is an anchor.
 DIGIT, WINDOW = 32, 64
 #: The first inner anchor of a string is no more than this behind its start.
 BEFORE = 2 * WINDOW - 2
+#: Neighbouring strings that are dealt out together, by the distance of their first inner anchor (WINDOW is a multiple of it).
+BLOCK = 16
 CHUNK = 1 << 20
 #: Words that are compared, words of their anchor, and neighbouring runs of which one is compared.
 PASSAGE, GRAM_WORDS, NEIGHBOURS = 44, 8, 7
@@ -52,7 +56,7 @@ WORDS = 1 << 30
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long, span_starts array<long>, span_ends array<long>"
 ANCHORS = "digit long, whole long, around long, part int, at long"
 KNOWN = "digit long, whole long, full boolean, first boolean, of_words boolean, part int, at long"
-EDGES = "digit long, whole int, part int, at long"
+EDGES = "digit long, part int, at long, bits int, sides binary"
 _NONE = np.uint64(2**64 - 1)
 PASSAGE_BASE = int(np.random.default_rng(50).integers(0, 2**63, dtype=np.uint64)) | 1
 
@@ -206,6 +210,42 @@ def running(flags: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(out, dtype=np.int32)
 
 
+def blocks(t: Texts, starts: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The strings at `starts` (ascending), given the first inner anchor of each, by block.
+
+    For each block the hash of the bytes that all its strings hold, its last start, the bit 1 << j for a string that starts j
+    before that, and the BLOCK - 1 bytes on either side. Equal strings have equal anchors, so they have the same bit in blocks of the same hash.
+    """
+    last = starts + (anchors - starts - WINDOW + 1) % BLOCK
+    first = np.flatnonzero(np.append(True, last[1:] != last[:-1]))
+    bits = np.add.reduceat(np.int64(1) << (last - starts), first)
+    last = last[first]
+    beside = last[:, None] + np.append(np.arange(1 - BLOCK, 0), np.arange(LENGTH - BLOCK + 1, LENGTH))
+    # bytes beyond the ends of a text are in no string that it has
+    return t.hash.of(last, last + LENGTH - BLOCK + 1), last, bits, t.data[np.clip(beside, 0, len(t.data) - 1)]
+
+
+def edge_rows(digit: np.ndarray, part: int, at: np.ndarray, bits: np.ndarray, sides: np.ndarray) -> pa.RecordBatch:
+    n, width = sides.shape
+    binary = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * width), pa.py_buffer(np.ascontiguousarray(sides))])
+    numbers = rows_of(EDGES.rpartition(", ")[0], digit, part, at, bits)
+    return pa.RecordBatch.from_arrays([*numbers.columns, binary], [*numbers.schema.names, "sides"])
+
+
+def repeated_strings(edges: DataFrame) -> DataFrame:
+    """digit, part, at, bits of ``edges``, with the bits of strings that occur more than once."""
+    each = edges.repartition("digit").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(BLOCK - 1)))).where(F.expr("shiftright(bits, j) & 1 = 1"))
+    each = each.select("digit", "part", "at", "j", F.expr(f"xxhash64(j, substring(sides, {BLOCK} - j, {BLOCK - 1}))").alias("whole"))
+    twice = each.withColumn("n", F.count("*").over(Window.partitionBy("digit", "whole"))).where("n > 1")
+    return twice.groupBy("digit", "part", "at").agg(F.bit_or(F.expr("shiftleft(1, j)")).alias("bits"))
+
+
+def starts_of(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The places of the strings or runs that the bits stand for, in order."""
+    row, j = np.nonzero((x["bits"].astype(np.int64)[:, None] >> np.arange(BLOCK)) & 1)
+    return {"at": np.sort(x["at"][row] - j).astype(np.int64)}
+
+
 def find_edges(anchors: str, helpers: str):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         no, walk = task_part(), Walk(batches)
@@ -225,15 +265,16 @@ def find_edges(anchors: str, helpers: str):
                 inner = dead[starts + LENGTH - DIGIT - WINDOW + 2] == dead[starts + WINDOW - 1]
                 some = live[starts + LENGTH - DIGIT + 1] > live[starts]
                 helps = np.append(np.isin(p.at, between(helping, byte, byte + n)["at"], assume_unique=True), False)
-                open_ = (done[starts + LENGTH] - done[starts] < LENGTH) | helps[np.searchsorted(p.at, starts + WINDOW - 1)]
-                starts = starts[inner & some & open_]
+                first = np.searchsorted(p.at, starts + WINDOW - 1)
+                open_ = inner & some & ((done[starts + LENGTH] - done[starts] < LENGTH) | helps[first])
+                starts, first = starts[open_], p.at[first[open_]]
                 del p, dead, live, done, inner, some, helps, open_
                 if len(starts):
-                    second = (RunningHash(t.data, BYTE_VALUES_2).of(starts, starts + LENGTH) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                    yield rows_of(EDGES, t.hash.of(starts, starts + LENGTH), second, no, starts + byte)
+                    digit, last, bits, sides = blocks(t, starts, first)
+                    yield edge_rows(digit, no, last + byte, bits, sides)
             if len(grams):
                 at, h = Passages(t).compared(grams)
-                yield rows_of(EDGES, h, 0, no + WORDS, at + word)
+                yield edge_rows(h, no + WORDS, at + word, np.ones(len(at), np.int64), np.empty((len(at), 0), np.uint8))
         walk.must_be(known.checksum)
 
     return find
@@ -241,11 +282,12 @@ def find_edges(anchors: str, helpers: str):
 
 def remove(anchors: str, edges: str):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walk, known, more = Walk(batches), Known(anchors, ["full", "whole"]), Known(edges, [])
+        walk, known, more = Walk(batches), Known(anchors, ["full", "whole"]), Known(edges, ["bits"])
+        strings, passages = starts_of(more.bytes), starts_of(more.words)
         full = {"at": known.bytes["at"][known.bytes["full"].astype(bool)]}
         for part, t, byte, word in walk:
             n = len(t.data)
-            starts = np.union1d(between(full, byte, byte + n)["at"], between(more.bytes, byte, byte + n)["at"]).astype(np.int64)
+            starts = np.union1d(between(full, byte, byte + n)["at"], between(strings, byte, byte + n)["at"]).astype(np.int64)
             gone = covered(starts, LENGTH, n)
             first, last = gone.copy(), gone.copy()
             inner = t.offsets[(t.offsets > 0) & (t.offsets < n)]
@@ -262,7 +304,7 @@ def remove(anchors: str, edges: str):
                 digests.append(hashlib.sha256(own[~gone[t.offsets[i] : t.offsets[i + 1]]] if removed[i] else own).hexdigest())
             begin = np.repeat(t.offsets[:-1], np.diff(cuts))
             words = int(t.word_offsets[-1])
-            runs = between(more.words, word, word + words)["at"].astype(np.int64)
+            runs = between(passages, word, word + words)["at"]
             shared = t.per_doc(covered(runs, PASSAGE, words), t.word_offsets) if len(runs) else np.zeros(t.n, np.int64)
             lists = [pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(x - begin)) for x in (run0, run1)]
             arrays = [part.column(0), pa.array(np.diff(t.offsets)), pa.array(removed), pa.array(np.diff(cuts)), pa.array(digests, pa.string()), pa.array(shared), *lists]
@@ -288,7 +330,9 @@ def repeated_suffixes(docs: DataFrame) -> DataFrame:
     left = left.withColumn("full", (F.col("whole") != 0) & (F.count("*").over(Window.partitionBy("digit", "whole")) > 1))
     left = left.withColumn("no", F.row_number().over(Window.partitionBy("digit", "around").orderBy("part", "at")))
     real = lambda: [(F.col("part") >= WORDS).alias("of_words"), (F.col("part") % WORDS).alias("part"), "at"]
-    anchors = by_part(left.select("digit", "whole", "full", (F.col("no") <= 2).alias("first"), *real()), "anchors")
+    # the checksum is all that is read of this column
+    whole = F.when(F.col("at") < 0, F.col("whole")).otherwise(0).alias("whole")
+    anchors = by_part(left.select("digit", whole, "full", (F.col("no") <= 2).alias("first"), *real()), "anchors")
     known = spark.read.schema(KNOWN).parquet(anchors).where("not of_words and at >= 0")
     # anchors whose strings may not all lie in repeats: not repeated themselves, or no repeated one shortly before
     back = F.max(F.when(F.col("full"), F.col("at"))).over(Window.partitionBy("part").orderBy("at").rangeBetween(-LENGTH, -BEFORE))
@@ -296,7 +340,7 @@ def repeated_suffixes(docs: DataFrame) -> DataFrame:
     helpers = by_part(known.where("first").select("of_words", "part", "at", "digit").join(ends, "digit", "left_semi").select("of_words", "part", "at"), "helpers")
     release(spark)
     strings = rows.mapInArrow(trimmed(find_edges(anchors, helpers)), EDGES)
-    edges = by_part(strings.withColumn("n", F.count("*").over(Window.partitionBy("digit", "whole"))).where("n > 1").select(*real()), "edges")
+    edges = by_part(repeated_strings(strings).select(*real(), "bits"), "edges")
     release(spark)
     out = stored(rows.mapInArrow(trimmed(remove(anchors, edges)), SCHEMA), "suffixes")
     for folder in (anchors, helpers, edges):

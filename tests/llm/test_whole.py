@@ -1,6 +1,12 @@
 """Cases in which operators once did less than the whole job."""
 
-from lumora.llm import pii, secrets, suffix_dedup
+import random
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+
+from lumora.llm import files, pii, secrets, suffix_dedup, textnum
 
 
 def test_hot_line_does_not_join_other_texts(spark, tmp_path):
@@ -31,3 +37,57 @@ def test_contexts_find_grouped_numbers_and_names(spark):
     texts = seeds + [f"{a}{b} ok" for a, b, _ in new]
     got = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[len(seeds) + i] for i in range(len(new))] == [f"{k}:{len(a)}:{len(a) + len(b)}" if k else "" for a, b, k in new]
+
+
+def cut_copies(seed=5):
+    """Texts with copies of some passages that begin and end at any place, also at the ends of a text and beside themselves."""
+    rng = random.Random(seed)
+    prose = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    core, texts = prose(1500), []
+    for _ in range(40):
+        a = rng.randrange(1000)
+        b = min(1500, a + rng.choice([399, 400, 401, 415, 416, 463, 526, 600, 900]))
+        texts.append(prose(rng.choice([0, 1, 15, 16, 63, 200])) + core[a:b] + prose(rng.choice([0, 1, 14, 15, 100])))
+    return dict(enumerate([*texts, "ab" * 400, core[:450] + core[3:460], prose(399), core[:400], "", "x" * 431]))
+
+
+def test_cut_copies_in_blocks(spark, tmp_path, monkeypatch):
+    """The strings near the ends of copies are dealt out and go back in blocks, and all are found."""
+    texts, stored = cut_copies(), {}
+
+    def by_part(df, name):
+        folder = files.by_part(df, name)
+        stored[name] = spark.read.parquet(folder).where("not of_words and at >= 0").count()
+        return folder
+
+    monkeypatch.setattr(suffix_dedup, "by_part", by_part)
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "t"))
+    want, starts = {}, 0
+    count = Counter(t[i : i + 400] for t in texts.values() for i in range(len(t) - 399))
+    for k, t in texts.items():
+        gone = [False] * len(t)
+        for i in range(len(t) - 399):
+            if count[t[i : i + 400]] > 1:
+                gone[i : i + 400], starts = [True] * 400, starts + 1
+        want[k] = sum(gone)
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.repeated_suffixes(spark.read.parquet(str(tmp_path / "t"))).collect()}
+    assert got == want and starts > 4000
+    # one row a string before
+    assert 0 < 5 * stored["edges"] < starts
+
+
+def test_blocks_hold_each_string_once():
+    """A block has the bytes that tell its strings apart, and equal strings have the same place in equal blocks."""
+    column = pa.array(list(cut_copies().values()))
+    t = textnum.Texts(column)
+    p = suffix_dedup.Places(t)
+    starts = p.place[p.place + 400 <= p.end]
+    digit, last, bits, sides = suffix_dedup.blocks(t, starts, p.at[np.searchsorted(p.at, starts + suffix_dedup.WINDOW - 1)])
+    row, j = np.nonzero((bits[:, None] >> np.arange(16)) & 1)
+    assert np.array_equal(np.sort(last[row] - j), starts) and sides.shape == (len(last), 30)
+    raw, by_bytes, by_block = t.data.tobytes(), {}, {}
+    for r, k in zip(row, j, strict=True):
+        s = int(last[r] - k)
+        by_bytes.setdefault(raw[s : s + 400], []).append(s)
+        by_block.setdefault((int(digit[r]), int(k), sides[r, 15 - k : 30 - k].tobytes()), []).append(s)
+    assert sorted(map(sorted, by_bytes.values())) == sorted(map(sorted, by_block.values()))
