@@ -333,6 +333,7 @@ def repeated_suffixes(docs: DataFrame) -> DataFrame:
     # the checksum is all that is read of this column
     whole = F.when(F.col("at") < 0, F.col("whole")).otherwise(0).alias("whole")
     anchors = by_part(left.select("digit", whole, "full", (F.col("no") <= 2).alias("first"), *real()), "anchors")
+    release(spark)
     known = spark.read.schema(KNOWN).parquet(anchors).where("not of_words and at >= 0")
     # anchors whose strings may not all lie in repeats: not repeated themselves, or no repeated one shortly before
     back = F.max(F.when(F.col("full"), F.col("at"))).over(Window.partitionBy("part").orderBy("at").rangeBetween(-LENGTH, -BEFORE))
