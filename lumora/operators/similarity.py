@@ -55,8 +55,9 @@ def lexical_encoder(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             places.clear()
 
 
-#: Texts that are encoded at once.
+#: Texts that are encoded at once, and their bytes: a row with more is encoded alone.
 TEXTS = 2048
+BYTES = 1_000_000
 
 
 def _products(encoder, batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[list[np.ndarray]]:
@@ -66,12 +67,17 @@ def _products(encoder, batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator
     """
     asked: deque[tuple[np.ndarray, np.ndarray]] = deque()
 
+    def bytes_until(x: pa.Array, n: np.ndarray) -> np.ndarray:
+        each = np.asarray(pc.fill_null(pc.binary_length(x.flatten()), 0), np.int64)
+        return np.concatenate([[0], np.cumsum(each)])[np.cumsum(n)]
+
     def texts() -> Iterator[pd.Series]:
         for q, w in batches:
             n = [np.asarray(pc.fill_null(pc.list_value_length(x), 0)) for x in (q, w)]
-            ends, start = np.cumsum(n[0] + n[1]), 0
+            ends, sizes, start = np.cumsum(n[0] + n[1]), bytes_until(q, n[0]) + bytes_until(w, n[1]), 0
             while start < len(q):
-                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + TEXTS, "right")))
+                fit = (int(np.searchsorted(e, (e[start - 1] if start else 0) + most, "right")) for e, most in ((ends, TEXTS), (sizes, BYTES)))
+                stop = max(start + 1, min(fit))
                 asked.append((n[0][start:stop], n[1][start:stop]))
                 yield pd.Series(np.concatenate([x.slice(start, stop - start).flatten().to_numpy(zero_copy_only=False) for x in (q, w)]), dtype=object)
                 start = stop

@@ -27,16 +27,17 @@ def grade(models: DataFrame, students: DataFrame, rubric: DataFrame, exams: Data
     taken = aligned.where("how != 'part'").select(*one, "m_key", "s_key", F.lit("").alias("note"))
     parts = align.joined_parts(aligned, students)
     used = aligned.select(*one, "m_key", "s_key")
-    # what is left on both sides, by similarity of the first 500 characters
+    # what is left on both sides, by similarity of the whole texts
     people = students.select(*one).distinct()
-    open_m = align.not_attempted(models, people, used).join(models.select("exam_id", F.col("q_key").alias("m_key"), F.substring("text", 1, 500).alias("m_text")), ["exam_id", "m_key"])
-    open_s = students.join(used.select(*one, F.col("s_key").alias("q_key")), [*one, "q_key"], "left_anti").where(F.length(F.trim("text")) >= 10).select(*one, F.col("q_key").alias("s_key"), "ord", F.substring("text", 1, 500).alias("s_text"))
+    open_m = align.not_attempted(models, people, used).join(models.select("exam_id", F.col("q_key").alias("m_key"), F.col("text").alias("m_text")), ["exam_id", "m_key"])
+    open_s = students.join(used.select(*one, F.col("s_key").alias("q_key")), [*one, "q_key"], "left_anti").where(F.length(F.trim("text")) >= 10).select(*one, F.col("q_key").alias("s_key"), "ord", F.col("text").alias("s_text"))
     asks = open_m.where("m_text is not null").groupBy(*one).agg(F.collect_list(F.struct("m_key", "m_text")).alias("m"))
     offers = open_s.groupBy(*one).agg(F.collect_list(F.struct("s_key", "ord", "s_text")).alias("s"))
     both = asks.join(offers, one).withColumn("all", similarity.cosines(encoder, F.col("m.m_text"), F.col("s.s_text")))
-    pairs = both.select(*one, "s", F.explode(F.arrays_zip(F.col("m.m_key").alias("m_key"), F.col("all").alias("each"))).alias("x"))
-    pairs = pairs.select(*one, "x.m_key", F.explode(F.arrays_zip(F.col("s").alias("s"), F.col("x.each").alias("similarity"))).alias("y"))
-    greedy = align.align_greedy(pairs.select(*one, "m_key", "y.s.s_key", "y.s.ord", "y.similarity"))
+    # the texts stay behind: only keys go on to the pairs
+    pairs = both.select(*one, F.col("s.s_key").alias("s_keys"), F.col("s.ord").alias("ords"), F.explode(F.arrays_zip(F.col("m.m_key").alias("m_key"), F.col("all").alias("each"))).alias("x"))
+    pairs = pairs.select(*one, "x.m_key", F.explode(F.arrays_zip(F.col("s_keys").alias("s_key"), F.col("ords").alias("ord"), F.col("x.each").alias("similarity"))).alias("y"))
+    greedy = align.align_greedy(pairs.select(*one, "m_key", "y.s_key", "y.ord", "y.similarity"))
     direct = taken.union(greedy.withColumn("note", F.concat(F.lit(" (matched to Q"), "s_key", F.lit(")"))))
     answers = direct.join(students.select(*one, F.col("q_key").alias("s_key"), "text"), [*one, "s_key"]).select(*one, "m_key", "text", "note")
     joined = parts.select(*one, "m_key", "text", F.concat(F.lit(" (aggregated from student Q"), F.array_join("s_keys", ", Q"), F.lit(")")).alias("note"))

@@ -280,8 +280,8 @@ gx AS MATERIALIZED (SELECT m.exam_id, m.q_key AS m_key, s.q_key AS s_key FROM gm
 gp AS MATERIALIZED (SELECT m.exam_id, m.q_key AS m_key, s.q_key AS s_key, s.text FROM gm m JOIN gs s ON s.exam_id = m.exam_id AND regexp_extract(s.q_key, '^\\d+') = m.q_key AND s.q_key <> m.q_key
   WHERE NOT EXISTS (FROM gx x WHERE x.exam_id = m.exam_id AND x.m_key = m.q_key) AND NOT EXISTS (FROM gx x WHERE x.exam_id = s.exam_id AND x.s_key = s.q_key)),
 used_ AS (SELECT exam_id, m_key, s_key FROM gx UNION ALL SELECT exam_id, m_key, s_key FROM gp),
-om AS (SELECT m.exam_id, q_key AS m_key, text[1:500] AS t FROM gm m JOIN people USING (exam_id) WHERE NOT EXISTS (FROM used_ x WHERE x.exam_id = m.exam_id AND x.m_key = q_key)),
-os AS (SELECT exam_id, q_key AS s_key, ord, text[1:500] AS t FROM gs WHERE length(trim(text)) >= 10 AND NOT EXISTS (FROM used_ x WHERE x.exam_id = gs.exam_id AND x.s_key = gs.q_key)),
+om AS (SELECT m.exam_id, q_key AS m_key, text AS t FROM gm m JOIN people USING (exam_id) WHERE NOT EXISTS (FROM used_ x WHERE x.exam_id = m.exam_id AND x.m_key = q_key)),
+os AS (SELECT exam_id, q_key AS s_key, ord, text AS t FROM gs WHERE length(trim(text)) >= 10 AND NOT EXISTS (FROM used_ x WHERE x.exam_id = gs.exam_id AND x.s_key = gs.q_key)),
 ow AS (SELECT t, '^' || unnest({_tokens('lower(t)')}) || '$' AS w FROM (SELECT t FROM om UNION SELECT t FROM os)),
 {_vectors('ow', 'ov')},
 gpairs AS MATERIALIZED (SELECT m.exam_id AS exam, m.m_key, s.s_key, s.ord, round({_cosine('a.v', 'b.v')}, 9) AS sim FROM om m JOIN os s USING (exam_id) LEFT JOIN ov a ON a.t = m.t LEFT JOIN ov b ON b.t = s.t),
