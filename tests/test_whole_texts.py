@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from lumora.operators import similarity
-from lumora.plans import queries
+from lumora.plans import grade, queries
 from lumora.plans.oracles import ORACLES
 
 SAME = "the answer begins with the same polite words " * 12
@@ -59,3 +59,13 @@ def test_batches_are_bounded_by_bytes(monkeypatch):
     most = max(sum(len((t or "").encode()) for t in (a or []) + (b or [])) for a, b in zip(rows, rows[::-1]))
     assert len(seen) > 20 and max(seen) <= max(400, most)
     assert len(parts) == len(whole) == 83 and all(np.array_equal(a, b) for a, b in zip(parts, whole))
+
+
+def test_grade_stages_by_whole_texts(spark):
+    """Beginnings with nothing in common: the key was counted as not attempted, and no answer was written."""
+    models = spark.createDataFrame([(1, "1", "zebu " * 120 + HEAPS)], "exam_id int, q_key string, text string")
+    students = spark.createDataFrame([(1, 1, "5", 0, "quill " * 100 + HEAPS)], "exam_id int, student_id int, q_key string, ord int, text string")
+    rubric = spark.createDataFrame([(1, "1", 10, "mandatory", "1"), (1, "2", 10, "mandatory", "2"), (1, "3", 10, "mandatory", "3")], "exam_id int, q_key string, max_marks int, q_type string, group_id string")
+    stages = grade.timed_grade(models, students, rubric, spark.createDataFrame([(1, 10)], "exam_id int, total_marks int"))[2]
+    got = {r.stage: (r.rows, r.errors, r.status) for r in stages.collect()}
+    assert got["alignment"] == (0, 0, "done") and got["answers"] == (1, 0, "done") and got["scores"] == (1, 0, "done")
