@@ -69,3 +69,11 @@ def test_grade_stages_by_whole_texts(spark):
     stages = grade.timed_grade(models, students, rubric, spark.createDataFrame([(1, 10)], "exam_id int, total_marks int"))[2]
     got = {r.stage: (r.rows, r.errors, r.status) for r in stages.collect()}
     assert got["alignment"] == (0, 0, "done") and got["answers"] == (1, 0, "done") and got["scores"] == (1, 0, "done")
+
+
+def test_grade_totals_by_whole_texts(spark, dialogue):
+    """Each reply meets the part with its own text, so all marks are got."""
+    columns = ["exam_id", "student_id", "obtained", "possible", "total_score", "max_score"]
+    got = [tuple(r) for r in queries.QUERIES["grade_totals"](spark, dialogue).select(*columns).collect()]
+    assert got == [(1, 1, 50.0, 50, 50.0, 50)]
+    assert got == [tuple(r) for r in twin("grade_totals", dialogue)[columns].itertuples(index=False)]
